@@ -17,6 +17,8 @@ LENGTH, GRAM = 400, 32
 #: Grams are counted in this many cells; the anchors avoid cells that many texts share. This steers
 #: only how the work is dealt out: any fixed preference gives the same result.
 CELL_BITS, CELL_IN_CHUNK, CELL_HOT = 22, 5, 64
+#: Nearly all anchors are below this, a twentieth of the hash range.
+RARE = np.uint64(2**63 // 20)
 #: Bytes of one suffix array, and most different pieces with one anchor in it.
 SHARD_BYTES, SHARD_PIECES = 1_500_000, 2_000
 _MUL = np.random.default_rng(99).integers(1, 2**62, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -50,18 +52,19 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None, length: int = LENGTH):
-    """Pieces of many texts: (text, anchor, two hashes of the piece, first window, number of windows).
+    """Pieces of many texts: (text, anchor, two hashes of the piece, first window, number of windows, own repeats).
 
     The anchor of a window of ``length`` bytes is the least of its grams' hashes, so equal windows have
     equal anchors. A piece is a run of windows of one text with one anchor: the windows of a text are
-    split among its pieces, and equal windows can only lie in pieces with the same anchor.
+    split among its pieces, and equal windows can only lie in pieces with the same anchor, or in one
+    piece that holds its anchor's gram more than once (own repeats).
     """
-    h = grams(data)
+    h = grams(data) >> np.uint64(1)
     if hot is not None and len(h):
-        h = h >> np.uint64(1) | hot[h >> np.uint64(64 - CELL_BITS)].astype(np.uint64) << np.uint64(63)
+        h |= hot[h >> np.uint64(63 - CELL_BITS)].astype(np.uint64) << np.uint64(63)
     width = length - GRAM + 1
     if len(h) < width:
-        return [np.zeros(0, np.int64)] * 6
+        return [np.zeros(0, np.int64)] * 7
     least = sliding_min(h, width)
     size = np.diff(offsets)
     own = np.flatnonzero(size >= length)
@@ -82,7 +85,14 @@ def anchored(data: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None, leng
     end = start + run + length - 1 - GRAM + 1
     a = one[end] - one[start]
     b = two[end] - two[start] - start.astype(np.uint64) * a
-    return owner[first], value[first], a, b, start - offsets[:-1][owner[first]], run
+    anchor = value[first]
+    again = np.zeros(len(first), bool)
+    common, few = np.arange(len(h)), np.flatnonzero(h < RARE)
+    for group, places in ((np.flatnonzero(anchor < RARE), few), (np.flatnonzero(anchor >= RARE), common)):
+        low, high = np.searchsorted(places, start[group]), np.searchsorted(places, start[group] + run[group] + width - 1)
+        same = h[places[ragged(low, high - low)]] == np.repeat(anchor[group], high - low)
+        again[group] = np.bincount(np.repeat(np.arange(len(group)), high - low), weights=same, minlength=len(group)) > 1
+    return owner[first], anchor, a, b, start - offsets[:-1][owner[first]], run, again
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -207,10 +217,10 @@ def _pieces(hot: np.ndarray, length: int):
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
             for first, last in chunks(offsets):
-                owner, anchor, a, b, start, run = anchored(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], avoid, length)
+                owner, anchor, a, b, start, run, again = anchored(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], avoid, length)
                 if len(owner):
                     rows = pa.array(owner + first)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.view(np.int64)) for x in (anchor, a, b)), pa.array(start.astype(np.int32)), pa.array(run.astype(np.int32))], ["id", "key", "anchor", "a", "b", "start", "run"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.view(np.int64)) for x in (anchor, a, b)), pa.array(start.astype(np.int32)), pa.array(run.astype(np.int32)), pa.array(again)], ["id", "key", "anchor", "a", "b", "start", "run", "again"])
 
     return run
 
@@ -359,7 +369,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Every window of ``length`` bytes is given an anchor by its content; runs of windows with one
        anchor make pieces (about one for each 190 bytes). Grams that many texts share are avoided as
        anchors, so a piece at the edge of a common passage is anchored in its own text.
-    2. Pieces are counted by anchor and content. Only anchors that occur twice matter; of equal pieces
+    2. Pieces are counted by anchor and content. Only anchors that occur twice, or pieces with repeats of
+       their own, matter; of equal pieces
        one goes on, with their number.
     3. Those pieces' bytes are dealt out by anchor to shards of bounded size, each with a suffix array
        and common prefixes. Where one anchor has more pieces than a shard takes, its shards are merged
@@ -377,11 +388,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cells = long_.select("text").mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= CELL_HOT).select("cell").toArrow()
     hot = np.zeros(1 << CELL_BITS, bool)
     hot[np.asarray(cells["cell"].combine_chunks()) if cells.num_rows else []] = True
-    pieces = long_.select("id", "key", "text").mapInArrow(_pieces(hot, length), "id long, key long, anchor long, a long, b long, start int, run int")
+    pieces = long_.select("id", "key", "text").mapInArrow(_pieces(hot, length), "id long, key long, anchor long, a long, b long, start int, run int, again boolean")
     pieces = durable(pieces, "pieces")
     what = ["anchor", "a", "b", "run"]
-    different = pieces.groupBy(*what).agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "start")).alias("at"))
-    anchors = different.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("m")).where("total > 1")
+    different = pieces.groupBy(*what).agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "start")).alias("at"), F.bool_or("again").alias("again"))
+    anchors = different.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("m"), F.bool_or("again").alias("own")).where("total > 1 or own")
     chosen = different.join(anchors, "anchor")
     chosen = durable(chosen.select(*what, "n", "at", F.ceil(F.col("m") / SHARD_PIECES).alias("parts")), "chosen")
     common = [*what, "n", "at"]
