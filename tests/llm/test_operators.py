@@ -1,0 +1,367 @@
+"""The ten operators against brute force on small fixtures with awkward rows."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from loomspark.llm import bpe_codec, components, flac, hpylm, licenses, mixing, ngram_join, quality, rpforest, suffix_dedup, token_count
+from loomspark.llm.words import shingles
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DRAW = np.random.default_rng(4)
+VOCAB = ["the", "of", "Alpha", "beta", "gämma", "delta,", "eps", "zeta.", "eta", "theta"]
+
+
+def prose(n):
+    return " ".join(VOCAB[i] for i in DRAW.integers(0, len(VOCAB), n))
+
+
+BASE = [prose(120) for _ in range(6)]
+LONG = prose(30_000)
+TEXTS = [
+    None, "", "   \n\t ", "one", "two words", "Two  WORDS", *BASE, BASE[0], BASE[0] + " tail of it", BASE[1][:500] + " x " + BASE[1][500:],
+    LONG, "a" * 5_000, "é" * 900, "\0\0 \x85x y", "<|endoftext|> and <|startoftext|>", "日本語 テキスト 😀 ½²", "x\r\n\r\n  y  \t z ",
+    BASE[2] + "\n" + BASE[3], BASE[3] + "\n" + BASE[4], "Licensed under the Apache License, Version 2.0.\n" + BASE[5],
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Null and repeated rows, extra columns named like inner ones."""
+    rows = [(i, t, None if i % 7 == 0 else f"s{i % 3}", "clash", i) for i, t in enumerate(TEXTS)]
+    rows += [rows[6], rows[6], (None, BASE[4], None, "k", 0), (None, None, None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, key string, n long").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, source string")
+
+
+def pairs(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def all_rows(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+
+
+def test_token_counts(docs, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    want = sorted(((i, len(x.encode()), n := len(t.encode(x, add_special_tokens=False).ids), n > 2048) for i, x in all_rows(docs)), key=repr)
+    assert pairs(token_count.count_tokens(docs, path), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    assert token_count.count_tokens(empty, path).count() == 0
+
+
+def test_bpe_round_trip(docs, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    want = sorted(((i, t.encode(x, add_special_tokens=False).ids, t.decode(t.encode(x, add_special_tokens=False).ids, skip_special_tokens=False)) for i, x in all_rows(docs)), key=repr)
+    assert pairs(bpe_codec.round_trip(docs, path), "doc_id", "ids", "decoded") == want
+    assert bpe_codec.round_trip(empty, path).count() == 0
+
+
+def sets_of(text):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_components(rows):
+    sets = [(i, sets_of(t)) for i, t in rows]
+    parent = {i: i for i, _ in sets if i is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in sets:
+        for j, b in sets:
+            if i is not None and j is not None and a and b and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return sorted(((i, len(s), None if i is None else find(i)) for i, s in sets), key=repr)
+
+
+def test_ngram_join(docs, empty):
+    assert pairs(ngram_join.link_components(docs), "doc_id", "n_shingles", "component_id") == brute_components(all_rows(docs))
+    assert ngram_join.link_components(empty).count() == 0
+
+
+def near_copies(spark, n=90):
+    words, rows = prose(60).split(), []
+    for i in range(n):
+        own = list(words)
+        for k in DRAW.integers(0, len(own), i % 5):
+            own[k] = f"w{i}"
+        rows.append((i, " ".join(own) + (" " + prose(8) if i % 3 else "")))
+    rows += [(n + i, prose(40)) for i in range(20)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_ngram_join_deals_out_large_groups(spark, monkeypatch):
+    rows, docs = near_copies(spark)
+    monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 10)
+    monkeypatch.setattr(ngram_join, "HOT_IN_SPAN", 2)
+    want = brute_components(rows)
+    assert pairs(ngram_join.link_components(docs), "doc_id", "n_shingles", "component_id") == want
+    monkeypatch.setattr(ngram_join, "HOT_IN_SPAN", 1_000)
+    monkeypatch.setattr(ngram_join, "NARROW_ROWS", 50)
+    assert pairs(ngram_join.link_components(docs), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_divide_skip_counts_like_brute_force():
+    for _ in range(200):
+        lists = [sorted(set(DRAW.integers(0, 40, DRAW.integers(1, 30)).tolist())) for _ in range(DRAW.integers(1, 14))]
+        t = int(DRAW.integers(1, len(lists) + 1))
+        count = collections.Counter(x for y in lists for x in y)
+        assert sorted(ngram_join.divide_skip(lists, t)) == sorted((k, v) for k, v in count.items() if v >= t)
+
+
+def test_shingles_keep_order_of_words():
+    data = np.frombuffer(b"a b c d eb a c d e", np.uint8)
+    _, _, sizes = shingles(data, np.array([0, 9, 18]))
+    value, _, _ = shingles(data, np.array([0, 9, 18]))
+    assert sizes.tolist() == [1, 1] and value[0] != value[1]
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(100, 140)] + [(7, x) for x in range(20, 60)] + [(5, 5), (None, 3)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {**{i: 100 for i in range(100, 141)}, 7: 7, **{x: 7 for x in range(20, 60)}}
+
+
+def test_quality(spark, docs, empty):
+    good = [(i, prose(int(DRAW.integers(20, 200)))) for i in range(400)]
+    bad = [(400 + i, " ".join(w + "###" for w in prose(int(DRAW.integers(20, 200))).split())) for i in range(200)]
+    table = spark.createDataFrame(good + bad, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 400)) for i in range(600)] + [(1, None), (None, 1)], "doc_id long, quality int")
+    rows = quality.score_quality(table, labels).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert {r["doc_id"] for r in held} == {i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2}
+    assert sum((r["doc_id"] < 400) == bool(r["predicted"]) for r in held) / len(held) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    assert quality.score_quality(docs, labels).count() == docs.count()
+    assert quality.score_quality(empty, labels).count() == 0
+    assert {r["score"] for r in quality.score_quality(docs, labels.where("quality = 1")).collect()} == {1.0}
+
+
+def test_isotonic_is_monotone_and_keeps_totals():
+    n, p = DRAW.integers(0, 5, 50).astype(float), np.zeros(50)
+    p = np.array([DRAW.integers(0, int(k) + 1) for k in n], float)
+    fit = quality.isotonic(n, p)
+    assert (np.diff(fit) >= -1e-12).all() and abs((fit * n).sum() - p.sum()) < 1e-9
+
+
+def test_flac_round_trip(docs, empty):
+    rows = flac.decode(flac.encode(docs)).collect()
+    assert len(rows) == docs.count()
+    want = sorted(((i, x.encode() + b"\xff" * (max(1, -(-len(x.encode()) // 576)) * 576 - len(x.encode()))) for i, x in all_rows(docs)), key=repr)
+    assert sorted(((r["doc_id"], bytes(r["pcm"])) for r in rows), key=repr) == want
+    assert flac.decode(flac.encode(empty)).count() == 0
+    row = max(rows, key=lambda r: len(r["pcm"]))
+    assert flac.read_samples(bytes(row["media"]), 1000, 3000) == bytes(row["pcm"])[1000:4000]
+    block = flac.pcm_blocks(flac.encode(docs.where("doc_id = 15"))).orderBy("sample_offset").collect()
+    assert b"".join(bytes(b["pcm"]) for b in block) == bytes(next(r for r in rows if r["doc_id"] == 15)["pcm"])
+
+
+def test_flac_finds_damage_and_follows_long_codes():
+    x = DRAW.integers(0, 256, 576 * 200).astype(np.uint8)
+    x[: 576 * 40] = np.where(DRAW.random(576 * 40) < 0.02, 255, 97)
+    x[576 * 50 : 576 * 51] = 9
+    media, at = flac.encode_streams(x, np.array([0, 576 * 200]))
+    out, _ = flac.decode_streams([media.tobytes()])
+    assert (out == x).all()
+    broken = media.copy()
+    broken[len(broken) // 2] ^= 4
+    with pytest.raises(ValueError):
+        flac.decode_streams([broken.tobytes()])
+
+
+def test_flac_frame_numbers():
+    assert flac.frame_header(5)[4:-1] == b"\x05"
+    for n in (0x80, 0x7FF, 0x800, 0xD7FF, 0xFFFF, 0x10000):
+        assert flac.frame_header(n)[4:-1] == chr(n).encode("utf-8")
+
+
+def tokens_of(text):
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) + [None]
+
+
+def test_language_model(docs, empty, spark):
+    rows = all_rows(docs)
+    train = [i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows]
+    count = collections.Counter(w for ok, (_, t) in zip(train, rows, strict=True) if ok for w in tokens_of(t))
+    total, size = sum(count.values()), len(count)
+    got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), r["held_out"]) for r in hpylm.score_texts(docs).collect()), key=repr)
+    want = []
+    for i, t in rows:
+        own = tokens_of(t)
+        want.append((i, len(own), sum(count[w] > 0 for w in own), total, round(float(sum(np.log10((count[w] + 1) / (total + size + 1)) for w in own)), 6), i is not None and zlib.crc32(str(i).encode()) % 7 == 2))
+    assert got == sorted(want, key=repr)
+    assert hpylm.score_texts(empty).count() == 0
+    alone = hpylm.score_texts(spark.createDataFrame([(None, "no training here")], "doc_id long, text string")).collect()
+    assert alone[0]["train_tokens"] == 0 and alone[0]["n_known"] == 0
+
+
+def test_language_model_sums_to_one(spark, monkeypatch):
+    """The probabilities of all words and of the unknown one add up, for hot and for joined words."""
+    text = prose(400)
+    for hot in (4, 65_536):
+        monkeypatch.setattr(hpylm, "HOT_WORDS", hot)
+        words = sorted(set(tokens_of(text)[:-1]))
+        docs = spark.createDataFrame([(0, text)] + [(None, w) for w in [*words, "unseen", ""]], "doc_id long, text string")
+        score = {r["n_tokens"]: r["score"] for r in hpylm.score_texts(docs).collect()}
+        assert score[401] < 0
+        rows = hpylm.score_texts(docs).where("doc_id is null").collect()
+        one = [r for r in rows if r["n_tokens"] == 2]
+        # a one-word text: the word after the start, and the end after the word
+        end_alone = next(r["score"] for r in rows if r["n_tokens"] == 1)
+        assert len(one) == len(words) + 1 and end_alone < 0 and all(r["score"] < 0 for r in one)
+        assert min(one, key=lambda r: r["score"])["n_known"] == 1  # the unseen word is the least likely
+
+
+def test_seating_stays_in_range():
+    n = np.array([1, 2, 5, 40, 5_000, 100_000])
+    t = hpylm.seat(n, np.full(6, 0.3), 0.7, np.random.default_rng(0))
+    assert (t >= 1).all() and (t <= n).all() and t[0] == 1
+
+
+def test_mixing(docs, empty):
+    first, again = (pairs(mixing.mix(docs), "doc_id", "size", "source", "source_size", "target", "taken") for _ in range(2))
+    assert first == again and len(first) == docs.count()
+    by = collections.defaultdict(list)
+    for r in first:
+        by[r[2]].append(r)
+    for s, rows in by.items():
+        assert sum(r[1] for r in rows) == rows[0][3]
+        assert abs(sum(r[5] for r in rows) - rows[0][4]) <= max(r[1] for r in rows), s
+        assert all(r[5] in (0, r[1], 2 * r[1]) for r in rows)
+    total = sum(r[1] for r in first)
+    assert abs(sum(rows[0][4] for rows in by.values()) - 1.5 * total) < 1e-6 * total
+    assert mixing.mix(empty).count() == 0
+
+
+def test_mixing_tree_has_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 8)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    rows = [(i, prose(int(DRAW.integers(1, 30))), "a" if i % 3 else "b") for i in range(300)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == 300
+    for s in "ab":
+        own = [r for r in out if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 30
+
+
+def test_capped_targets():
+    got = mixing.capped_targets([("b", 100), ("a", 10), (None, 1000)])
+    assert got["a"] == 20 and abs(sum(got.values()) - 1.5 * 1110) < 1e-9 and got["b"] <= 200
+
+
+def brute_nearest(rows, k):
+    out = []
+    for i, q in rows:
+        if i % 20:
+            continue
+        near = sorted(((-float(np.dot(np.array(q, float), np.array(v, float))), j) for j, v in rows if j != i))[:k]
+        out += [(i, r, j, round(-s, 9)) for r, (s, j) in enumerate(near, 1)]
+    return sorted(out)
+
+
+def test_forest(spark):
+    x = DRAW.normal(size=(600, 8)).astype(np.float32)
+    x[300:340] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] * 8), (1060, [1.0, None] + [0.0] * 6), (None, [1.0] * 8), (1080, [1.0, 2.0]), (1100, [float("inf")] * 8)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
+    got = pairs(rpforest.search(df, share=1.0), "query", "rank", "vec_id", "score")
+    want = brute_nearest(rows, 20)
+    assert sorted((a, b, round(s, 5)) for a, b, _, s in got) == sorted((a, b, round(s, 5)) for a, b, _, s in want)
+    ids = collections.defaultdict(set)
+    for a, _, c, _ in got:
+        ids[a].add(c)
+    truth = collections.defaultdict(set)
+    for a, _, c, _ in want:
+        truth[a].add(c)
+    assert sum(len(ids[a] & truth[a]) for a in truth) / sum(map(len, truth.values())) > 0.99
+    assert rpforest.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_forest_recall(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    want = {(a, c) for a, _, c, _ in brute_nearest(rows, 20)}
+    got = {(r["query"], r["vec_id"]) for r in rpforest.search(df).collect()}
+    assert len(want & got) / len(want) >= 0.9
+
+
+def test_licenses(docs, empty, spark):
+    got = {r["doc_id"]: r["notices"] for r in licenses.scan(docs).collect() if r["doc_id"] is not None}
+    last = len(TEXTS) - 1
+    assert [x["family"] for x in got[last]] == ["Apache-2.0"] and got[last][0]["start"] == 0
+    assert all(not v for k, v in got.items() if k != last)
+    assert licenses.scan(empty).count() == 0
+    lines = [("MIT", "Released under the MIT License."), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC", "Licensed under CC BY-NC 4.0."), ("CC-BY", "Licensed under CC BY 4.0.")]
+    table = spark.createDataFrame([(i, prose(30) + "\n" + t + "\n" + prose(20)) for i, (_, t) in enumerate(lines)], "doc_id long, text string")
+    found = {r["doc_id"]: [x["family"] for x in r["notices"]] for r in licenses.scan(table).collect()}
+    assert found == {i: [f] for i, (f, _) in enumerate(lines)}
+
+
+def brute_repeats(rows, length):
+    count = collections.Counter(b[i : i + length] for _, t in rows for b in [t.encode()] for i in range(len(b) - length + 1))
+    out = []
+    for i, t in rows:
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - length + 1):
+            if count[b[k : k + length]] > 1:
+                gone[k : k + length] = True
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        out.append((i, len(b), int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum()) if len(b) else 0, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def removed(df):
+    return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in df.collect()), key=repr)
+
+
+def test_suffix_dedup(docs, empty):
+    short = docs.where("doc_id is null or doc_id <> 15")
+    assert removed(suffix_dedup.remove_repeats(short)) == brute_repeats(all_rows(short), 400)
+    assert suffix_dedup.remove_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("shard", [3, 2_000])
+def test_suffix_dedup_shards_and_periods(spark, monkeypatch, shard):
+    monkeypatch.setattr(suffix_dedup, "SHARD_PIECES", shard)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3_000)
+    passage = prose(90)[:460]
+    rows = [(i, prose(int(DRAW.integers(1, 60))) + passage[: 460 - i % 50] + prose(int(DRAW.integers(1, 60)))) for i in range(40)]
+    rows += [(100, "ab" * 700), (101, "abc" * 400), (102, "x" * 401), (103, "x" * 400), (104, "q" * 399), (105, passage * 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(suffix_dedup.remove_repeats(table)) == brute_repeats(rows, 400)
+
+
+def test_suffix_array_is_sorted():
+    for _ in range(20):
+        parts = [bytes(DRAW.integers(97, 99, DRAW.integers(1, 60)).astype(np.uint8)) for _ in range(6)]
+        data, lens = np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts])
+        ends = np.repeat(np.cumsum(lens), lens)
+        order = suffix_dedup.suffix_array(data, ends)
+        rests = [data[i : ends[i]].tobytes() for i in order]
+        assert rests == sorted(rests) and sorted(order) == list(range(len(data)))
+
+
+def test_text_buffers_take_slices_and_nulls():
+    from loomspark.llm.common import text_buffers
+
+    data, offsets = text_buffers(pa.array(["ab", None, "c", ""]).slice(1))
+    assert data.tobytes() == b"c" and offsets.tolist() == [0, 0, 1, 1]
