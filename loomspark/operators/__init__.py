@@ -1,0 +1 @@
+"""Operators of the library; see the modules."""

@@ -1,0 +1 @@
+"""Sources of the library; see the modules."""

@@ -1,0 +1 @@
+"""Streaming of the library; see the modules."""
