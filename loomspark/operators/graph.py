@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 W = "workflow_id"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows written to the cluster's checkpoint folder and read again, so that loops keep a short lineage."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the cluster's checkpoint folder; a temporary one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written to the cluster's checkpoint folder and read again, so that loops keep a short lineage."""
+    path = shared_folder(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

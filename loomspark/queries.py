@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import easing
 from .functions import semantics as S
 from .functions import text as X
 from .operators import catalog, cost, dedup, graph, intel, timeline, visibility
+from .sources import documents
+from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -357,3 +360,83 @@ def trim_series(spark, sf_dir):
     first = e.agg(F.min("t").alias("first"))
     e = e.crossJoin(F.broadcast(first)).withColumn("t", F.col("t") - F.col("first"))
     return timeline.trim(e, ["user_id"], "t", 86400.0, 864000.0).select("user_id", "event_id", F.round("t", 3).alias("t"))
+
+
+@query("SELECT event_id, round(u * u * u, 10) AS cubic_in, round(sin(u * pi() / 2), 10) AS sine_out, round(CASE WHEN u < 0.5 THEN 2 * u * u ELSE 1 - (2 - 2 * u) * (2 - 2 * u) / 2 END, 10) AS quad_both FROM (SELECT event_id, least(1.0, abs(value) / 500)::DOUBLE AS u FROM events)")
+def eased_values(spark, sf_dir):
+    u = table(spark, sf_dir, "events").select("event_id", F.least(F.lit(1.0), F.abs("value") / 500).alias("u"))
+    return u.select("event_id", F.round(easing.ease("u", "easeInCubic"), 10).alias("cubic_in"), F.round(easing.ease("u", "easeOutSine"), 10).alias("sine_out"), F.round(easing.ease("u", "easeInOutQuad"), 10).alias("quad_both"))
+
+
+# -- stored forms ----------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, turn, CASE WHEN length(text) > 90000 THEN left(text, 90000) || chr(10) || '[…truncated]' ELSE text END AS text FROM conversations WHERE role = 'assistant'")
+def answer_previews(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return documents.split_raw_preview(c)[1].select("conv_id", "turn", "text")
+
+
+@query("SELECT conv_id % 3 AS brand_id, CASE conv_id % 3 WHEN 0 THEN 'Zero' WHEN 1 THEN 'One' ELSE 'Unknown Brand' END AS brand_name, role, count(*)::DOUBLE AS n FROM conversations GROUP BY 1, 2, 3")
+def score_read_back(spark, sf_dir):
+    counts = table(spark, sf_dir, "conversations").groupBy((F.col("conv_id") % 3).alias("brand_id"), "role").count()
+    scores = counts.groupBy("brand_id").agg(F.map_from_entries(F.collect_list(F.struct("role", "count"))).alias("by_role"))
+    brands = spark.createDataFrame([(0, "Zero"), (1, "One"), (2, "")], "brand_id long, brand_name string")
+    back = documents.decode_scores(documents.encode_scores(scores, ["by_role"]), ["by_role"], brands)
+    return back.select("brand_id", "brand_name", F.explode("by_role").alias("role", "n"))
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_linenumber) AS n, arg_max(l_partkey, l_shipdate) FILTER (l_linenumber = 1) AS first_part FROM lineitem GROUP BY 1")
+def order_part_map(spark, sf_dir):
+    m = documents.images_for_board(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+    return m.select("l_orderkey", F.size("images").alias("n"), F.try_element_at("images", F.lit(1).cast(m.schema["images"].dataType.keyType)).alias("first_part"))
+
+
+@query("SELECT e.* EXCLUDE (ts, props) FROM events e JOIN (SELECT user_id FROM events GROUP BY 1 ORDER BY max(ts) DESC, 1 LIMIT 10) USING (user_id)")
+def newest_sessions(spark, sf_dir):
+    return documents.retain_sessions(table(spark, sf_dir, "events"), "user_id", "ts").select("event_id", "user_id", "event_type", "value")
+
+
+# -- streams ---------------------------------------------------------------------------------------
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream; as a pattern, the path may be one file or a folder of them."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def stream_daily_kpis(spark, sf_dir):
+    k = jobs.stream_kpis(event_stream(spark, sf_dir), "ts", "1 day", "7 days", ["event_type"], [F.count("*").alias("n"), F.sum("value").alias("total")])
+    return jobs.drain(k, "kpis", "update", ["start", "event_type"]).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("SELECT DISTINCT md5(event_type || '|' || props) AS hash FROM events")
+def stream_distinct_content(spark, sf_dir):
+    return jobs.drain(jobs.stream_dedup(event_stream(spark, sf_dir), F.concat_ws("|", "event_type", "props"), "ts", "400 days"), "dedup").select("hash")
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+def stream_sessions(spark, sf_dir):
+    s = jobs.sessionize(event_stream(spark, sf_dir), ["user_id"], "ts", "6 hours", "1 day")
+    return jobs.drain(s, "sessions").select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("SELECT user_id, place, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC) AS place FROM (SELECT user_id, event_type, max(ts) AS t FROM events GROUP BY 1, 2)) WHERE place <= 8")
+def stream_recent_types(spark, sf_dir):
+    r = jobs.drain(jobs.stream_recents(event_stream(spark, sf_dir), ["user_id"], "event_type", "ts"), "recents", "update", ["user_id", "event_type"])
+    return dedup.newest_n(r, ["user_id"], "event_type", ["ts"], 8).select("user_id", "place", "event_type")
+
+
+@query("SELECT user_id, round(coalesce(sum(value) FILTER (r IS NULL OR ts > r OR ts = r AND event_id > i), 0), 2) AS total FROM events LEFT JOIN (SELECT user_id, max(ts) AS r, arg_max(event_id, ts) AS i FROM events WHERE event_type = 'error' GROUP BY 1) USING (user_id) GROUP BY 1")
+def stream_cost_since_reset(spark, sf_dir):
+    e = event_stream(spark, sf_dir).withColumn("reset", F.col("event_type") == "error")
+    return jobs.stream_running_cost(e, "user_id", ["ts", "event_id"], "value", "reset").select("user_id", F.round("total", 2).alias("total"))
+
+
+@query("SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'failed' ELSE arg_max(event_type, ts) END AS status FROM events GROUP BY 1")
+def stream_task_status(spark, sf_dir):
+    e = event_stream(spark, sf_dir).withColumn("status", F.when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type")))
+    return jobs.drain(jobs.latest_status(e, "user_id", "status", "ts"), "status", "update", ["user_id"])
