@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 W = "workflow_id"
@@ -95,3 +95,20 @@ def copy_paste(nodes: DataFrame, edges: DataFrame, selected: DataFrame, suffix:
 def skipped_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Empty optional sources (is_skippable) and all that hangs on any skipped node."""
     return downstream(edges, nodes.where("is_skippable").select(W, "node_id"))
+
+
+#: Fixed value: the space between placed items.
+GAP = 20.0
+
+
+def stack(items: DataFrame, key: list[str], ord_: list[str], size: str, gap: float = GAP) -> DataFrame:
+    """Each item's offset behind those before it, with a gap between two."""
+    before = Window.partitionBy(*key).orderBy(*ord_).rowsBetween(Window.unboundedPreceding, -1)
+    return items.withColumn("offset", F.coalesce(F.sum(F.col(size) + gap).over(before), F.lit(0.0)))
+
+
+def grid(items: DataFrame, key: list[str], ord_: list[str]) -> DataFrame:
+    """Row and column of each item in the smallest square grid that holds them all."""
+    w = Window.partitionBy(*key)
+    place, columns = F.row_number().over(w.orderBy(*ord_)) - 1, F.ceil(F.sqrt(F.count("*").over(w)))
+    return items.withColumns({"row": F.floor(place / columns), "column": place % columns})

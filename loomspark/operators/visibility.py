@@ -84,3 +84,15 @@ def sentiment_stats(answers: DataFrame, label: str, keys: list[str]) -> DataFram
 
 def run_summary(answers: DataFrame, keys: list[str], states: list[str]) -> DataFrame:
     return answers.groupBy(*keys).agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in states])
+
+
+def score_to_tidy(scores: DataFrame, keys: list[str], maps: list[str]) -> DataFrame:
+    """One row for each entry of the maps: dimension, label, value, and the bar's width, which stops at 100."""
+    kind = "map<string,double>"
+
+    def entries(name: str) -> Column:
+        own = F.map_entries(F.coalesce(F.col(name).cast(kind), F.create_map().cast(kind)))
+        return F.transform(own, lambda e: F.struct(F.lit(name).alias("dimension"), e["key"].alias("label"), e["value"].alias("value")))
+
+    rows = scores.select(*keys, F.explode(F.flatten(F.array(*map(entries, maps)))).alias("e"))
+    return rows.select(*keys, "e.*").withColumn("width", F.least(F.lit(100.0), F.col("value")))

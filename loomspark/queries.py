@@ -368,6 +368,32 @@ def eased_values(spark, sf_dir):
     return u.select("event_id", F.round(easing.ease("u", "easeInCubic"), 10).alias("cubic_in"), F.round(easing.ease("u", "easeOutSine"), 10).alias("sine_out"), F.round(easing.ease("u", "easeInOutQuad"), 10).alias("quad_both"))
 
 
+# -- placement and chart rows ----------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce(sum(l_quantity::DOUBLE + 20) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS at FROM lineitem")
+def stacked_lines(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").withColumn("size", F.col("l_quantity").cast("double"))
+    return graph.stack(items, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "size").select("l_orderkey", "l_linenumber", F.col("offset").alias("at"))
+
+
+@query("SELECT o_custkey, o_orderkey, (n // c)::BIGINT AS at_row, (n % c)::BIGINT AS at_column FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n, ceil(sqrt(count(*) OVER (PARTITION BY o_custkey)))::BIGINT AS c FROM orders)")
+def order_grid(spark, sf_dir):
+    g = graph.grid(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"])
+    return g.select("o_custkey", "o_orderkey", F.col("row").alias("at_row"), F.col("column").alias("at_column"))
+
+
+@query("SELECT conv_id % 3 AS brand, 'by_role' AS dimension, role AS label, count(*)::DOUBLE AS value, least(100, count(*))::DOUBLE AS width FROM conversations GROUP BY 1, 3 UNION ALL SELECT conv_id % 3, 'by_turn', turn::VARCHAR, count(*)::DOUBLE, least(100, count(*))::DOUBLE FROM conversations GROUP BY 1, 3")
+def tidy_scores(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("brand", F.col("conv_id") % 3)
+
+    def counts(by: str, name: str) -> DataFrame:
+        n = c.groupBy("brand", F.col(by).cast("string").alias("label")).count()
+        return n.groupBy("brand").agg(F.map_from_entries(F.collect_list(F.struct("label", "count"))).alias(name))
+
+    return visibility.score_to_tidy(counts("role", "by_role").join(counts("turn", "by_turn"), "brand"), ["brand"], ["by_role", "by_turn"])
+
+
 # -- stored forms ----------------------------------------------------------------------------------
 
 

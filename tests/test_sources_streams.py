@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import easing
+from loomspark.operators import graph, visibility
 from loomspark.sources import documents as D
 from loomspark.streaming import jobs as J
 
@@ -73,3 +74,12 @@ def test_route(spark, tmp_path):
 @pytest.mark.parametrize(("name", "at", "want"), [("easeInQuad", 0.5, 0.25), ("easeOutExpo", 1.0, 1.0), ("easeInOutExpo", 0.0, 0.0), ("easeInOutCirc", 0.5, 0.5), ("easeOutCubic", 0.5, 0.875), ("other", 0.3, 0.3)])
 def test_ease(spark, name, at, want):
     assert spark.range(1).select(easing.ease(F.lit(at), name).alias("v")).first()["v"] == pytest.approx(want)
+
+
+def test_placement_and_tidy_rows(spark):
+    items = spark.createDataFrame([("g", i, 10.0) for i in range(5)], "k string, i int, s double")
+    assert [r.offset for r in graph.stack(items, ["k"], ["i"], "s").orderBy("i").collect()] == [0, 30, 60, 90, 120]
+    assert [(r.row, r.column) for r in graph.grid(items, ["k"], ["i"]).orderBy("i").collect()] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
+    scores = spark.createDataFrame([(1, {"a": 120.0}, None), (2, {}, {"b": 3.0})], "id int, x map<string,double>, y map<string,double>")
+    got = sorted(tuple(r) for r in visibility.score_to_tidy(scores, ["id"], ["x", "y"]).collect())
+    assert got == [(1, "x", "a", 120.0, 100.0), (2, "y", "b", 3.0, 3.0)]
