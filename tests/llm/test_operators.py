@@ -118,6 +118,25 @@ def test_ngram_join_deals_out_large_groups(spark, monkeypatch):
     assert pairs(ngram_join.link_components(docs), "doc_id", "n_shingles", "component_id") == want
 
 
+def test_asked_for_keeps_every_id_asked_for(spark, monkeypatch):
+    rows = spark.range(-2_000, 2_000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    wanted = rows.where("doc_id % 10 = 0").select("doc_id")
+    for bits in (1 << 26, 64):
+        monkeypatch.setattr(ngram_join, "BITS", bits)
+        held = ngram_join._asked_for(rows, wanted)
+        assert held.columns == ["doc_id", "text"]
+        assert wanted.exceptAll(held.select("doc_id")).isEmpty()
+        assert held.count() == 4_000 if bits == 64 else held.count() < 410
+
+
+def test_ngram_join_of_sizes_at_the_bound(spark):
+    """Each text is the start of the next, so that their sizes alone decide which of them link."""
+    words = [f"w{i}" for i in range(200)]
+    rows = [(n, " ".join(words[: n + 4])) for n in (30, 39, 40, 60, 75, 79, 100, 133, 134, 178)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pairs(ngram_join.link_components(docs), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+
+
 def test_divide_skip_counts_like_brute_force():
     for _ in range(200):
         lists = [sorted(set(DRAW.integers(0, 40, DRAW.integers(1, 30)).tolist())) for _ in range(DRAW.integers(1, 14))]
