@@ -243,6 +243,25 @@ def test_language_model_is_the_same_for_hot_and_joined_words(spark, monkeypatch)
     assert all(abs(scores[0][k] - scores[1][k]) < 1e-4 * abs(scores[0][k]) for k in scores[0])
 
 
+def test_every_training_word_is_a_context(spark):
+    """40 words, none more frequent than the others: each is always followed by the same partner."""
+    lines = [" ".join(f"a{i} b{i}" for i in DRAW.permutation(40)) for _ in range(30)]
+    docs = spark.createDataFrame([*((100 + i, t) for i, t in enumerate(lines)), *((-1 - i, f"a{i} b{i}") for i in range(40)), *((-101 - i, f"a{i} b{(i + 1) % 40}") for i in range(40))], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in hpylm.score_texts(docs).collect()}
+    assert all(score[-1 - i] > score[-101 - i] + 0.5 for i in range(40))
+
+
+def test_draws_depend_on_the_key_alone():
+    n, p = np.array([7, 400, 90_000, 50]), np.array([0.3, 0.9, 0.2, 0.0])
+    key = np.arange(4, dtype=np.uint64) + np.uint64(77)
+    got = hpylm.seat(n, np.full(4, 5.0), 0.5, hpylm.Draws(key, n))
+    assert all(hpylm.seat(n[i : i + 1], np.full(1, 5.0), 0.5, hpylm.Draws(key[i : i + 1], n[i : i + 1]))[0] == got[i] for i in range(2))
+    many = hpylm.Draws(np.arange(4_000, dtype=np.uint64), np.ones(4_000))
+    for m, q in zip(n, p, strict=True):
+        x = many.binomial(np.full(4_000, m), np.full(4_000, q))
+        assert abs(x.mean() - m * q) <= 5 * np.sqrt(m * q * (1 - q) / 4_000) and (x >= 0).all() and (x <= m).all()
+
+
 def test_seating_stays_in_range():
     n = np.array([1, 2, 5, 40, 5_000, 100_000])
     t = hpylm.seat(n, np.full(6, 0.3), 0.7, np.random.default_rng(0))
