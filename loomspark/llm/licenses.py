@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,10 +126,78 @@ def template_match(paragraph: str, family: str) -> float:
     return max(len(own & p) / len(p) for p in map(pairs, TEMPLATES[family]))
 
 
+def _pair_hashes(words: np.ndarray) -> np.ndarray:
+    """Of each word with the word before it; the first one's means nothing."""
+    out = np.zeros(len(words), np.uint64)
+    out[1:] = mix(words[1:] ^ mix(words[:-1] + np.uint64(3)))
+    return out
+
+
+def _template_pairs() -> list[tuple[str, np.ndarray, int, int]]:
+    """Of each template: family, sorted hashes of its word pairs, least number of them for a match, words of a window."""
+    out = []
+    for family, templates in TEMPLATES.items():
+        for template in templates:
+            words, *_ = word_hashes(*_buffers([template]))
+            own = np.unique(_pair_hashes(words)[1:])
+            out.append((family, own, int(np.ceil(MATCH * len(own) - 1e-9)), 2 * len(words)))
+    return out
+
+
+def windows(part: np.ndarray, offs: np.ndarray) -> list[tuple[int, str, int, int]]:
+    """(text, family, start, end) of the stretches of words, across wrapped lines, that may hold a template.
+
+    A stretch lies in one paragraph (no line without words inside), has at most twice the template's
+    words and at least as many of its word pairs as a match needs; so nothing that matches is left out.
+    """
+    words, first, starts, lens = word_hashes(PLAIN[part], offs)
+    if len(words) < 2:
+        return []
+    lines = np.concatenate([[0], np.cumsum(part == 10)])
+    new = np.ones(len(words), bool)
+    new[1:] = lines[starts[1:]] - lines[(starts + lens)[:-1]] > 1
+    new[first[:-1][first[:-1] < len(words)]] = True
+    paragraph, pair = np.cumsum(new), _pair_hashes(words)
+    pair_at = np.flatnonzero(~new)
+    known = np.unique(np.concatenate([own for _, own, _, _ in PAIRS]))
+    at = np.minimum(np.searchsorted(known, pair[pair_at]), len(known) - 1)
+    pair_at = pair_at[known[at] == pair[pair_at]]
+    hashes, out = pair[pair_at], []
+    for family, own, least, most in PAIRS:
+        at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+        hit = pair_at[own[at] == hashes]
+        if len(hit) < least:
+            continue
+        last = hit[least - 1 :]
+        begin = np.flatnonzero((last - hit[: len(last)] + 2 <= most) & (paragraph[last] == paragraph[hit[: len(last)]]))
+        for i in begin:
+            upto = int(np.searchsorted(hit, hit[i] + most - 2, side="right")) - 1
+            while paragraph[hit[upto]] != paragraph[hit[i]]:
+                upto -= 1
+            a, b = int(starts[hit[i] - 1]), int(starts[hit[upto]] + lens[hit[upto]])
+            out.append((int(np.searchsorted(offs, a, side="right")) - 1, family, a, b))
+    return sorted(set(out))
+
+
+def closest(part: np.ndarray, found: list[tuple[int, str, int, int]]) -> list[tuple[int, str, int, int]]:
+    """The stretches that match, without those of which half or more lies in a better match of another family."""
+    texts = {(a, b): part[a:b].tobytes().decode("utf-8", "replace") for *_, a, b in found}
+    known = [(a, b, i, family, m) for i, family, a, b in found if (m := template_match(texts[a, b], family)) >= MATCH]
+    known.sort()
+    begin, longest = [x[0] for x in known], max((x[1] - x[0] for x in known), default=0)
+    out = []
+    for a, b, i, family, m in known:
+        near = known[bisect.bisect_left(begin, a - longest) : bisect.bisect_left(begin, b)]
+        if not any(y[4] > m and y[3] != family and 2 * (min(b, y[1]) - max(a, y[0])) >= b - a for y in near):
+            out.append((i, family, a, b))
+    return out
+
+
 #: Characters kept as they are; every other ASCII character separates words.
 PLAIN = np.full(256, 32, np.uint8)
 for _b in [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 10]:
     PLAIN[_b] = _b
+PAIRS = _template_pairs()
 
 
 def _scan(model: Classifier):
@@ -145,13 +214,23 @@ def _scan(model: Classifier):
                 paragraphs = np.bincount(owner[words], minlength=last - first) if len(owner) else np.zeros(last - first, np.int64)
                 best = p[:, 1:].argmax(axis=1) + 1 if len(p) else np.zeros(0, np.int64)
                 found: list[dict[str, tuple[float, float, int, int]]] = [{} for _ in range(last - first)]
-                for i in np.flatnonzero(p[np.arange(len(p)), best] >= SURE) if len(p) else []:
-                    family, a, b = FAMILIES[best[i]], int(cuts[i]), int(cuts[i + 1])
+
+                def note(i: int, family: str, probability: float, a: int, b: int) -> None:
                     match = template_match(part[a:b].tobytes().decode("utf-8", "replace"), family)
-                    known = found[owner[i]]
-                    if match >= MATCH and (family not in known or match > known[family][1]):
-                        start = int(offs[owner[i]])
-                        known[family] = (float(p[i, best[i]]), match, a - start, b - start)
+                    if match >= MATCH and (family not in found[i] or match > found[i][family][1]):
+                        found[i][family] = (probability, match, a - int(offs[i]), b - int(offs[i]))
+
+                for i in np.flatnonzero(p[np.arange(len(p)), best] >= SURE) if len(p) else []:
+                    note(owner[i], FAMILIES[best[i]], float(p[i, best[i]]), int(cuts[i]), int(cuts[i + 1]))
+                more = closest(part, windows(part, offs))
+                for at in range(0, len(more), 10_000):
+                    some = more[at : at + 10_000]
+                    plain = PLAIN[np.concatenate([part[a:b] for *_, a, b in some])]
+                    q = model.probabilities(plain, np.cumsum([0, *(b - a for *_, a, b in some)]))
+                    for j, (i, family, a, b) in enumerate(some):
+                        k = int(q[j, 1:].argmax()) + 1
+                        if q[j, k] >= SURE and FAMILIES[k] == family:
+                            note(i, family, float(q[j, k]), a, b)
                 rows = [[{"family": k, "probability": v[0], "match": v[1], "start": v[2], "end": v[3]} for k, v in sorted(x.items())] for x in found]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(paragraphs), pa.array(rows, NOTICES)], ["doc_id", "n_paragraphs", "notices"])
 
@@ -164,10 +243,12 @@ NOTICES = pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float6
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_paragraphs, notices (family, probability, match, start, end in bytes) of every row.
 
-    Paragraphs are lines. The classifier is fitted on the driver from variants of the templates and at
+    n_paragraphs counts lines. The classifier is fitted on the driver from variants of the templates and at
     most NEGATIVES lines of the corpus (by a hash of the line) that stand for the unknown class; every
-    line of every text is then classified, in tasks that hold the fixed-size weights. A family is
-    reported where its calibrated probability reaches SURE and a template of it agrees.
+    line of every text is then classified, in tasks that hold the fixed-size weights, and so is every
+    stretch within a paragraph (lines between lines without words) or a long line that holds enough
+    word pairs of a template, unless another family matches the same words better. A family is reported
+    where its calibrated probability reaches SURE and a template of it agrees, at its best place.
 
     Null and empty texts have no paragraphs and no notices; ids, repeated rows and other columns as in
     ``token_count.count_tokens``.

@@ -348,6 +348,23 @@ def test_licenses(docs, empty, spark):
     assert found == {i: [f] for i, (f, _) in enumerate(lines)}
 
 
+def test_wrapped_and_inner_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:\n#\n# 1. Redistributions of source code must retain the above copyright notice"
+    gpl = " * This program is free software: you can redistribute it and/or modify\r\n * it under the terms of the GNU General Public License as published by\r\n * the Free Software Foundation, either version 3 of the License, or\r\n * (at your option) any later version."
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version."
+    apart = "\n\n".join(mit.split("\n"))
+    texts = [(["MIT"], mit), (["BSD"], bsd), (["GPL-3.0"], gpl), (["LGPL"], lgpl), ([], apart)]
+    texts = [(f, prose(30) + "\n\n" + t + "\n\n" + prose(20)) for f, t in texts]
+    texts += [(["Apache-2.0"], prose(300) + " Licensed under the Apache License, Version 2.0. " + prose(300)), (["CC-BY-NC"], prose(90) + " Licensed under CC BY-NC 4.0. " + prose(90)), ([], prose(900))]
+    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["notices"] for r in licenses.scan(table).collect()}
+    assert {i: [x["family"] for x in n] for i, n in got.items()} == {i: f for i, (f, _) in enumerate(texts)}
+    place = got[0][0]
+    assert texts[0][1].encode()[place["start"] : place["end"]].decode().startswith("Permission is hereby") and place["match"] == 1
+    assert texts[5][1].encode()[got[5][0]["start"] : got[5][0]["end"]].decode() == "Licensed under the Apache License, Version 2.0"
+
+
 def brute_repeats(rows, length):
     count = collections.Counter(b[i : i + length] for _, t in rows for b in [t.encode()] for i in range(len(b) - length + 1))
     out = []
