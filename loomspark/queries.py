@@ -266,6 +266,14 @@ def split_by_delimiter(spark, sf_dir):
     return c.select("conv_id", "turn", F.size(items).alias("items"), F.concat_ws("|", F.slice(items, 1, 2)).alias("head"))
 
 
+@query(r"""SELECT conv_id, turn, len(x)::INT AS items, array_to_string(x, chr(31)) AS joined FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(coalesce(text, ''), ', '),
+  lambda s: regexp_replace(s, '^[WHITE]+|[WHITE]+$', '', 'g')), lambda s: s <> '') AS x FROM conversations)""".replace("WHITE", r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"))
+def split_all_turns(spark, sf_dir):
+    """Every turn, also those of many lines, with all its items."""
+    items = X.split_text("text", "delimiter", ", ")["items"]
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(items).alias("items"), F.concat_ws("\x1f", items).alias("joined"))
+
+
 @query("SELECT conv_id, turn, replace(replace('@role said @n words', '@role', role), '@n', (length(text) - length(replace(text, ' ', '')) + 1)::VARCHAR) AS text FROM conversations")
 def fill_turn_template(spark, sf_dir):
     words = (F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit(""))) + 1).cast("string")

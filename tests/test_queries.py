@@ -38,6 +38,13 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_every_turn_is_split(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): r["joined"].split("\x1f") if r["items"] else [] for r in queries.queries()["split_all_turns"](spark, sf_dir).collect()}
+    want = {(r["conv_id"], r["turn"]): [x.strip() for x in r["text"].split(", ") if x.strip()] for r in c.collect()}
+    assert got == want and any("\n" in x for items in got.values() for x in items) and any(len(x) > 2 for x in got.values())
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
