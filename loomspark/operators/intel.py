@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,16 @@ POINTS = {"blog": 15, "social": 10, "analytics": 10, "schema": 10, "https": 5, "
 LENGTH_POINTS = ((1000, 15), (300, 8))
 GRADES = ((90, "A+"), (80, "A"), (70, "B+"), (60, "B"), (50, "C+"), (40, "C"), (30, "D"))
 BODY_LENGTH = 2000
+SOCIAL = ("linkedin.com", "twitter.com", "x.com", "facebook.com", "instagram.com")
+#: Technologies by group, in order, with the markers that lower-cased pages hold.
+TECHNOLOGIES = {
+    "cms": {"WordPress": ("wp-content", "wordpress"), "Webflow": ("webflow",), "Shopify": ("shopify",), "Squarespace": ("squarespace",), "Wix": ("wix.com",), "Contentful": ("contentful",), "Strapi": ("strapi",)},
+    "analytics": {"Google Analytics": ("google-analytics", "gtag", "ga4"), "Mixpanel": ("mixpanel",), "Amplitude": ("amplitude",), "Hotjar": ("hotjar",), "Segment": ("segment",), "Plausible": ("plausible",), "PostHog": ("posthog",)},
+    "crm": {"HubSpot": ("hubspot",), "Salesforce": ("salesforce",), "Pipedrive": ("pipedrive",), "Intercom": ("intercom",), "Drift": ("drift",)},
+    "marketing": {"Mailchimp": ("mailchimp",), "Klaviyo": ("klaviyo",), "ActiveCampaign": ("activecampaign",), "Marketo": ("marketo",)},
+    "infrastructure": {"Cloudflare": ("cloudflare",), "Vercel": ("vercel",), "Netlify": ("netlify",), "AWS": ("aws",), "GCP": ("google cloud", "gcp")},
+    "framework": {"Next.js": ("__next", "_next/"), "React": ("react",), "Vue.js": ("vue",), "Angular": ("angular",), "Svelte": ("svelte",), "Tailwind CSS": ("tailwind",)},
+}
 
 
 def html_title(html: str | Column) -> Column:
@@ -35,12 +47,26 @@ def html_body(html: str | Column) -> Column:
 
 
 def page_maturity(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """The pages with their points of each kind, the score over all of them (90 at most) and the grade."""
     low, body = F.lower(col(html)), html_body(html)
     schema = low.contains("schema.org") | low.contains("application/ld+json")
     out = pages.withColumns({"body_length": F.length(body), "has_blog": low.contains("blog"), "has_schema": low.contains("schema.org"), "https": col(url).startswith("https")})
     length = F.when(F.col("body_length") > LENGTH_POINTS[0][0], LENGTH_POINTS[0][1]).when(F.col("body_length") > LENGTH_POINTS[1][0], LENGTH_POINTS[1][1]).otherwise(0)
-    score = F.when(F.col("has_blog"), POINTS["blog"]).otherwise(0) + F.when(schema, POINTS["schema"]).otherwise(0) + F.when(F.col("https"), POINTS["https"]).otherwise(0) + length
-    return out.withColumn("score", score).withColumn("grade", grade(F.col("score")))
+    holds = {"blog": F.col("has_blog"), "social": _any(low, SOCIAL), "schema": schema, "https": F.col("https")}
+    holds |= {g: _any(low, [m for markers in TECHNOLOGIES[g].values() for m in markers]) for g in ("analytics", "crm", "marketing", "framework")}
+    points = {name: F.when(hit, POINTS[name]).otherwise(0) for name, hit in holds.items()} | {"length": length}
+    out = out.withColumn("points", F.struct(*[x.alias(name) for name, x in points.items()]))
+    return out.withColumn("score", sum(F.col("points")[name] for name in points)).withColumn("grade", grade(F.col("score")))
+
+
+def _any(low: Column, markers) -> Column:
+    return reduce(Column.__or__, [low.contains(m) for m in markers])
+
+
+def tech_stack(html: str | Column) -> Column:
+    """The technologies a page shows markers of, in the order of TECHNOLOGIES; none for a null page."""
+    low = F.lower(col(html))
+    return F.array_compact(F.array(*[F.when(_any(low, markers), F.lit(name)) for group in TECHNOLOGIES.values() for name, markers in group.items()]))
 
 
 def grade(score: Column) -> Column:

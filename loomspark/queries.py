@@ -294,7 +294,21 @@ c AS (SELECT *, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_re
 SELECT page_id, length(body)::INT AS body_length, contains(lower(html), 'blog') AS has_blog, contains(lower(html), 'schema.org') AS has_schema, starts_with(url, 'https') AS https,
   (CASE WHEN contains(lower(html), 'blog') THEN 15 ELSE 0 END + CASE WHEN contains(lower(html), 'schema.org') OR contains(lower(html), 'application/ld+json') THEN 10 ELSE 0 END + CASE WHEN starts_with(url, 'https') THEN 5 ELSE 0 END + CASE WHEN length(body) > 1000 THEN 15 WHEN length(body) > 300 THEN 8 ELSE 0 END)::INT AS score FROM c""")
 def page_maturity(spark, sf_dir):
-    return intel.page_maturity(table(spark, sf_dir, "pages")).select("page_id", "body_length", "has_blog", "has_schema", "https", "score")
+    """The points for blog, schema, https and length alone; ``page_maturity_whole`` has all kinds."""
+    points = F.col("points")
+    score = points["blog"] + points["schema"] + points["https"] + points["length"]
+    return intel.page_maturity(table(spark, sf_dir, "pages")).select("page_id", "body_length", "has_blog", "has_schema", "https", score.alias("score"))
+
+
+@query(r"""WITH b AS (SELECT page_id, url, lower(html) AS h, CASE WHEN regexp_matches(html, '(?is)<body[^>]*>.*?</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) ELSE html END AS raw FROM pages),
+c AS (SELECT *, length(left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 2000)) AS n FROM b),
+p AS (SELECT page_id, h, (CASE WHEN contains(h, 'blog') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(h, 'linkedin\.com|twitter\.com|x\.com|facebook\.com|instagram\.com') THEN 10 ELSE 0 END
+  + CASE WHEN regexp_matches(h, 'google-analytics|gtag|ga4|mixpanel|amplitude|hotjar|segment|plausible|posthog') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(h, 'schema\.org|application/ld\+json') THEN 10 ELSE 0 END
+  + CASE WHEN starts_with(url, 'https') THEN 5 ELSE 0 END + CASE WHEN n > 1000 THEN 15 WHEN n > 300 THEN 8 ELSE 0 END + CASE WHEN regexp_matches(h, 'hubspot|salesforce|pipedrive|intercom|drift') THEN 10 ELSE 0 END
+  + CASE WHEN regexp_matches(h, 'mailchimp|klaviyo|activecampaign|marketo') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(h, '__next|_next/|react|vue|angular|svelte|tailwind') THEN 10 ELSE 0 END)::INT AS score FROM c)
+SELECT page_id, score, CASE WHEN score >= 90 THEN 'A+' WHEN score >= 80 THEN 'A' WHEN score >= 70 THEN 'B+' WHEN score >= 60 THEN 'B' WHEN score >= 50 THEN 'C+' WHEN score >= 40 THEN 'C' WHEN score >= 30 THEN 'D' ELSE 'F' END AS grade FROM p""")
+def page_maturity_whole(spark, sf_dir):
+    return intel.page_maturity(table(spark, sf_dir, "pages")).select("page_id", "score", "grade")
 
 
 @query("SELECT page_id, regexp_matches(url, '^https?://[^/]+') AND NOT regexp_matches(url, '^https?://(localhost|127\\.|10\\.|192\\.168\\.|169\\.254\\.|0\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)') AS valid FROM pages".replace("\\\\", "\\"))

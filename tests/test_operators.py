@@ -185,3 +185,20 @@ def test_stitch_puts_segments_after_each_other(spark):
 def test_trim_rejects_an_empty_range(spark):
     with pytest.raises(ValueError):
         timeline.trim(spark.range(1), ["id"], "id", 3.0, 3.0)
+
+
+def test_maturity_counts_every_kind_of_marker(spark):
+    pages = [
+        (1, "http://a", "<body>nothing</body>", 0, "F", []),
+        (2, "http://a", "<a href='https://LinkedIn.com/a'>", 10, "F", []),
+        (3, "http://a", "<script src=gtag.js></script>", 10, "F", ["Google Analytics"]),
+        (4, "http://a", "HubSpot forms", 10, "F", ["HubSpot"]),
+        (5, "http://a", "klaviyo", 5, "F", ["Klaviyo"]),
+        (6, "http://a", "<div id=__next>", 10, "F", ["Next.js"]),
+        (7, "https://a", "blog schema.org x.com posthog drift marketo vue laws wordpress <body>" + "word " * 300 + "</body>", 90, "A+", ["WordPress", "PostHog", "Drift", "Marketo", "AWS", "Vue.js"]),
+        (None, None, None, 0, "F", []),
+    ]
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    got = intel.page_maturity(df).withColumn("stack", intel.tech_stack("html")).collect()
+    key = lambda r: r[0] or 0
+    assert sorted(((r["page_id"], r["score"], r["grade"], r["stack"]) for r in got), key=key) == sorted(((p[0], *p[3:]) for p in pages), key=key)
