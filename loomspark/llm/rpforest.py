@@ -7,20 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import durable, list_array
-from .quality import matrix
+from .common import durable
 
 #: Vectors on which the trees' planes are fitted, at most; every vector is indexed.
 SAMPLE = 20_000
 TREES, LEAF = 16, 256
-#: Share of all leaves that a query visits (recall of 0.92 on unclustered 64-dimensional vectors), and
-#: how many of them set the bound that the others' candidates must reach.
-SHARE, OPENING = 0.04, 16
-#: Most vectors of a leaf that one task holds; a larger leaf is dealt out in parts.
-PART = 8_192
+#: Share of the true neighbours of TRIALS sampled vectors, found by brute force, that sets how many leaves a query visits.
+RECALL, TRIALS = 0.96, 128
+#: Leaves that one task ranks together, and the most vectors and queries of theirs in one group; more are dealt out in parts.
+CELL, PART, ASKED = 32, 16_384, 4_096
 
 
 class Forest:
@@ -76,104 +75,208 @@ class Forest:
         return out
 
 
-def _index(forest: Forest):
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Lists as rows of doubles; shorter lists end in zeros."""
+    lens = np.asarray(column.value_lengths().fill_null(0))
+    out = np.zeros((len(column), width))
+    out[np.arange(width) < lens[:, None]] = np.asarray(column.flatten())
+    return out
+
+
+def top(score: np.ndarray, first: np.ndarray, owner: np.ndarray, k: int) -> np.ndarray:
+    """Places of each owner's k largest scores, ties to the smaller ``first``, in that order."""
+    order = np.lexsort((first, -score, owner))
+    own = owner[order]
+    begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    place = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
+    return order[place < k]
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component to the last."""
+    out = np.zeros(len(q))
+    for d in range(q.shape[1]):
+        out += q[:, d] * x[:, d]
+    return out
+
+
+def above(q: np.ndarray, bound: np.ndarray, x: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vector row, score) of each query's k best among x that reach its bound."""
+    parts = []
+    for a in range(0, len(q), 256):
+        near = q[a : a + 256] @ x.T
+        row, at = np.nonzero(near >= (bound[a : a + 256] - 1e-9 * (1 + np.abs(bound[a : a + 256])))[:, None])
+        score = products(q[a + row], x[at])
+        keep = top(score, first[at], row, k)
+        parts.append((a + row[keep], at[keep], score[keep]))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+
+
+def _index(forest: Forest, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                leaf = forest.leaves(matrix(batch.column(1)).astype(float))
-                rows = np.repeat(np.arange(batch.num_rows), leaf.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel()), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], ["leaf", "first", "vector"])
+                leaf = forest.leaves(matrix(batch.column(1), width))
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), leaf.shape[1]))
+                flat = leaf.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array((flat // CELL).astype(np.int32)), pa.array(flat.astype(np.int32)), batch.column(0).take(rows), batch.column(1).take(rows)], ["cell", "leaf", "first", "vector"])
 
     return run
 
 
-def _probe(forest: Forest, probes: int):
+def _probe(forest: Forest, probes: int, sample: np.ndarray, firsts: np.ndarray, k: int, width: int):
+    """Queries to the cells with leaves that they visit and the score that a candidate must reach (kind 0), and their best of the sample (kind 1)."""
+    inner = 2**forest.depth
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = [forest.probe(q, probes) for q in matrix(batch.column(1)).astype(float)]
-                lens = np.array([len(x) for x in found])
-                rows = np.repeat(np.arange(len(found)), lens)
-                turn = np.arange(len(rows)) - np.repeat(np.cumsum(lens) - lens, lens)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(turn.astype(np.int32))], ["leaf", "query", "turn"])
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                q = matrix(part.column(1), width)
+                row, at, score = above(q, np.full(len(q), -np.inf), sample, firsts, k)
+                bound = np.full(len(q), -np.inf)
+                full = np.flatnonzero(np.bincount(row, minlength=len(q)) >= k)
+                bound[full] = score[np.searchsorted(row, full, side="right") - 1]
+                rows, cells, leaves = [], [], []
+                for i, x in enumerate(q):
+                    visited = np.sort(np.array(forest.probe(x, min(probes, len(forest.planes) * inner)), np.int32))
+                    cut = np.flatnonzero(np.concatenate([[True], visited[1:] // CELL != visited[:-1] // CELL]))
+                    rows.append(np.full(len(cut), i))
+                    cells.append(visited[cut] // CELL)
+                    leaves += np.split(visited, cut[1:])
+                rows, none = np.concatenate(rows), pa.nulls
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(leaves, pa.list_(pa.int32())), pa.array(bound[rows]), none(len(rows), pa.int64()), none(len(rows), pa.float64())], VISIT)
+                n = len(row)
+                yield pa.RecordBatch.from_arrays([none(n, pa.int32()), part.column(0).take(pa.array(row)), none(n, part.column(1).type), none(n, pa.list_(pa.int32())), none(n, pa.float64()), pa.array(firsts[at]), pa.array(score)], VISIT)
 
     return run
 
 
-def _rank(k: int):
+VISIT = ["cell", "query", "vector", "leaves", "bound", "first", "score"]
+
+
+def _rank(k: int, width: int):
     def run(points: pa.Table, queries: pa.Table) -> pa.Table:
-        if not points.num_rows or not queries.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "about": pa.array([], pa.float64())})
-        x, q = matrix(points["vector"].combine_chunks()).astype(float), matrix(queries["vector"].combine_chunks()).astype(float)
-        bound = np.asarray(queries["bound"])
-        n, rows, columns, scores = min(k, len(x)), [], [], []
-        for a in range(0, len(q), 256):
-            s = q[a : a + 256] @ x.T
-            best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            value = np.take_along_axis(s, best, axis=1)
-            row, place = np.nonzero(value >= bound[a : a + 256, None])
-            rows.append(row + a)
-            columns.append(best[row, place])
-            scores.append(value[row, place])
-        return pa.table({"query": queries["query"].take(pa.array(np.concatenate(rows))), "first": points["first"].take(pa.array(np.concatenate(columns))), "about": pa.array(np.concatenate(scores))})
+        found = []
+        if points.num_rows and queries.num_rows:
+            first, leaf = np.asarray(points["first"]), np.asarray(points["leaf"])
+            x, q = matrix(points["vector"].combine_chunks(), width), matrix(queries["vector"].combine_chunks(), width)
+            asks, bound = queries["leaves"].combine_chunks(), np.asarray(queries["bound"])
+            row, wanted = np.repeat(np.arange(len(q)), np.asarray(asks.value_lengths())), np.asarray(asks.flatten())
+            for one in np.unique(leaf):
+                mine, own = row[wanted == one], np.flatnonzero(leaf == one)
+                i, j, score = above(q[mine], bound[mine], x[own], first[own], k)
+                found.append((mine[i], own[j], score))
+        row, at, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        keep = top(score, np.asarray(points["first"])[at], row, k) if found else row
+        return pa.table({"query": queries["query"].take(pa.array(row[keep])), "first": points["first"].take(pa.array(at[keep])), "score": pa.array(score[keep])}, pa.schema([("query", pa.int64()), ("first", pa.int64()), ("score", pa.float64())]))
+
+    return run
+
+
+def _nearest(forest: Forest, trials: np.ndarray, k: int, width: int):
+    """Vectors to each task's k best for every trial query, with the leaves that hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, first = matrix(batch.column(1), width), np.asarray(batch.column(0))
+            row, at, score = above(trials, np.full(len(trials), -np.inf) if best is None else best[4], x, first, k)
+            new = (row, first[at], score, forest.leaves(x[at]))
+            if best is not None:
+                new = tuple(np.concatenate(c) for c in zip(best[:4], new, strict=True))
+            keep = top(new[2], new[1], new[0], k)
+            new = tuple(c[keep] for c in new)
+            bound, full = np.full(len(trials), -np.inf), np.flatnonzero(np.bincount(new[0], minlength=len(trials)) >= k)
+            bound[full] = new[2][np.searchsorted(new[0], full, side="right") - 1]
+            best = (*new, bound)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(best[0]), pa.array(best[1]), pa.array(best[2]), pa.array(list(best[3]), pa.list_(pa.int64()))], ["trial", "first", "score", "leaves"])
 
     return run
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, trees: int = TREES, leaf: int = LEAF, share: float = SHARE) -> DataFrame:
-    """query, rank, vec_id, score: the k largest inner products found for each row whose id is divisible by ``every``.
+def visits_for(forest: Forest, points: DataFrame, trials: np.ndarray, k: int, recall: float, width: int) -> int:
+    """Leaves to visit so that the trial queries find a share ``recall`` of their true neighbours.
 
-    Planes are fitted on at most SAMPLE vectors; every vector is put in one leaf of every tree. A query
-    visits a ``share`` of all leaves, chosen through one priority queue, and all vectors of those leaves
-    are ranked, first those of the OPENING best leaves, whose results bound what the others need to send; the final score is summed in double precision on the stored vectors, in order.
+    Their neighbours are found by brute force: one pass over all vectors, of which each task sends
+    k for every trial.
+    """
+    near = points.mapInArrow(_nearest(forest, trials, k, width), "trial long, first long, score double, leaves array<bigint>")
+    by = Window.partitionBy("trial").orderBy(F.desc("score"), "first")
+    turns = []
+    whole = len(forest.planes) * 2**forest.depth
+    rows = near.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k).select("trial", "leaves").toArrow().to_pydict()
+    wanted: dict[int, list[list[int]]] = {}
+    for t, leaves in zip(rows["trial"], rows["leaves"], strict=True):
+        wanted.setdefault(t, []).append(leaves)
+    for t, lists in wanted.items():
+        turn = np.empty(whole, np.int64)
+        turn[forest.probe(trials[t], whole)] = np.arange(whole)
+        turns += [int(turn[leaves].min()) for leaves in lists]
+    return 1 + int(np.sort(turns)[min(len(turns) - 1, int(np.ceil(recall * len(turns))))]) if turns else 1
 
-    Equal vectors are indexed once, with their k + 1 smallest ids, which is all that a result of k can
-    hold. Vectors that are null, empty, zero, or hold null or non-finite values, or whose length is not
-    the table's most common one, take no part, as do null ids. Rows with the same id and vector count
-    once. Ties go to the smaller id.
+
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
+    """query_id, rank, vec_id, score: the k largest inner products found for each row whose id is divisible by ``every``.
+
+    1. Planes are fitted on at most SAMPLE vectors; every vector is put in one leaf of every tree.
+    2. How many leaves a query visits is what TRIALS sampled vectors need to find a share ``recall`` of
+       their true neighbours, so it follows the data and its size.
+    3. Each query takes its leaves through one priority queue over all trees. The k + 1 best vectors of
+       the sample bound what a leaf needs to send. All vectors of the visited leaves are ranked, in
+       groups of bounded size, by sums in double precision over the stored vectors, in order.
+
+    Equal vectors are indexed and searched once, with their k + 1 smallest ids, which is all that a
+    result of k can hold. Vectors that are null, empty, zero, or hold null or non-finite values take no
+    part, nor do null ids; of rows with one id, the smallest vector counts. A shorter vector has zeros
+    behind its end. Fewer than k other vectors give as many rows; an empty table none. Ties go to the
+    smaller id.
     """
     v = F.col("vector")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    kind = "float" if isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), FloatType) else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("vector"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & fine).distinct()
-    rows = durable(rows, "vectors")
-    sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    out = "query long, rank int, vec_id long, score double"
-    if sizes is None:
-        return vectors.sparkSession.createDataFrame([], out)
-    rows = rows.where(F.size("vector") == sizes["d"])
+    rows = durable(rows.where(F.col("id").isNotNull() & v.isNotNull() & fine).groupBy("id").agg(F.min("vector").alias("vector")), "vectors")
     by = Window.partitionBy("vector").orderBy("id")
     kept = rows.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k + 1)
     kept = durable(kept.withColumn("first", F.min("id").over(Window.partitionBy("vector"))), "distinct")
     points = kept.where("place = 1").select("first", "vector")
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    facts = points.agg(F.count("*").alias("n"), F.max(norm).alias("most")).first()
-    sample = points.orderBy(F.xxhash64("vector", F.lit(1))).limit(SAMPLE).select("vector").toArrow()
-    sample = matrix(sample["vector"].combine_chunks()).astype(float)
+    facts = points.agg(F.count("*").alias("n"), F.max(norm).alias("most"), F.max(F.size("vector")).alias("width")).first()
+    if not facts["n"]:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    width = facts["width"]
+    drawn = points.orderBy(F.xxhash64("vector", F.lit(1)), "first").limit(SAMPLE).toArrow()
+    sample, firsts = matrix(drawn["vector"].combine_chunks(), width), np.asarray(drawn["first"])
     depth = int(np.ceil(np.log2(max(1, min(facts["n"] / leaf, len(sample) / 8)))))
     forest = Forest(sample, float(facts["most"]), depth, trees)
-    index = durable(points.mapInArrow(_index(forest), "leaf long, first long, vector array<float>"), "leaves")
-    asked = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("query"), "vector")
-    probes = max(2 * OPENING, int(np.ceil(share * trees * 2**depth)))
-    visits = asked.repartition(32, "query").mapInArrow(_probe(forest, probes), "leaf long, query long, turn int")
-    parts = index.groupBy("leaf").agg(F.ceil(F.count("*") / PART).alias("parts"))
-    dealt = index.join(parts, "leaf").withColumn("part", F.pmod(F.xxhash64("first"), F.col("parts")))
-    left = dealt.select("leaf", "part", "first", "vector").groupBy("leaf", "part")
-    visits = durable(visits.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))), "visits")
-    schema, per_query = "query long, first long, about double", Window.partitionBy("query").orderBy(F.desc("about"), "first")
-
-    def ranked_by(chosen: DataFrame) -> DataFrame:
-        right = chosen.join(asked, "query").select("leaf", "part", "query", "vector", "bound").groupBy("leaf", "part")
-        return left.cogroup(right).applyInArrow(_rank(k + 1), schema).groupBy("query", "first").agg(F.max("about").alias("about"))
-
-    opening = durable(ranked_by(visits.where(F.col("turn") < OPENING).withColumn("bound", F.lit(float("-inf")))), "opening")
-    bound = opening.withColumn("place", F.row_number().over(per_query)).where(F.col("place") <= k + 1).groupBy("query").agg(F.when(F.count("*") > k, F.min("about") - 1e-9).otherwise(float("-inf")).alias("bound"))
-    later = visits.where(F.col("turn") >= OPENING).join(bound, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
-    found = opening.union(ranked_by(later)).groupBy("query", "first").agg(F.max("about").alias("about"))
-    best = found.withColumn("place", F.row_number().over(per_query)).where(F.col("place") <= k + 2).join(points, "first")
-    mine = asked.select("query", F.col("vector").alias("q"))
-    terms = F.zip_with("vector", "q", lambda a, b: a.cast("double") * b.cast("double"))
-    best = best.join(mine, "query").select("query", "first", F.aggregate(terms, F.lit(0.0), lambda a, x: a + x).alias("score"))
-    pairs = best.join(kept.select("first", F.col("id").alias("vec_id")), "first").where("vec_id <> query")
-    ranked = pairs.select("query", "vec_id", "score").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    probes = visits_for(forest, points, sample[:TRIALS], k + 1, recall, width)
+
+    index = points.mapInArrow(_index(forest, width), f"cell int, leaf int, first long, vector array<{kind}>")
+    queries = durable(rows.where(F.pmod("id", F.lit(every)) == 0).join(points, "vector").select(F.col("id").alias("query_id"), F.col("first").alias("query")), "queries")
+    asked = points.join(queries.select(F.col("query").alias("first")).distinct(), "first", "left_semi").select(F.col("first").alias("query"), "vector")
+    visits = asked.repartition(32, "query").mapInArrow(_probe(forest, probes, sample, firsts, k + 1, width), f"cell int, query long, vector array<{kind}>, leaves array<int>, bound double, first long, score double")
+    visits = durable(visits, "visits")
+    drawn_best, visits = visits.where("cell is null").select("query", "first", "score"), visits.where("cell is not null")
+    held = points.mapInArrow(_index(forest, width), f"cell int, leaf int, first long, vector array<{kind}>").groupBy("cell").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    sizes = durable(held.join(visits.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).alias("turns")), "cell"), "cells")
+
+    def every_one(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+
+    sides = [index.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("first"), F.col("parts"))).withColumn("turn", every_one("turns")).select("cell", "part", "turn", "leaf", "first", "vector")]
+    sides += [visits.join(sizes, "cell").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns"))).withColumn("part", every_one("parts")).select("cell", "part", "turn", "query", "vector", "leaves", "bound")]
+    left, right = (x.groupBy("cell", "part", "turn") for x in sides)
+    found = left.cogroup(right).applyInArrow(_rank(k + 1, width), "query long, first long, score double").union(drawn_best)
+    best = found.groupBy("query", "first").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "first")
+    best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select("query", "first", "score")
+    pairs = best.join(kept.select("first", F.col("id").alias("vec_id")), "first").select("query", "vec_id", "score")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    pairs = pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).drop("place")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = pairs.join(queries, "query").where("vec_id <> query_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

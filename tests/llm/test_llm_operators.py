@@ -315,8 +315,8 @@ def test_forest(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd = [(1000, None), (1020, [0.0] * 8), (1040, [float("nan")] * 8), (1060, [1.0, None] + [0.0] * 6), (None, [1.0] * 8), (1080, [1.0, 2.0]), (1100, [float("inf")] * 8)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
-    got = pairs(rpforest.search(df, share=1.0), "query", "rank", "vec_id", "score")
-    want = brute_nearest(rows, 20)
+    got = pairs(rpforest.search(df, recall=1.0), "query_id", "rank", "vec_id", "score")
+    want = brute_nearest([*rows, (1080, [1.0, 2.0] + [0.0] * 6)], 20)  # a short vector has zeros behind its end
     assert sorted((a, b, round(s, 5)) for a, b, _, s in got) == sorted((a, b, round(s, 5)) for a, b, _, s in want)
     ids = collections.defaultdict(set)
     for a, _, c, _ in got:
@@ -332,8 +332,19 @@ def test_forest_recall(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
     want = {(a, c) for a, _, c, _ in brute_nearest(rows, 20)}
-    got = {(r["query"], r["vec_id"]) for r in rpforest.search(df).collect()}
+    got = {(r["query_id"], r["vec_id"]) for r in rpforest.search(df).collect()}
     assert len(want & got) / len(want) >= 0.9
+    assert all(n == 20 for n in collections.Counter(q for q, _ in got).values())
+
+
+def test_forest_takes_doubles_short_vectors_and_hot_ones(spark, monkeypatch):
+    monkeypatch.setattr(rpforest, "PART", 40)
+    monkeypatch.setattr(rpforest, "ASKED", 3)
+    rows = [(i, DRAW.normal(size=3 if i % 9 == 4 else 6).tolist()) for i in range(200)] + [(200 + i, [1.0, 0.1 + 1e-12, 0.0, 0.0, 0.0, 0.0]) for i in range(90)]
+    df = spark.createDataFrame([(i, x, i, x) for i, x in rows], "vec_id long, embedding array<double>, first long, vector array<double>")
+    want = brute_nearest([(i, x + [0.0] * (6 - len(x))) for i, x in rows], 20)
+    got = rpforest.search(df, recall=1.0, leaf=16).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
 
 
 def test_licenses(docs, empty, spark):
