@@ -92,22 +92,26 @@ def top(score: np.ndarray, first: np.ndarray, owner: np.ndarray, k: int) -> np.n
     return order[place < k]
 
 
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products of rows, summed from the first component to the last."""
-    out = np.zeros(len(q))
+def products(q: np.ndarray, x: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Inner products of the rows q[row] and x[at], summed from the first component to the last."""
+    out = np.zeros(len(row))
     for d in range(q.shape[1]):
-        out += q[:, d] * x[:, d]
+        out += q[row, d] * x[at, d]
     return out
 
 
 def above(q: np.ndarray, bound: np.ndarray, x: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, score) of each query's k best among x that reach its bound."""
-    parts = []
-    for a in range(0, len(q), 256):
-        near = q[a : a + 256] @ x.T
-        row, at = np.nonzero(near >= (bound[a : a + 256] - 1e-9 * (1 + np.abs(bound[a : a + 256])))[:, None])
-        score = products(q[a + row], x[at])
+    """(query row, vector row, score) of each query's k best among x that reach its bound; at most a million pairs are looked at together."""
+    parts, step = [], max(1, 1_000_000 // max(1, len(x)))
+    for a in range(0, len(q), step):
+        near = q[a : a + step] @ x.T
+        least = bound[a : a + step]
+        if len(x) > k:  # about the k-th largest score
+            least = np.maximum(least, np.partition(near, len(x) - k, axis=1)[:, len(x) - k])
+        row, at = np.nonzero(near >= (least - 1e-9 * (1 + np.abs(np.where(np.isfinite(least), least, 0))))[:, None])
+        score = products(q, x, a + row, at)
         keep = top(score, first[at], row, k)
+        keep = keep[score[keep] >= bound[a + row[keep]] - 1e-9 * (1 + np.abs(score[keep]))]
         parts.append((a + row[keep], at[keep], score[keep]))
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
 
