@@ -20,9 +20,13 @@ def or_else(c: str | Column, default) -> Column:
     return F.coalesce(F.nullif(col(c), F.lit("")), default if isinstance(default, Column) else F.lit(default))
 
 
+#: All characters of Unicode white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_all(c: str | Column) -> Column:
-    """Without any Unicode white space at either end."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Without any Unicode white space at either end; only the ends are looked at."""
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def squeeze(c: str | Column) -> Column:

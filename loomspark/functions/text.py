@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .semantics import col, trim_all
@@ -54,16 +54,35 @@ def parse_prompt_lines(text: str | Column) -> Column:
     return F.filter(lines, lambda x: F.length(x) >= 5)
 
 
+def nested_quantifiers(pattern: str) -> bool:
+    """Whether a group that holds a quantifier, at any depth, is itself repeated: such patterns may take time without end."""
+    groups, at = [False], 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "(":
+            groups.append(False)
+        elif c == ")" and len(groups) > 1:
+            held, repeated = groups.pop(), pattern[at + 1 : at + 2] in ("+", "*", "{")
+            if held and repeated:
+                return True
+            groups[-1] |= held or repeated
+        elif c in "+*" and len(groups) > 1:
+            groups[-1] = True
+        at += 2 if c == "\\" else 1
+    return False
+
+
 def regex_guard(pattern: str) -> str | None:
-    """Why a pattern is refused, or None."""
+    """Why a pattern, plain or as /pattern/flags, is refused, or None."""
     if len(pattern) > MOST_PATTERN:
-        return "Pattern is too long"
-    if re.search(r"\([^()]*[+*}][^()]*\)\s*[+*{]", pattern):
-        return "Pattern has nested quantifiers"
+        return f"Regex pattern too long (max {MOST_PATTERN} characters)"
+    body = m[1] if (m := re.fullmatch(r"/(.+)/[a-zA-Z]*", pattern, re.S)) else pattern
+    if nested_quantifiers(body):
+        return "Regex pattern rejected: nested quantifiers can cause catastrophic backtracking"
     try:
-        re.compile(pattern)
+        re.compile(body)
     except re.error as e:
-        return f"Invalid pattern: {e}"
+        return f"Invalid split pattern: {e}"
     return None
 
 
@@ -80,12 +99,13 @@ def split_text(text: str | Column, mode: str = "delimiter", delimiter: str = "*"
         items = F.split(t, r"\Q" + delimiter.replace(r"\E", r"\E\\E\Q") + r"\E", -1) if delimiter else F.array(t)
     else:
         flags = ""
-        if m := re.fullmatch(r"/(.*)/([a-z]*)", pattern, re.S):
+        if pattern and (reason := regex_guard(pattern)):
+            error = F.when(F.coalesce(t, F.lit("")) != "", reason)
+            return F.struct(F.array().cast("array<string>").alias("items"), error.alias("error"))
+        if m := re.fullmatch(r"/(.+)/([a-zA-Z]*)", pattern, re.S):
             pattern, flags = m[1], "".join(f for f in m[2] if f in "ims")
-        if reason := regex_guard(pattern):
-            return F.struct(F.array().cast("array<string>").alias("items"), F.lit(reason).alias("error"))
         items = F.split(t, (f"(?{flags})" if flags else "") + pattern, -1) if pattern else F.array(t)
-        error = F.when(F.length(t) > MOST_INPUT, F.lit("Input is too long"))
+        error = F.when(F.length(t) > MOST_INPUT, F.lit(f"Input too long for regex mode (max {MOST_INPUT:,} characters)"))
     if trim:
         items = F.transform(items, lambda x: trim_all(x))
     if drop_empty:
@@ -131,5 +151,28 @@ def match_rule(text: str | Column, value: str, mode: str = "contains") -> Column
     return (t != "") & out
 
 
+def classify_error(message: str | Column) -> Column:
+    """struct(status, retriable) of an error's text: timeout before rate_limited before error."""
+    m = col(message)
+    status = F.when(m.rlike("(?i)abort|timeout"), "timeout").when(m.rlike("(?i)429|rate.?limit"), "rate_limited").otherwise("error")
+    return F.struct(status.alias("status"), F.coalesce(m.rlike(r"(?i)429|5\d\d|timeout|ETIMEDOUT|ECONNRESET|ENOTFOUND|abort"), F.lit(False)).alias("retriable"))
+
+
+def mentions_of(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+    """(key, name) of the names that a text mentions, for a table of names of any size.
+
+    Texts and names meet by their first word, in lower case; the whole name is then looked for in the
+    text, with no letter or digit on either side. Blank names are left out.
+    """
+    word = r"(?U)[\p{L}\p{N}]+"
+    known = names.select(F.col("name")).where(F.coalesce(trim_all("name"), F.lit("")) != "").distinct()
+    known = known.withColumn("_first", F.coalesce(F.nullif(F.lower(F.regexp_extract("name", word, 0)), F.lit("")), F.lit("")))
+    parts = F.regexp_replace(F.regexp_replace(trim_all("name"), r"([\\\\^$.|?*+()\[\]{}])", r"\\\\$1"), r"(?U)\s+", r"\\\\s+")
+    known = known.withColumn("_pattern", F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])"), parts, F.lit(r"(?![\p{L}\p{N}])")))
+    words = df.select(key, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(word), F.lit(0)), F.lower))).alias("_first"))
+    met = words.join(known, "_first").select(key, "name", "_pattern")
+    return met.join(df.select(key, F.col(text).alias("_text")), key).where(F.regexp_like("_text", F.col("_pattern"))).select(key, "name").distinct()
+
+
 def url_domain(url: str | Column) -> Column:
     return F.regexp_extract(col(url), r"^(?:https?://)?(?:www\.)?([^/]*)", 1)

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 W = "workflow_id"
 
 
+#: Edges up to which a workflow's levels are found in one task, together with others; larger ones are solved level by level over the cluster.
+SMALL = 20_000
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the cluster's checkpoint folder; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A new folder's path below the cluster's checkpoint folder; a temporary one only where that is unset (tests on one machine)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -27,26 +30,67 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _ranked(nodes: list, edges: list) -> dict:
+    """Level of each node that has one, for one workflow."""
+    open_, after = dict.fromkeys(nodes, 0), defaultdict(list)
+    for source, target in set(edges):
+        if target in open_:
+            open_[target] += 1
+            after[source].append(target)
+    front, level, out = [n for n, k in open_.items() if not k], 0, {}
+    while front:
+        out |= dict.fromkeys(front, level)
+        freed = []
+        for n in front:
+            for t in after[n]:
+                open_[t] -= 1
+                if not open_[t]:
+                    freed.append(t)
+        front, level = freed, level + 1
+    return out
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(workflow_id, node_id, level): 0 without incoming edges, else one more than the deepest source.
 
     Nodes on or behind a cycle get no level, nor do targets of an edge from a missing source; edges to
-    missing targets are ignored. A round resolves all nodes whose sources are resolved.
+    missing targets are ignored. Workflows of SMALL edges and nodes at most are solved whole, one in a
+    group; of larger ones, each round over the cluster resolves the nodes whose sources are resolved.
     """
-    edges = settled(edges.select(W, "source", "target").distinct())
-    left = nodes.select(W, "node_id").distinct()
+    nodes, edges = nodes.select(W, "node_id").distinct(), edges.select(W, "source", "target").distinct()
+    size = nodes.select(W).union(edges.select(W)).groupBy(W).agg((F.count("*") <= SMALL).alias("small"))
+    nodes, edges = (settled(x.join(size, W)) for x in (nodes, edges))
+    kind = nodes.schema
+    out = f"{W} {kind[W].dataType.simpleString()}, node_id {kind['node_id'].dataType.simpleString()}, level int"
+
+    def solve(n: pa.Table, e: pa.Table) -> pa.Table:
+        found = _ranked(n["node_id"].to_pylist(), list(zip(e["source"].to_pylist(), e["target"].to_pylist(), strict=True)))
+        key = n[W][0] if found else None
+        return pa.table({W: pa.array([key.as_py()] * len(found) if found else [], n.schema.field(W).type), "node_id": pa.array(list(found), n.schema.field("node_id").type), "level": pa.array(list(found.values()), pa.int32())})
+
+    small = [x.where("small").drop("small").groupBy(W) for x in (nodes, edges)]
+    done = small[0].cogroup(small[1]).applyInArrow(solve, out)
+    left, edges = (x.where("not small").drop("small") for x in (nodes, edges))
+    if left.isEmpty():
+        return done
     needs = edges.groupBy(W, F.col("target").alias("node_id")).agg(F.count("*").alias("open"))
-    left = settled(left.join(needs, [W, "node_id"], "left").fillna(0, ["open"]))
-    done, level = None, 0
+    left, level = settled(left.join(needs, [W, "node_id"], "left").fillna(0, ["open"])), 0
     while True:
         front = left.where("open = 0").select(W, "node_id", F.lit(level).alias("level"))
         if front.isEmpty():
-            break
-        done = front if done is None else done.union(front)
+            return done
+        done = done.union(front)
         freed = front.join(edges.withColumnRenamed("source", "node_id"), [W, "node_id"]).groupBy(W, F.col("target").alias("node_id")).agg(F.count("*").alias("freed"))
         left = settled(left.where("open > 0").join(freed, [W, "node_id"], "left").select(W, "node_id", (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open")))
         level += 1
-    return done if done is not None else left.select(W, "node_id", F.lit(0).alias("level")).where("false")
+
+
+def topo_order(nodes: DataFrame, edges: DataFrame, subset: DataFrame) -> DataFrame:
+    """(workflow_id, node_id, place): the nodes of a subset with sources before targets, by level and id; those on cycles come last."""
+    ids = subset.select(W, "node_id").distinct()
+    inner = split_edges(edges, ids).where("side = 'inside'")
+    found = ids.join(levels(ids, inner), [W, "node_id"], "left")
+    return found.select(W, "node_id", F.row_number().over(Window.partitionBy(W).orderBy(F.col("level").asc_nulls_last(), "node_id")).alias("place"))
 
 
 def downstream(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -92,9 +136,12 @@ def copy_paste(nodes: DataFrame, edges: DataFrame, selected: DataFrame, suffix:
     return copies, inner.withColumns({e: F.concat(F.col(e).cast("string"), F.lit(suffix)) for e in ("source", "target")})
 
 
-def skipped_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Empty optional sources (is_skippable) and all that hangs on any skipped node."""
-    return downstream(edges, nodes.where("is_skippable").select(W, "node_id"))
+def subgraph(nodes: DataFrame, edges: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges with their side, counts by type of the other nodes); a workflow without a selection is whole."""
+    picked = selected.select(W, "node_id").distinct()
+    rest = nodes.join(picked.select(W).distinct(), W, "left_anti").select(W, "node_id")
+    picked = settled(picked.union(rest))
+    return nodes.join(picked, [W, "node_id"], "left_semi"), split_edges(edges, picked), type_counts(nodes, picked)
 
 
 #: Fixed value: the space between placed items.

@@ -14,6 +14,17 @@ POINTS = {"blog": 15, "social": 10, "analytics": 10, "schema": 10, "https": 5, "
 LENGTH_POINTS = ((1000, 15), (300, 8))
 GRADES = ((90, "A+"), (80, "A"), (70, "B+"), (60, "B"), (50, "C+"), (40, "C"), (30, "D"))
 BODY_LENGTH = 2000
+#: Most terms of a dictionary that is tested against every text.
+MOST_TERMS = 1_000
+#: A body of fewer characters is thin; what marks structured data, and what calls to act.
+THIN, SCHEMA, CALLS = 500, ("schema.org", "itemtype"), ("cta", "sign up", "get started", "book a demo", "contact us")
+UNFETCHED = "could not fetch website"
+ADVICE = {
+    "blog": "Add a blog for SEO and thought leadership",
+    "Analytics": "Install Google Analytics or Plausible for visitor tracking",
+    "schema": "Add structured data (JSON-LD) for better search visibility",
+    "thin": "Expand homepage content with value propositions and social proof",
+}
 SOCIAL = ("linkedin.com", "twitter.com", "x.com", "facebook.com", "instagram.com")
 #: Technologies by group, in order, with the markers that lower-cased pages hold.
 TECHNOLOGIES = {
@@ -27,46 +38,85 @@ TECHNOLOGIES = {
 
 
 def html_title(html: str | Column) -> Column:
-    return trim_all(F.regexp_replace(F.regexp_extract(col(html), r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    """The first title that holds text and no tags; empty if there is none."""
+    return trim_all(F.regexp_extract(col(html), r"(?i)<title[^>]*>([^<]+)</title>", 1))
 
 
 def html_meta(html: str | Column) -> Column:
-    """The meta description, with its attributes in either order."""
-    one = F.regexp_extract(col(html), r"""(?is)<meta[^>]*name=["']description["'][^>]*content=["'](.*?)["']""", 1)
-    two = F.regexp_extract(col(html), r"""(?is)<meta[^>]*content=["'](.*?)["'][^>]*name=["']description["']""", 1)
-    return F.when(one != "", one).otherwise(two)
+    """The meta description: the first tag with the name before a content that is not empty, else the first the other way round."""
+    tags = F.regexp_extract_all(col(html), F.lit(r"""(?i)<meta(?:[^>"']|"[^"]*"|'[^']*')*>"""), F.lit(0))
+    name, value = r"""name=["']description["']""", r"""content=["']([^"']+)["']"""
+
+    def first(pattern: str) -> Column:
+        return F.try_element_at(F.filter(F.transform(tags, lambda t: F.regexp_extract(t, "(?is)" + pattern, 1)), lambda v: v != ""), F.lit(1))
+
+    return trim_all(F.coalesce(first(f"{name}.*{value}"), first(f"{value}.*{name}"), F.lit("")))
 
 
 def html_body(html: str | Column) -> Column:
     """Text of the body without scripts, styles and tags; the whole page where there is no body."""
     h, pattern = col(html), r"(?is)<body[^>]*>(.*?)</body>"
     raw = F.when(h.rlike(pattern), F.regexp_extract(h, pattern, 1)).otherwise(h)
-    for cut in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>"):
-        raw = F.regexp_replace(raw, cut, "")
-    return F.substring(trim_all(F.regexp_replace(F.regexp_replace(raw, r"<[^>]+>", " "), r"\s+", " ")), 1, BODY_LENGTH)
+    for tag in ("script", "style"):
+        raw = F.regexp_replace(raw, f"(?is)<{tag}.*?</{tag}>", "")
+    return F.substring(trim_all(F.regexp_replace(F.regexp_replace(raw, r"<[^>]+>", " "), r"(?U)\s+", " ")), 1, BODY_LENGTH)
 
 
-def page_maturity(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """The pages with their points of each kind, the score over all of them (90 at most) and the grade."""
-    low, body = F.lower(col(html)), html_body(html)
-    schema = low.contains("schema.org") | low.contains("application/ld+json")
-    out = pages.withColumns({"body_length": F.length(body), "has_blog": low.contains("blog"), "has_schema": low.contains("schema.org"), "https": col(url).startswith("https")})
-    length = F.when(F.col("body_length") > LENGTH_POINTS[0][0], LENGTH_POINTS[0][1]).when(F.col("body_length") > LENGTH_POINTS[1][0], LENGTH_POINTS[1][1]).otherwise(0)
-    holds = {"blog": F.col("has_blog"), "social": _any(low, SOCIAL), "schema": schema, "https": F.col("https")}
-    holds |= {g: _any(low, [m for markers in TECHNOLOGIES[g].values() for m in markers]) for g in ("analytics", "crm", "marketing", "framework")}
-    points = {name: F.when(hit, POINTS[name]).otherwise(0) for name, hit in holds.items()} | {"length": length}
-    out = out.withColumn("points", F.struct(*[x.alias(name) for name, x in points.items()]))
-    return out.withColumn("score", sum(F.col("points")[name] for name in points)).withColumn("grade", grade(F.col("score")))
+def page_gaps(html: str | Column, body_length: str | Column) -> Column:
+    """What a page lacks, in a fixed order; a page that was not fetched (null) has that one gap."""
+    low = F.lower(col(html))
+    lacking = {"no blog detected": ~low.contains("blog"), "no Google Analytics detected": ~_any(low, TECHNOLOGIES["analytics"]["Google Analytics"]), "thin homepage content": col(body_length) < THIN, "no schema markup detected": ~_any(low, SCHEMA)}
+    gaps = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in lacking.items()]))
+    return F.when(col(html).isNull(), F.array(F.lit(UNFETCHED))).otherwise(gaps)
 
 
-def _any(low: Column, markers) -> Column:
-    return reduce(Column.__or__, [low.contains(m) for m in markers])
+def recommendations(gaps: str | Column) -> Column:
+    """One for each gap."""
+    def advice(gap: Column) -> Column:
+        out = F.concat(F.lit("Fix: "), gap)
+        for word, text in reversed(ADVICE.items()):
+            out = F.when(gap.contains(word), text).otherwise(out)
+        return out
+
+    return F.transform(col(gaps), advice)
+
+
+def tech_groups(html: str | Column) -> Column:
+    """struct of the groups of TECHNOLOGIES, each with the technologies a page shows markers of, in order; all empty for a null page."""
+    low = F.coalesce(F.lower(col(html)), F.lit(""))
+    return F.struct(*[F.array_compact(F.array(*[F.when(_any(low, markers), F.lit(name)) for name, markers in group.items()])).alias(g) for g, group in TECHNOLOGIES.items()])
 
 
 def tech_stack(html: str | Column) -> Column:
-    """The technologies a page shows markers of, in the order of TECHNOLOGIES; none for a null page."""
-    low = F.lower(col(html))
-    return F.array_compact(F.array(*[F.when(_any(low, markers), F.lit(name)) for group in TECHNOLOGIES.values() for name, markers in group.items()]))
+    """The technologies of all groups, in the order of TECHNOLOGIES."""
+    groups = tech_groups(html)
+    return F.concat(*[groups[g] for g in TECHNOLOGIES])
+
+
+def page_maturity(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """The pages with body_length, gaps, tech, points of each kind, score, grade, breakdown and recommendations.
+
+    A page that was not fetched (null html) still earns the points for blog and schema, as only the gap
+    of not being fetched is known of it; that is the rule.
+    """
+    h, low = col(html), F.lower(col(html))
+    out = pages.withColumns({"body_length": F.coalesce(F.length(html_body(h)), F.lit(0)), "tech": tech_groups(h), "https": F.coalesce(~col(url).startswith("http") | col(url).startswith("https"), F.lit(False))})
+    out = out.withColumn("gaps", page_gaps(h, "body_length"))
+    lacks = lambda gap: F.array_contains("gaps", gap)
+    size = F.col("body_length")
+    holds = {"blog": ~lacks("no blog detected"), "social": F.coalesce(_any(low, SOCIAL), F.lit(False)), "schema": ~lacks("no schema markup detected"), "https": F.col("https")}
+    holds |= {g: F.size(F.col("tech")[g]) > 0 for g in ("analytics", "crm", "marketing", "framework")}
+    points = {name: F.when(hit, POINTS[name]).otherwise(0) for name, hit in holds.items()}
+    points["length"] = F.when(size > LENGTH_POINTS[0][0], LENGTH_POINTS[0][1]).when(size > LENGTH_POINTS[1][0], LENGTH_POINTS[1][1]).otherwise(0)
+    seen = {"has_blog": holds["blog"], "has_social": holds["social"], "has_analytics": holds["analytics"], "has_schema": holds["schema"], "has_cta": F.coalesce(_any(low, CALLS), F.lit(False)), "mobile": F.coalesce(low.contains("viewport"), F.lit(False))}
+    quality = F.when(size > LENGTH_POINTS[0][0], "rich").when(size > LENGTH_POINTS[1][0], "moderate").otherwise("thin")
+    out = out.withColumns({"points": F.struct(*[x.alias(name) for name, x in points.items()]), "breakdown": F.struct(*[x.alias(name) for name, x in seen.items()], quality.alias("content_quality"))})
+    out = out.withColumn("score", sum(F.col("points")[name] for name in points))
+    return out.withColumns({"grade": grade(F.col("score")), "recommendations": recommendations("gaps")})
+
+
+def _any(low: Column, markers) -> Column:
+    return reduce(Column.__or__, [low.contains(m) for m in markers])
 
 
 def grade(score: Column) -> Column:
@@ -77,9 +127,18 @@ def grade(score: Column) -> Column:
 
 
 def contains_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """(key, group, term, ord) of the terms whose needle the text holds. The dictionary must be a short fixed table."""
+    """(key, group, term, ord) of the terms whose needle the text holds; the dictionary has MOST_TERMS rows at most, which is checked.
+
+    The dictionary becomes one expression over each text, so there is no join and no shuffle.
+    """
+    rows = terms.select("group", "term", "ord", F.lower("needle").alias("needle")).limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a dictionary of more than {MOST_TERMS} terms")
+    empty = F.array().cast("array<struct<group:string,term:string,ord:int>>")
     low = df.select(key, F.lower(col(text)).alias("_t"))
-    return low.join(F.broadcast(terms), F.col("_t").contains(F.col("needle"))).drop("_t", "needle")
+    entry = lambda r: F.struct(F.lit(r["group"]).alias("group"), F.lit(r["term"]).alias("term"), F.lit(r["ord"]).cast("int").alias("ord"))
+    hits = F.array_compact(F.array(*[F.when(F.col("_t").contains(r["needle"]), entry(r)) for r in rows])) if rows else empty
+    return low.select(key, F.inline(hits))
 
 
 def validate_url(url: str | Column) -> Column:
@@ -98,6 +157,35 @@ def clamp_signal(df: DataFrame, sourced: bool = True) -> DataFrame:
     return df.withColumns({"confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0 if sourced else 0.6), confidence)), "relevance": F.greatest(F.lit(0.0), F.least(F.lit(100.0), relevance))})
 
 
+def filter_signals(df: DataFrame, types: list[str] | None = None, least: float = 0.0, required: tuple[str, ...] = ("type", "detail")) -> DataFrame:
+    """Signals of the wanted types (none given: all) with all required texts and enough confidence."""
+    test = F.col("confidence") >= least
+    for c in required:
+        test = test & (F.coalesce(F.col(c), F.lit("")) != "")
+    return df.where(test & F.col("type").isin(*types) if types else test)
+
+
+def result_counts(queries: DataFrame, key: str, results: str) -> DataFrame:
+    """Of each key: queries executed, and results over all of them."""
+    return queries.groupBy(key).agg(F.count("*").alias("queries"), F.sum(F.coalesce(F.size(F.col(results)), F.lit(0))).alias("results"))
+
+
+def top_queries(df: DataFrame, key: str, weight: str, ord_: str, n: int = 6) -> DataFrame:
+    """The n queries of the largest weight for each key, earlier ones first among equals."""
+    w = Window.partitionBy(key).orderBy(F.desc(weight), ord_)
+    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def exclude_self(candidates: DataFrame, companies: DataFrame, key: str) -> DataFrame:
+    """Candidates whose name (in any case) and url both differ from the company's own; at most one row a company is looked up."""
+    own = companies.select(key, F.lower("name").alias("_name"), F.col("url").alias("_url")).dropDuplicates([key])
+    return candidates.join(own, key).where((F.lower("name") != F.col("_name")) & (F.col("url") != F.col("_url"))).drop("_name", "_url")
+
+
+def cap_candidates(df: DataFrame, key: str, ord_: list[str], n: int = 10) -> DataFrame:
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*ord_))).where(F.col("place") <= n)
+
+
 def rank_signals(df: DataFrame, key: str, least: float, ord_: str, n: int = 10) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc("relevance"), ord_)
     return df.where(F.col("confidence") >= least).withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)

@@ -1 +1 @@
-"""Plans of the library; see the modules."""
+"""Queries by area; each module registers its own."""

@@ -2,45 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import easing
 from .functions import semantics as S
 from .functions import text as X
-from .operators import catalog, cost, dedup, graph, intel, timeline, visibility
+from .operators import catalog, cost, dedup, graph, timeline, visibility
+from .plans import catalogs, graphs, leads  # noqa: F401  (they register their queries)
+from .registry import oracle_sql, queries, query, table  # noqa: F401
 from .sources import documents
 from .streaming import jobs
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # -- visibility: a user turn is a prompt, the next assistant turn its answer ------------------------
 
 BRAND, RIVALS = "the", ["and", "der", "that"]
@@ -228,11 +201,6 @@ def running_cost(spark, sf_dir):
 # -- catalog ---------------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ed') OR contains(lower(p_type), 'brass')")
-def catalog_search(spark, sf_dir):
-    return catalog.search(table(spark, sf_dir, "part"), "ED", ["p_name"]).union(catalog.search(table(spark, sf_dir, "part"), "brass", ["p_type"])).distinct().select("p_partkey", "p_name")
-
-
 @query("SELECT p_partkey, CASE WHEN contains(lower(p_type), 'brass') OR contains(lower(p_type), 'tin') THEN '3d' WHEN contains(lower(p_type), 'steel') THEN 'audio' WHEN contains(lower(p_type), 'copper') THEN 'video' ELSE 'image' END AS kind FROM part")
 def catalog_capabilities(spark, sf_dir):
     kind = catalog.infer_capabilities(F.col("p_type"), {"3d": ["brass", "tin"], "audio": ["steel"], "video": ["copper"]}, "image")
@@ -281,85 +249,6 @@ def fill_turn_template(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.fill_template(F.lit("@role said @n words"), values)["text"].alias("text"))
 
 
-# -- pages -----------------------------------------------------------------------------------------
-
-
-@query(r"""SELECT page_id, url, regexp_extract(url, '^(?:https?://)?(?:www\.)?([^/]*)', 1) AS domain, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title FROM pages""")
-def page_titles(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", "url", X.url_domain("url").alias("domain"), intel.html_title("html").alias("title"))
-
-
-@query(r"""WITH b AS (SELECT page_id, url, html, CASE WHEN regexp_matches(html, '(?is)<body[^>]*>.*?</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) ELSE html END AS raw FROM pages),
-c AS (SELECT *, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 2000) AS body FROM b)
-SELECT page_id, length(body)::INT AS body_length, contains(lower(html), 'blog') AS has_blog, contains(lower(html), 'schema.org') AS has_schema, starts_with(url, 'https') AS https,
-  (CASE WHEN contains(lower(html), 'blog') THEN 15 ELSE 0 END + CASE WHEN contains(lower(html), 'schema.org') OR contains(lower(html), 'application/ld+json') THEN 10 ELSE 0 END + CASE WHEN starts_with(url, 'https') THEN 5 ELSE 0 END + CASE WHEN length(body) > 1000 THEN 15 WHEN length(body) > 300 THEN 8 ELSE 0 END)::INT AS score FROM c""")
-def page_maturity(spark, sf_dir):
-    """The points for blog, schema, https and length alone; ``page_maturity_whole`` has all kinds."""
-    points = F.col("points")
-    score = points["blog"] + points["schema"] + points["https"] + points["length"]
-    return intel.page_maturity(table(spark, sf_dir, "pages")).select("page_id", "body_length", "has_blog", "has_schema", "https", score.alias("score"))
-
-
-@query(r"""WITH b AS (SELECT page_id, url, lower(html) AS h, CASE WHEN regexp_matches(html, '(?is)<body[^>]*>.*?</body>') THEN regexp_extract(html, '(?is)<body[^>]*>(.*?)</body>', 1) ELSE html END AS raw FROM pages),
-c AS (SELECT *, length(left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 2000)) AS n FROM b),
-p AS (SELECT page_id, h, (CASE WHEN contains(h, 'blog') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(h, 'linkedin\.com|twitter\.com|x\.com|facebook\.com|instagram\.com') THEN 10 ELSE 0 END
-  + CASE WHEN regexp_matches(h, 'google-analytics|gtag|ga4|mixpanel|amplitude|hotjar|segment|plausible|posthog') THEN 10 ELSE 0 END + CASE WHEN regexp_matches(h, 'schema\.org|application/ld\+json') THEN 10 ELSE 0 END
-  + CASE WHEN starts_with(url, 'https') THEN 5 ELSE 0 END + CASE WHEN n > 1000 THEN 15 WHEN n > 300 THEN 8 ELSE 0 END + CASE WHEN regexp_matches(h, 'hubspot|salesforce|pipedrive|intercom|drift') THEN 10 ELSE 0 END
-  + CASE WHEN regexp_matches(h, 'mailchimp|klaviyo|activecampaign|marketo') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(h, '__next|_next/|react|vue|angular|svelte|tailwind') THEN 10 ELSE 0 END)::INT AS score FROM c)
-SELECT page_id, score, CASE WHEN score >= 90 THEN 'A+' WHEN score >= 80 THEN 'A' WHEN score >= 70 THEN 'B+' WHEN score >= 60 THEN 'B' WHEN score >= 50 THEN 'C+' WHEN score >= 40 THEN 'C' WHEN score >= 30 THEN 'D' ELSE 'F' END AS grade FROM p""")
-def page_maturity_whole(spark, sf_dir):
-    return intel.page_maturity(table(spark, sf_dir, "pages")).select("page_id", "score", "grade")
-
-
-@query("SELECT page_id, regexp_matches(url, '^https?://[^/]+') AND NOT regexp_matches(url, '^https?://(localhost|127\\.|10\\.|192\\.168\\.|169\\.254\\.|0\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)') AS valid FROM pages".replace("\\\\", "\\"))
-def url_check(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", intel.validate_url("url")["valid"].alias("valid"))
-
-
-# -- graphs: workflows of 50 parts each ------------------------------------------------------------
-
-
-def derived_graph(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 50).alias("workflow_id"), (F.col("p_partkey") % 50).alias("node_id"), (F.col("p_size") % 6).alias("type"), "p_size")
-    tree = p.where("node_id >= 1").select("workflow_id", F.floor((F.col("node_id") - 1) / 2).alias("source"), F.col("node_id").alias("target"))
-    skip = p.where("node_id >= 3 and p_size % 2 = 0").select("workflow_id", (F.col("node_id") - 3).alias("source"), F.col("node_id").alias("target"))
-    return p.select("workflow_id", "node_id", "type"), tree.union(skip)
-
-
-GRAPH_SQL = """WITH RECURSIVE p AS (SELECT (p_partkey // 50)::BIGINT AS workflow_id, p_partkey % 50 AS node_id, p_size % 6 AS type, p_size FROM part),
-e AS (SELECT workflow_id, (node_id - 1) // 2 AS source, node_id AS target FROM p WHERE node_id >= 1 UNION ALL SELECT workflow_id, node_id - 3, node_id FROM p WHERE node_id >= 3 AND p_size % 2 = 0)"""
-
-
-@query(GRAPH_SQL + ", l AS (SELECT workflow_id, node_id, 0 AS level FROM p WHERE node_id = 0 UNION SELECT l.workflow_id, e.target, l.level + 1 FROM l JOIN e ON e.workflow_id = l.workflow_id AND e.source = l.node_id) SELECT workflow_id, node_id, max(level)::INT AS level FROM l GROUP BY 1, 2")
-def graph_levels(spark, sf_dir):
-    nodes, edges = derived_graph(spark, sf_dir)
-    return graph.levels(nodes, edges)
-
-
-@query(GRAPH_SQL + ", r AS (SELECT workflow_id, node_id FROM p WHERE node_id = 5 UNION SELECT r.workflow_id, e.target FROM r JOIN e ON e.workflow_id = r.workflow_id AND e.source = r.node_id) SELECT workflow_id, node_id FROM r")
-def graph_downstream(spark, sf_dir):
-    nodes, edges = derived_graph(spark, sf_dir)
-    return graph.downstream(edges, nodes.where("node_id = 5").select("workflow_id", "node_id"))
-
-
-@query(GRAPH_SQL + " SELECT workflow_id, type, count(*) AS n FROM p WHERE node_id >= 10 GROUP BY 1, 2")
-def graph_type_counts(spark, sf_dir):
-    nodes, _ = derived_graph(spark, sf_dir)
-    return graph.type_counts(nodes, nodes.where("node_id < 10").select("workflow_id", "node_id"))
-
-
-@query(GRAPH_SQL + " SELECT workflow_id, source, target, CASE WHEN source < 10 AND target < 10 THEN 'inside' WHEN source < 10 THEN 'outgoing' ELSE 'incoming' END AS side FROM e WHERE source < 10 OR target < 10")
-def graph_subgraph_edges(spark, sf_dir):
-    nodes, edges = derived_graph(spark, sf_dir)
-    return graph.split_edges(edges, nodes.where("node_id < 10").select("workflow_id", "node_id")).select("workflow_id", "source", "target", "side")
-
-
-@query(GRAPH_SQL + " SELECT workflow_id, source, target, n FROM (SELECT workflow_id, source, target, row_number() OVER (PARTITION BY workflow_id, source, target) AS n FROM e) WHERE n > 1")
-def graph_duplicate_edges(spark, sf_dir):
-    _, edges = derived_graph(spark, sf_dir)
-    return dedup.duplicate_ids(edges, ["workflow_id", "source", "target"], ["source"]).withColumnRenamed("occurrence", "n")
-
-
 # -- time axis -------------------------------------------------------------------------------------
 
 

@@ -1,11 +1,13 @@
 """Rules of the operators on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomspark.functions import semantics as S
 from loomspark.functions import text as X
-from loomspark.operators import catalog, cost, dedup, graph, intel, timeline, visibility
+from loomspark.operators import catalog, cost, dedup, flow, graph, intel, timeline, visibility
 
 
 def one(spark, column, **values):
@@ -196,9 +198,101 @@ def test_maturity_counts_every_kind_of_marker(spark):
         (5, "http://a", "klaviyo", 5, "F", ["Klaviyo"]),
         (6, "http://a", "<div id=__next>", 10, "F", ["Next.js"]),
         (7, "https://a", "blog schema.org x.com posthog drift marketo vue laws wordpress <body>" + "word " * 300 + "</body>", 90, "A+", ["WordPress", "PostHog", "Drift", "Marketo", "AWS", "Vue.js"]),
-        (None, None, None, 0, "F", []),
+        (None, None, None, 25, "F", []),  # an unfetched page keeps the points for blog and schema: only that it is unfetched is known
     ]
     df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
     got = intel.page_maturity(df).withColumn("stack", intel.tech_stack("html")).collect()
     key = lambda r: r[0] or 0
     assert sorted(((r["page_id"], r["score"], r["grade"], r["stack"]) for r in got), key=key) == sorted(((p[0], *p[3:]) for p in pages), key=key)
+
+
+def test_nested_quantifiers_are_refused():
+    refused = ["(a+)+", "(a*)*", "((a+))+", "((a*)b)*", "((a+)|b)+", "((a)+){2}", "/(x+)+/g", r"(\(a+)+"]
+    allowed = [",", r"\d+", "(a|b)+", r"(\+)+", "a+b*", "(ab)?", "/[,;]/g", "(a)+(b)+"]
+    assert all("nested" in (X.regex_guard(p) or "") for p in refused)
+    assert all(X.regex_guard(p) is None for p in allowed)
+    assert "too long" in X.regex_guard("a" * 101) and "Invalid" in X.regex_guard("(")
+
+
+def test_levels_of_large_and_small_workflows_agree(spark, monkeypatch):
+    edges = [(w, a, b) for w in (1, 2) for a, b in [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("gone", "e"), ("a", "missing"), ("a", "b")]]
+    nodes = [(w, n) for w in (1, 2) for n in "abcdexyz"]
+    n, e = spark.createDataFrame(nodes, "workflow_id long, node_id string"), spark.createDataFrame(edges, "workflow_id long, source string, target string")
+    want = sorted((w, k, v) for w in (1, 2) for k, v in {"a": 0, "b": 1, "c": 2, "d": 3, "z": 0}.items())
+    assert sorted(tuple(r) for r in graph.levels(n, e).collect()) == want
+    monkeypatch.setattr(graph, "SMALL", 3)
+    assert sorted(tuple(r) for r in graph.levels(n, e).collect()) == want
+    assert graph.levels(n.where("false"), e.where("false")).count() == 0
+    order = {r["node_id"]: r["place"] for r in graph.topo_order(n, e, n.where("workflow_id = 1 and node_id <> 'z'")).collect()}
+    assert order["a"] < order["b"] < order["c"] < order["d"] and len(order) == 7
+
+
+def brute_blocked(edges, closed):
+    """Node by node in topological order, for one workflow without cycles."""
+    after = {}
+    for s, _, t, _ in edges:
+        after.setdefault(s, []).append(t)
+    maybe, todo = set(), [t for s, h, t, _ in edges if (s, h) in closed]
+    while todo:
+        n = todo.pop()
+        if n not in maybe:
+            maybe.add(n)
+            todo += after.get(n, [])
+    level = {}
+
+    def depth(n):
+        level[n] = level.get(n) or 1 + max((depth(s) for s, _, t, _ in edges if t == n and s in maybe), default=0)
+        return level[n]
+
+    done = set()
+    for n in sorted(maybe, key=depth):
+        into = [(s, h, th) for s, h, t, th in edges if t == n and th]
+        dead = {th for s, h, th in into if (s, h) in closed or s in done}
+        live = {th for s, h, th in into if not ((s, h) in closed or s in done)}
+        if dead and not dead & live:
+            done.add(n)
+    return done
+
+
+def test_blocked_nodes_against_brute_force(spark):
+    draw, rows, off, want = random.Random(3), [], [], set()
+    for w in range(30):
+        edges = [(i, f"s{draw.randrange(2)}", j, draw.choice(["image", "text", None])) for j in range(1, 14) for i in draw.sample(range(j), min(j, 2))]
+        closed = {(draw.randrange(6), f"s{draw.randrange(2)}") for _ in range(2)}
+        rows += [(w, *e) for e in edges]
+        off += [(w, *c) for c in closed]
+        want |= {(w, n) for n in brute_blocked(edges, closed)}
+    e = spark.createDataFrame(rows, "workflow_id long, source long, source_handle string, target long, target_handle string")
+    got = flow.blocked_nodes(e, spark.createDataFrame(off, "workflow_id long, source long, source_handle string"))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20
+    loop = spark.createDataFrame([(1, "s", "x", "n", "text"), (1, "n", "x", "m", "text"), (1, "m", "x", "n", "image"), (1, "q", "x", "m", "text")], "workflow_id long, source string, source_handle string, target string, target_handle string")
+    got = flow.blocked_nodes(loop, spark.createDataFrame([(1, "s", "x")], "workflow_id long, source string, source_handle string"))
+    assert {r["node_id"] for r in got.collect()} == {"n"}
+
+
+def test_resolved_inputs(spark):
+    n = spark.createDataFrame([
+        (1, "p", "prompt", "hello", None, False, None), (1, "q", "prompt", "later", None, False, None), (1, "i", "imageInput", "img", None, False, None), (1, "e", "imageInput", "", None, False, None),
+        (1, "r", "router", None, None, False, None), (1, "r2", "router", None, None, False, None), (1, "s", "switch", None, None, False, "image"), (1, "a", "array", "whole", ["x", "y"], False, None),
+        (1, "b", "array", "whole", ["k", "l"], True, None), (1, "c", "conditionalSwitch", None, None, False, None), (1, "v", "generateVideo", "vid", None, False, None), (1, "t", "nanoBanana", None, None, False, None), (1, "u", "nanoBanana", None, None, False, None),
+    ], "workflow_id long, node_id string, type string, value string, items array<string>, batch boolean, input_type string")
+    e = [
+        ("p", None, "r", "text", None), ("i", None, "r", "image", None), ("r", "text", "t", "text", None), ("r", "image", "r2", "image", None), ("r2", "image", "t", "image", None), ("r2", "image", "r", "image", None),
+        ("i", None, "s", "generic-input", None), ("s", "on", "t", "image", None), ("s", "off", "u", "image", None), ("a", "text-1", "u", "text", None), ("a", None, "u", "text", 4), ("b", None, "u", "text", None),
+        ("c", "m", "t", "text", None), ("v", None, "t", "video", None), ("e", None, "t", "image", None), ("q", None, "t", "prompt_2", None), ("p", None, "t", None, None), ("i", None, "u", "image-1", None),
+    ]
+    edges = spark.createDataFrame([(1, i, *x) for i, x in enumerate(e)], "workflow_id long, ord long, source string, source_handle string, target string, target_handle string, item_index int")
+    closed = spark.createDataFrame([(1, "s", "off")], "workflow_id long, source string, source_handle string")
+    schema = spark.createDataFrame([(1, "u", 0, "first", "image"), (1, "u", 1, "mask", "image"), (1, "u", 2, "says", "text")], "workflow_id long, node_id string, pos int, name string, kind string")
+    got = {r["node_id"]: r for r in flow.resolve_inputs(n, edges, closed, schema=schema).collect()}
+    assert (got["t"]["images"], got["t"]["videos"], got["t"]["text"]) == (["img", "img"], ["vid"], "hello")
+    assert (got["u"]["images"], got["u"]["text"], got["u"]["text_items"]) == (["img"], "x", ["k", "l"])
+    assert got["u"]["dynamic"] == {"mask": ["img"], "says": ["y", "x"]}
+    stop = spark.createDataFrame([(1, "i")], "workflow_id long, node_id string")
+    assert {r["node_id"]: r["images"] for r in flow.resolve_inputs(n, edges, closed, stop).collect()}["t"] == []
+
+
+def test_names_from_a_table_are_found_as_whole_words(spark):
+    docs = spark.createDataFrame([(1, "Müller AG und c++ (x)"), (2, "Mülleranlage"), (3, "a.b  c"), (4, None)], "doc_id long, text string")
+    names = spark.createDataFrame([("müller",), ("C++",), ("a.b c",), ("",), (None,), ("AG und",)], "name string")
+    assert {tuple(r) for r in X.mentions_of(docs, "doc_id", "text", names).collect()} == {(1, "müller"), (1, "C++"), (1, "AG und"), (3, "a.b c")}
