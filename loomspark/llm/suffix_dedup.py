@@ -16,7 +16,7 @@ from .words import mix
 LENGTH, GRAM = 400, 32
 #: Grams are counted in this many cells; the anchors avoid cells that many texts share. This steers
 #: only how the work is dealt out: any fixed preference gives the same result.
-CELL_BITS, CELL_IN_CHUNK, CELL_HOT = 22, 5, 64
+CELL_BITS, CELL_BYTES, CELL_IN_CHUNK, CELL_HOT = 22, 2_000_000, 5, 64
 #: Nearly all anchors are below this, a twentieth of the hash range.
 RARE = np.uint64(2**63 // 20)
 #: Bytes of one suffix array, and most different pieces with one anchor in it.
@@ -202,7 +202,7 @@ def found_in(data: np.ndarray, order: np.ndarray, other: np.ndarray, ask: np.nda
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffers(batch.column(0))
-        for first, last in chunks(offsets):
+        for first, last in chunks(offsets, CELL_BYTES):
             h = grams(data[offsets[first] : offsets[last]])
             n = np.bincount((h >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=1)
             cell = np.flatnonzero(n >= CELL_IN_CHUNK)
@@ -234,15 +234,13 @@ def _cut(length: int):
             lists = batch.column(1)
             lens = np.diff(np.asarray(lists.offsets))
             item = lists.flatten()
-            step = 40_000
             text = np.repeat(np.arange(len(lens)), lens)
-            for k in range(0, len(item), step):
-                part = item.slice(k, step)
-                fields = {name: part.field(name) for name in ("block", "side", "anchor", "a", "b", "run", "n", "start")}
-                size = np.asarray(fields["run"]).astype(np.int64) + length - 1
-                at = offsets[text[k : k + step]] + np.asarray(fields["start"])
-                upto = np.concatenate([[0], np.cumsum(size)])
-                yield pa.RecordBatch.from_arrays([*(fields[x] for x in ("block", "side", "anchor", "a", "b", "run", "n")), binary_array(data[ragged(at, size)], upto, pa.binary())], ["block", "side", "anchor", "a", "b", "run", "n", "bytes"])
+            fields = {name: item.field(name) for name in ("block", "side", "anchor", "a", "b", "run", "n", "start")}
+            size = np.asarray(fields["run"]).astype(np.int64) + length - 1
+            at, upto = offsets[text] + np.asarray(fields["start"]), np.concatenate([[0], np.cumsum(size)])
+            for first, last in chunks(upto):
+                bytes_ = binary_array(data[ragged(at[first:last], size[first:last])], upto[first : last + 1] - upto[first], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(fields[x].slice(first, last - first) for x in ("block", "side", "anchor", "a", "b", "run", "n")), bytes_], ["block", "side", "anchor", "a", "b", "run", "n", "bytes"])
 
     return run
 
@@ -327,36 +325,40 @@ def _sort(length: int):
 def _remove(length: int):
     """Rows (doc_id, text, windows that repeat) to what is left and what was removed."""
 
+    def cut(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        n = len(offsets) - 1
+        lists = batch.column(3)
+        lens = np.diff(np.asarray(lists.offsets))
+        item = lists.flatten()
+        low, high = (np.asarray(item.field(x)).astype(np.int64) for x in ("low", "high"))
+        base = offsets[np.repeat(np.arange(n), lens)]
+        depth = np.zeros(len(data) + 1, np.int32)
+        np.add.at(depth, base + low, 1)
+        np.add.at(depth, base + high + length - 1, -1)
+        gone = np.cumsum(depth[:-1]) > 0
+        upto = np.concatenate([[0], np.cumsum(gone)])
+        removed = upto[offsets[1:]] - upto[offsets[:-1]]
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        lead = offsets[:-1][np.diff(offsets) > 0]
+        begins[lead] = gone[lead]
+        opens = np.flatnonzero(begins)
+        closing = gone.copy()
+        closing[:-1] &= ~gone[1:]
+        tail = offsets[1:][np.diff(offsets) > 0] - 1
+        closing[tail] = gone[tail]
+        closes = np.flatnonzero(closing) + 1
+        per = np.searchsorted(opens, offsets)
+        owner = np.repeat(np.arange(n), np.diff(per))
+        spans = pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), pa.StructArray.from_arrays([pa.array(opens - offsets[owner]), pa.array(closes - offsets[owner])], ["start", "end"]))
+        kept = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed), spans, binary_array(data[~gone], kept, pa.binary()), batch.column(2)], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "rest"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            n = len(offsets) - 1
-            lists = batch.column(3)
-            lens = np.diff(np.asarray(lists.offsets))
-            item = lists.flatten()
-            low, high = (np.asarray(item.field(x)).astype(np.int64) for x in ("low", "high"))
-            base = offsets[np.repeat(np.arange(n), lens)]
-            depth = np.zeros(len(data) + 1, np.int32)
-            np.add.at(depth, base + low, 1)
-            np.add.at(depth, base + high + length - 1, -1)
-            gone = np.cumsum(depth[:-1]) > 0
-            upto = np.concatenate([[0], np.cumsum(gone)])
-            removed = upto[offsets[1:]] - upto[offsets[:-1]]
-            begins = gone.copy()
-            begins[1:] &= ~gone[:-1]
-            lead = offsets[:-1][np.diff(offsets) > 0]
-            begins[lead] = gone[lead]
-            opens = np.flatnonzero(begins)
-            closing = gone.copy()
-            closing[:-1] &= ~gone[1:]
-            tail = offsets[1:][np.diff(offsets) > 0] - 1
-            closing[tail] = gone[tail]
-            closes = np.flatnonzero(closing) + 1
-            per = np.searchsorted(opens, offsets)
-            owner = np.repeat(np.arange(n), np.diff(per))
-            spans = pa.ListArray.from_arrays(pa.array(per.astype(np.int32)), pa.StructArray.from_arrays([pa.array(opens - offsets[owner]), pa.array(closes - offsets[owner])], ["start", "end"]))
-            kept = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed), spans, binary_array(data[~gone], kept, pa.binary()), batch.column(2)], ["doc_id", "n_bytes", "n_removed", "spans", "kept", "rest"])
+            for first, last in chunks(offsets):
+                yield cut(batch.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
 
     return run
 
