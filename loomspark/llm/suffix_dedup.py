@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary_array, chunks, durable, ragged, text_buffers
@@ -52,19 +52,22 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None, length: int = LENGTH):
-    """Pieces of many texts: (text, anchor, two hashes of the piece, first window, number of windows, own repeats).
+    """Pieces of many texts: (text, anchor, two hashes of the piece, first window, number of windows, own repeats, right, left).
 
     The anchor of a window of ``length`` bytes is the least of its grams' hashes, so equal windows have
     equal anchors. A piece is a run of windows of one text with one anchor: the windows of a text are
     split among its pieces, and equal windows can only lie in pieces with the same anchor, or in one
-    piece that holds its anchor's gram more than once (own repeats).
+    piece that holds its anchor's gram more than once (own repeats). A window reaches half its rest
+    beyond the gram on one side at least: ``right`` and ``left`` are hashes of the gram with that much
+    behind or before it, 0 where the piece has no such window, so pieces with equal windows and without
+    own repeats agree in one of the two.
     """
     h = grams(data) >> np.uint64(1)
     if hot is not None and len(h):
         h |= hot[h >> np.uint64(63 - CELL_BITS)].astype(np.uint64) << np.uint64(63)
     width = length - GRAM + 1
     if len(h) < width:
-        return [np.zeros(0, np.int64)] * 7
+        return [np.zeros(0, np.int64)] * 9
     least = sliding_min(h, width)
     size = np.diff(offsets)
     own = np.flatnonzero(size >= length)
@@ -86,13 +89,25 @@ def anchored(data: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None, leng
     a = one[end] - one[start]
     b = two[end] - two[start] - start.astype(np.uint64) * a
     anchor = value[first]
-    again = np.zeros(len(first), bool)
+    again, pos = np.zeros(len(first), bool), start.copy()
     common, few = np.arange(len(h)), np.flatnonzero(h < RARE)
     for group, places in ((np.flatnonzero(anchor < RARE), few), (np.flatnonzero(anchor >= RARE), common)):
         low, high = np.searchsorted(places, start[group]), np.searchsorted(places, start[group] + run[group] + width - 1)
-        same = h[places[ragged(low, high - low)]] == np.repeat(anchor[group], high - low)
-        again[group] = np.bincount(np.repeat(np.arange(len(group)), high - low), weights=same, minlength=len(group)) > 1
-    return owner[first], anchor, a, b, start - offsets[:-1][owner[first]], run, again
+        at_ = places[ragged(low, high - low)]
+        same, piece = h[at_] == np.repeat(anchor[group], high - low), np.repeat(np.arange(len(group)), high - low)
+        again[group] = np.bincount(piece, weights=same, minlength=len(group)) > 1
+        pos[group[piece[same]]] = at_[same]
+    half = (length - GRAM) // 2
+
+    def side(begin: np.ndarray, there: np.ndarray) -> np.ndarray:
+        begin = begin[there]
+        x = one[begin + half + 1] - one[begin]
+        out = np.zeros(len(first), np.uint64)
+        out[there] = mix(x ^ mix(two[begin + half + 1] - two[begin] - begin.astype(np.uint64) * x)) | np.uint64(1)
+        return out
+
+    right, left = side(pos, pos + half + GRAM <= start + run + length - 1), side(pos - half, pos - half >= start)
+    return owner[first], anchor, a, b, start - offsets[:-1][owner[first]], run, again, right, left
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -217,10 +232,10 @@ def _pieces(hot: np.ndarray, length: int):
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
             for first, last in chunks(offsets):
-                owner, anchor, a, b, start, run, again = anchored(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], avoid, length)
+                owner, anchor, a, b, start, run, again, right, left = anchored(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], avoid, length)
                 if len(owner):
                     rows = pa.array(owner + first)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.view(np.int64)) for x in (anchor, a, b)), pa.array(start.astype(np.int32)), pa.array(run.astype(np.int32)), pa.array(again)], ["id", "key", "anchor", "a", "b", "start", "run", "again"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(x.view(np.int64)) for x in (anchor, a, b)), pa.array(start.astype(np.int32)), pa.array(run.astype(np.int32)), pa.array(again), pa.array(right.view(np.int64)), pa.array(left.view(np.int64))], ["id", "key", "anchor", "a", "b", "start", "run", "again", "right", "left"])
 
     return run
 
@@ -372,8 +387,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        anchor make pieces (about one for each 190 bytes). Grams that many texts share are avoided as
        anchors, so a piece at the edge of a common passage is anchored in its own text.
     2. Pieces are counted by anchor and content. Only anchors that occur twice, or pieces with repeats of
-       their own, matter; of equal pieces
-       one goes on, with their number.
+       their own, matter; of equal pieces one goes on, with their number. Of those, only pieces that
+       agree with another in what lies right or left of the anchor can share a window with it; all
+       windows of the others repeat if the piece itself does, and none if not.
     3. Those pieces' bytes are dealt out by anchor to shards of bounded size, each with a suffix array
        and common prefixes. Where one anchor has more pieces than a shard takes, its shards are merged
        in pairs by binary search.
@@ -390,13 +406,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cells = long_.select("text").mapInArrow(_cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= CELL_HOT).select("cell").toArrow()
     hot = np.zeros(1 << CELL_BITS, bool)
     hot[np.asarray(cells["cell"].combine_chunks()) if cells.num_rows else []] = True
-    pieces = long_.select("id", "key", "text").mapInArrow(_pieces(hot, length), "id long, key long, anchor long, a long, b long, start int, run int, again boolean")
+    pieces = long_.select("id", "key", "text").mapInArrow(_pieces(hot, length), "id long, key long, anchor long, a long, b long, start int, run int, again boolean, right long, left long")
     pieces = durable(pieces, "pieces")
     what = ["anchor", "a", "b", "run"]
-    different = pieces.groupBy(*what).agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "start")).alias("at"), F.bool_or("again").alias("again"))
-    anchors = different.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("m"), F.bool_or("again").alias("own")).where("total > 1 or own")
+    different = pieces.groupBy(*what).agg(F.count("*").alias("n"), F.min(F.struct("id", "key", "start")).alias("at"), F.bool_or("again").alias("again"), F.max("right").alias("right"), F.max("left").alias("left"))
+    anchors = different.groupBy("anchor").agg(F.sum("n").alias("total"), F.bool_or("again").alias("own")).where("total > 1 or own")
     chosen = different.join(anchors, "anchor")
-    chosen = durable(chosen.select(*what, "n", "at", F.ceil(F.col("m") / SHARD_PIECES).alias("parts")), "chosen")
+    meets = F.col("own")
+    for c in ("right", "left"):
+        meets = meets | ((F.col(c) != 0) & (F.count("*").over(Window.partitionBy("anchor", c)) > 1))
+    chosen = chosen.withColumn("meets", meets).where("meets or n > 1").withColumn("m", F.count_if("meets").over(Window.partitionBy("anchor")))
+    chosen = durable(chosen.select(*what, "n", "at", "meets", F.ceil(F.col("m") / SHARD_PIECES).alias("parts")), "chosen")
+    copies = chosen.where("not meets").select(*what, F.lit(0).alias("low"), F.col("run").alias("high"))
+    chosen = chosen.where("meets")
     common = [*what, "n", "at"]
     one = chosen.where("parts <= 1").select(*common, F.col("anchor").alias("block"), F.lit(-1).alias("side"))
     many = chosen.where("parts > 1").withColumn("s", F.pmod(F.xxhash64("a", "b"), F.col("parts")))
@@ -408,7 +430,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # rows with the same id and text give the same bytes: one of them is enough
     cut = long_.join(wanted, ["id", "key"]).dropDuplicates(["id", "key"]).select("text", "pieces").mapInArrow(_cut(length), "block long, side int, anchor long, a long, b long, run int, n long, bytes binary")
     found = cut.repartition("block").sortWithinPartitions("block").mapInArrow(_sort(length), "anchor long, a long, b long, run int, low int, high int")
-    found = durable(found, "repeats")
+    found = durable(found.union(copies), "repeats")
     by_text = pieces.join(found, what).select("id", "key", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
     by_text = by_text.groupBy("id", "key").agg(F.collect_list(F.struct("low", "high")).alias("windows"))
     whole = keyed.join(by_text, ["id", "key"], "left").select("doc_id", "text", "rest", F.coalesce("windows", F.array().cast("array<struct<low:int,high:int>>")).alias("windows"))
