@@ -30,11 +30,17 @@ def trim(series: DataFrame, key: list[str], t: str, start: float, end: float) ->
     return kept.withColumn(t, F.col(t) - F.min(t).over(Window.partitionBy(*key)))
 
 
-def stitch(segments: DataFrame, key: list[str], segment: str, t: str, step: float) -> DataFrame:
-    """Segments after each other on a grid: each starts one step behind the end of the one before."""
+def stitch(segments: DataFrame, key: list[str], segment: str, t: str, step: float, repeat: int = 1) -> DataFrame:
+    """Segments after each other on a grid: each starts one step behind the end of the one before.
+
+    Rows come in order of time, and one that would lie before a row already placed is left out, which
+    after rounding cannot happen within a segment; rows on one slot stay. The whole is repeated
+    ``repeat`` times (column ``round``).
+    """
     first = F.min(t).over(Window.partitionBy(*key, segment))
     placed = segments.withColumn("_at", F.floor((F.col(t) - first) / step + 0.5))
     length = placed.groupBy(*key, segment).agg((F.max("_at") + 1).alias("_n"))
     before = Window.partitionBy(*key).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
-    base = length.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return placed.join(base, [*key, segment]).withColumn("slot", F.col("_base") + F.col("_at")).drop("_at", "_base")
+    base = length.withColumns({"_base": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_all": F.sum("_n").over(Window.partitionBy(*key))}).drop("_n")
+    out = placed.join(base, [*key, segment]).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))))
+    return out.withColumn("slot", F.col("round") * F.col("_all") + F.col("_base") + F.col("_at")).drop("_at", "_base", "_all")

@@ -9,7 +9,7 @@ from .functions import easing
 from .functions import semantics as S
 from .functions import text as X
 from .operators import catalog, cost, dedup, graph, timeline, visibility
-from .plans import catalogs, graphs, leads  # noqa: F401  (they register their queries)
+from .plans import catalogs, graphs, leads, media  # noqa: F401  (they register their queries)
 from .registry import oracle_sql, queries, query, table  # noqa: F401
 from .sources import documents
 from .streaming import jobs

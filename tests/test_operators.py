@@ -278,7 +278,7 @@ def test_resolved_inputs(spark):
     ], "workflow_id long, node_id string, type string, value string, items array<string>, batch boolean, input_type string")
     e = [
         ("p", None, "r", "text", None), ("i", None, "r", "image", None), ("r", "text", "t", "text", None), ("r", "image", "r2", "image", None), ("r2", "image", "t", "image", None), ("r2", "image", "r", "image", None),
-        ("i", None, "s", "generic-input", None), ("s", "on", "t", "image", None), ("s", "off", "u", "image", None), ("a", "text-1", "u", "text", None), ("a", None, "u", "text", 4), ("b", None, "u", "text", None),
+        ("i", None, "s", "image", None), ("s", "on", "t", "image", None), ("s", "off", "u", "image", None), ("a", "text-1", "u", "text", None), ("a", None, "u", "text", 4), ("b", None, "u", "text", None),
         ("c", "m", "t", "text", None), ("v", None, "t", "video", None), ("e", None, "t", "image", None), ("q", None, "t", "prompt_2", None), ("p", None, "t", None, None), ("i", None, "u", "image-1", None),
     ]
     edges = spark.createDataFrame([(1, i, *x) for i, x in enumerate(e)], "workflow_id long, ord long, source string, source_handle string, target string, target_handle string, item_index int")
