@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,15 @@ def to_label(c: str | Column) -> Column:
     """snake_case to words whose first letters are capitals; other letters stay."""
     words = F.split(col(c), "_")
     return F.concat_ws(" ", F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**30))))
+
+
+#: Most rows of a table that is sent whole to every task.
+MOST_ROWS = 10_000
+
+
+def bounded(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """A short table for broadcasting; one of more rows is an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of more than {most} rows where a short one is meant")
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -114,6 +114,29 @@ def split_text(text: str | Column, mode: str = "delimiter", delimiter: str = "*"
     return F.struct(F.when(t.isNull() | (t == "") | error.isNotNull(), none).otherwise(items).alias("items"), error.alias("error"))
 
 
+def register_split(spark, name: str = "split_text") -> None:
+    """``split_text(text, mode, delimiter_or_pattern)`` as a table function of SQL: a row (ord, item) for each trimmed item that is not empty.
+
+    For SQL alone; ``split_text`` on columns does the same without Python.
+    """
+
+    class Split:
+        def eval(self, text: str, mode: str, by: str):
+            if not text or (mode == "regex" and by and (regex_guard(by) or len(text) > MOST_INPUT)):
+                return
+            if mode == "newline":
+                parts = re.split(r"\r?\n", text)
+            elif mode == "regex" and by:
+                m = re.fullmatch(r"/(.+)/([a-zA-Z]*)", by, re.S)
+                flags = "".join(f for f in m[2] if f in "ims") if m else ""
+                parts = re.split((f"(?{flags})" if flags else "") + (m[1] if m else by), text)
+            else:
+                parts = text.split(by) if by else [text]
+            yield from enumerate(p.strip() for p in parts if p and p.strip())
+
+    spark.udtf.register(name, F.udtf(Split, returnType="ord: int, item: string"))
+
+
 def var_tags(text: str | Column) -> Column:
     """<var="name">value</var> tags as an array of struct(name, value)."""
     tag = r'(?s)<var="([^"]+)">(.*?)</var>'

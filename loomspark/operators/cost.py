@@ -2,14 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Prices of an image by model and resolution; the first model has one price.
+PRICES = {
+    "nano-banana": {"512": 0.039, "1K": 0.039, "2K": 0.039, "4K": 0.039},
+    "nano-banana-pro": {"512": 0.134, "1K": 0.134, "2K": 0.134, "4K": 0.24},
+    "nano-banana-2": {"512": 0.045, "1K": 0.067, "2K": 0.101, "4K": 0.151},
+}
+
+
+def unit_price(model: str, resolution: str) -> Column:
+    """Price of one image; null for a model or resolution without one."""
+    out = F.lit(None).cast("double")
+    for name, by in PRICES.items():
+        for size, price in by.items():
+            out = F.when((F.col(model) == name) & (F.col(resolution) == size), price).otherwise(out)
+    return F.when(F.col(model) == "nano-banana", PRICES["nano-banana"]["1K"]).otherwise(out)
+
+
+def price_unit(price_type: str) -> Column:
+    return F.when(F.col(price_type) == "per-run", "image").when(F.col(price_type).isNotNull(), "second")
+
+
+def cost_quantities(nodes: DataFrame) -> DataFrame:
+    """The nodes that cost, with provider, model_id, quantity and unit.
+
+    ``nodes``: type, provider and model_id of a chosen model, model and resolution of the older kind,
+    is_configured, target_count. Image nodes count once, video nodes once if a model is chosen, split
+    grids as often as they are configured to make images.
+    """
+    kind, chosen = F.col("type"), F.col("model_id").isNotNull()
+    grid = (kind == "splitGrid") & F.coalesce("is_configured", F.lit(False)) & (F.col("target_count") > 0)
+    quantity = F.when(kind == "nanoBanana", 1).when((kind == "generateVideo") & chosen, 1).when(grid, F.col("target_count"))
+    own = chosen & ~grid
+    out = nodes.withColumns({
+        "quantity": quantity.cast("long"), "provider": F.when(own, F.col("provider")).otherwise("gemini"), "model_id": F.when(own, F.col("model_id")).otherwise(F.col("model")),
+        "resolution": F.when(F.col("model") == "nano-banana", "1K").otherwise(F.col("resolution")), "unit": F.when(kind == "generateVideo", "video").otherwise("image"),
+    })
+    return out.where("quantity is not null")
+
+
 def price_lookup(items: DataFrame, prices: DataFrame, fixed: DataFrame, model: str = "model", resolution: str = "resolution") -> DataFrame:
     """unit_price from the price table by model, else from the fixed table by model and resolution, else null."""
     out = items.join(prices.select(model, F.col("price").alias("_p")), model, "left")
-    out = out.join(F.broadcast(fixed.select(model, resolution, F.col("price").alias("_f"))), [model, resolution], "left")
+    out = out.join(fixed.select(model, resolution, F.col("price").alias("_f")), [model, resolution], "left")
     return out.withColumn("unit_price", F.coalesce("_p", "_f")).drop("_p", "_f")
 
 
@@ -25,8 +64,13 @@ def cost_total(breakdown: DataFrame) -> DataFrame:
 
 
 def cost_by_provider(items: DataFrame, provider: str, known: list[str], quantity: str = "quantity") -> DataFrame:
-    """Rows of providers outside the known list, together: number of entries and of items."""
-    return items.where(~F.col(provider).isin(*known)).groupBy(provider).agg(F.count("*").alias("entries"), F.sum(quantity).alias("n"))
+    """Providers outside the known list: number of entries and of items."""
+    return other_items(items, provider, known).groupBy(provider).agg(F.count("*").alias("entries"), F.sum(quantity).alias("n"))
+
+
+def other_items(items: DataFrame, provider: str, known: list[str]) -> DataFrame:
+    """The items themselves, a row each, of providers outside the known list."""
+    return items.where(~F.col(provider).isin(*known))
 
 
 def any_other_provider(nodes: DataFrame, key: str, provider: str, known: list[str]) -> DataFrame:

@@ -90,7 +90,7 @@ def newest_n(df: DataFrame, key: list[str], id_: str, ts: list[str], n: int) ->
 def quota(df: DataFrame, category: str, limits: DataFrame, ord_: list[str]) -> DataFrame:
     """The first rows of each category up to its limit, with whether the category falls short."""
     w = Window.partitionBy(category)
-    out = df.join(F.broadcast(limits), category).withColumns({"place": F.row_number().over(w.orderBy(*ord_)), "short": F.count("*").over(w) < F.col("quota")})
+    out = df.join(limits, category).withColumns({"place": F.row_number().over(w.orderBy(*ord_)), "short": F.count("*").over(w) < F.col("quota")})
     return out.where(F.col("place") <= F.col("quota"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import percent, round2
+from ..functions.semantics import bounded, percent, round2
 from ..functions.text import competitors_in, find_mention
 
 #: Run states, and what a sentiment label counts.
@@ -21,8 +21,8 @@ def extract_mentions(answers: DataFrame, brand: str, competitors: list[str], tex
 
 
 def run_matrix(prompts: DataFrame, models: DataFrame) -> DataFrame:
-    """Every prompt with every model, still to be asked. The table of models must be a short fixed list."""
-    return prompts.crossJoin(F.broadcast(models)).withColumn("status", F.lit("pending"))
+    """Every prompt with every model, still to be asked. The models are a short list, which is checked."""
+    return prompts.crossJoin(bounded(models)).withColumn("status", F.lit("pending"))
 
 
 def attach_run_id(answers: DataFrame, runs: DataFrame) -> DataFrame:
@@ -36,6 +36,14 @@ def attach_category(answers: DataFrame, prompts: DataFrame) -> DataFrame:
     return answers.join(prompts.select("prompt_id", "category"), "prompt_id", "left")
 
 
+def successes(answers: DataFrame) -> DataFrame:
+    return answers.where(F.col("status") == SUCCESS)
+
+
+def mentioning(answers: DataFrame) -> DataFrame:
+    return successes(answers).where("mentioned")
+
+
 def _measures() -> list[Column]:
     ok, hit = F.col("status") == SUCCESS, (F.col("status") == SUCCESS) & F.col("mentioned")
     n_ok, n_hit = F.count_if(ok), F.count_if(hit)
@@ -54,7 +62,7 @@ def brand_kpis(answers: DataFrame, keys: list[str]) -> DataFrame:
 
 def kpis_by(answers: DataFrame, column: str, domain: DataFrame, brands: list[str]) -> DataFrame:
     """KPIs for each value of a fixed domain, zeros where nothing was answered."""
-    grid = answers.select(*brands).distinct().crossJoin(F.broadcast(domain))
+    grid = answers.select(*brands).distinct().crossJoin(bounded(domain))
     out = grid.join(brand_kpis(answers, [*brands, column]), [*brands, column], "left")
     return out.fillna(0, ["total", "successful", "mentions"]).fillna(0.0, ["visibility_pct"])
 
@@ -86,8 +94,11 @@ def run_summary(answers: DataFrame, keys: list[str], states: list[str]) -> DataF
     return answers.groupBy(*keys).agg(F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(s) for s in states])
 
 
-def score_to_tidy(scores: DataFrame, keys: list[str], maps: list[str]) -> DataFrame:
-    """One row for each entry of the maps: dimension, label, value, and the bar's width, which stops at 100."""
+def score_to_tidy(scores: DataFrame, keys: list[str], maps: list[str], labels: dict[str, str] | None = None) -> DataFrame:
+    """One row for each entry of the maps: dimension, label, value, the bar's width, which stops at 100, and its place from the largest value.
+
+    ``labels`` gives some of the labels another text.
+    """
     kind = "map<string,double>"
 
     def entries(name: str) -> Column:
@@ -95,4 +106,7 @@ def score_to_tidy(scores: DataFrame, keys: list[str], maps: list[str]) -> DataFr
         return F.transform(own, lambda e: F.struct(F.lit(name).alias("dimension"), e["key"].alias("label"), e["value"].alias("value")))
 
     rows = scores.select(*keys, F.explode(F.flatten(F.array(*map(entries, maps)))).alias("e"))
-    return rows.select(*keys, "e.*").withColumn("width", F.least(F.lit(100.0), F.col("value")))
+    out = rows.select(*keys, "e.*").withColumns({"width": F.least(F.lit(100.0), F.col("value")), "place": F.row_number().over(Window.partitionBy(*keys, "e.dimension").orderBy(F.desc("e.value"), "e.label"))})
+    for old, new in (labels or {}).items():
+        out = out.withColumn("label", F.when(F.col("label") == old, new).otherwise(F.col("label")))
+    return out

@@ -9,7 +9,7 @@ from .functions import easing
 from .functions import semantics as S
 from .functions import text as X
 from .operators import catalog, cost, dedup, graph, timeline, visibility
-from .plans import catalogs, graphs, leads, media  # noqa: F401  (they register their queries)
+from .plans import catalogs, forms, graphs, leads, media, texts  # noqa: F401  (they register their queries)
 from .registry import oracle_sql, queries, query, table  # noqa: F401
 from .sources import documents
 from .streaming import jobs
@@ -227,11 +227,10 @@ def rule_routing(spark, sf_dir):
 # -- text ------------------------------------------------------------------------------------------
 
 
-@query("SELECT conv_id, turn, len(x)::INT AS items, array_to_string(x[1:2], '|') AS head FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(text, ', '), lambda s: trim(s)), lambda s: s <> '') AS x FROM conversations WHERE text NOT LIKE '%' || chr(10) || '%')")
+@query("SELECT conv_id, turn, len(x)::INT AS items, array_to_string(x[1:2], '|') AS head FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(text, ', '), lambda s: regexp_replace(s, '^[@WHITE]+|[@WHITE]+$', '', 'g')), lambda s: s <> '') AS x FROM conversations)")
 def split_by_delimiter(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where(~F.col("text").contains("\n"))
     items = X.split_text("text", "delimiter", ", ")["items"]
-    return c.select("conv_id", "turn", F.size(items).alias("items"), F.concat_ws("|", F.slice(items, 1, 2)).alias("head"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(items).alias("items"), F.concat_ws("|", F.slice(items, 1, 2)).alias("head"))
 
 
 @query(r"""SELECT conv_id, turn, len(x)::INT AS items, array_to_string(x, chr(31)) AS joined FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(coalesce(text, ''), ', '),

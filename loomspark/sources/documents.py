@@ -70,7 +70,7 @@ def scan_boards(df: DataFrame, columns: list[str], data: str, order: list[Column
 
 
 def images_for_board(df: DataFrame, parent: str, key: str, blob: str, order: str) -> DataFrame:
-    """Each parent's map from key to blob; of equal keys the last by ``order`` stays."""
+    """Each parent's map from key to blob; of equal keys the last by ``order`` stays. The blobs of one parent make one row, so they must fit it; give references where they are large (``externalize``)."""
     last = df.where(F.col(key).isNotNull()).groupBy(parent, key).agg(F.max_by(blob, order).alias(blob))
     return last.groupBy(parent).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, blob)))).alias("images"))
 
@@ -81,6 +81,22 @@ def retain_sessions(df: DataFrame, session: str, ts: str, n: int = 10) -> DataFr
     return df.join(F.broadcast(keep), session, "left_semi")
 
 
+def write_sessions(df: DataFrame, session: str, ts: str, folder: str, mirror: str | None = None, n: int = 10) -> DataFrame:
+    """The n newest sessions as JSON in a folder and, where given, in a second one; returns the rows that were written."""
+    kept = retain_sessions(df, session, ts, n)
+    for place in filter(None, (folder, mirror)):
+        kept.write.mode("overwrite").json(place)
+    return kept
+
+
+def read_clients(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """All records of all exported pages ({records: [{id, fields}]}) at a path: id, the fields as text, and the page's file."""
+    cells = ", ".join(f"`{f}`: string" for f in fields)
+    pages = spark.read.schema(f"records array<struct<id: string, fields: struct<{cells}>>>").json(path, multiLine=True, recursiveFileLookup=True)
+    rows = pages.select(F.col("_metadata.file_name").alias("page"), F.explode("records").alias("r"))
+    return rows.select("page", F.col("r.id").alias("id"), *[F.col("r.fields")[f].alias(f) for f in fields])
+
+
 def resolve_media(ids: DataFrame, files: DataFrame, id_: str = "id") -> DataFrame:
     """Each id's file by the priority of extensions, its content type, and whether none was found."""
     order = F.create_map(*[F.lit(x) for i, e in enumerate(MEDIA) for x in (e, i)])

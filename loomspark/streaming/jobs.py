@@ -18,12 +18,14 @@ from ..operators.graph import shared_folder
 TERMINAL = ("succeeded", "failed", "expired")
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None, trigger: dict | None = None) -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None, trigger: dict | None = None, folder: str | None = None) -> DataFrame:
     """All rows that the stream gives until its source is read; with ``keys``, each key's row of the last batch.
 
-    A batch that runs again after a loss replaces its own folder, so rows never count twice.
+    ``folder`` keeps the stream's state and its rows: a job that is started again with it goes on where
+    it stopped. Without one, a new folder is taken and the job begins anew. A batch that runs again after
+    a loss replaces its own folder, so rows never count twice.
     """
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, name)
+    spark, folder = stream.sparkSession, folder or shared_folder(stream.sparkSession, name)
 
     def put(batch: DataFrame, i: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
@@ -74,13 +76,13 @@ def fresh_values(df: DataFrame, key: list[str], ts: str, ttl: str, now: Column)
     return young.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(ts)))).where("_n = 1").drop("_n")
 
 
-def stream_running_cost(stream: DataFrame, key: str, order: list[str], amount: str, reset: str, trigger: dict | None = None) -> DataFrame:
+def stream_running_cost(stream: DataFrame, key: str, order: list[str], amount: str, reset: str, trigger: dict | None = None, folder: str | None = None) -> DataFrame:
     """Each key's sum of amounts since its last reset, once the source is read.
 
     Batches come in order; inside a batch, rows are ordered by ``order``. Each batch is reduced to one row
-    for each key and merged with the table of sums that the batch before has written.
+    for each key and merged with the table of sums that the batch before has written. ``folder`` as in ``drain``.
     """
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "running-cost")
+    spark, folder = stream.sparkSession, folder or shared_folder(stream.sparkSession, "running-cost")
     schema = StructType([stream.schema[key], StructField("batch", LongType())])
     schema = schema.add("total", "double")
     at = F.struct(*order)
