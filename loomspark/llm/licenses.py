@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,15 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, text_buffers
-from .words import LOWER, mix, word_hashes
+from .words import mix, word_hashes
 
 #: Short notices of public licences, by family.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Released under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0"],
+    "Apache-1.1": ["Licensed under the Apache License, Version 1.1.", "The Apache Software License, Version 1.1", "SPDX-License-Identifier: Apache-1.1"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "Licensed under the GNU GPL version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "Licensed under the GNU GPL version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
     "LGPL": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under the GNU Lesser General Public License.", "SPDX-License-Identifier: LGPL-3.0-only"],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Licensed under the BSD 3-Clause License.", "Released under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "BSD-2": ["Licensed under the BSD 2-Clause License.", "Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
     "CC-BY": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "Text is available under CC BY 4.0."],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Available under CC BY-NC 4.0 for noncommercial use."],
@@ -29,12 +33,15 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
 FAMILIES = ["unknown", *TEMPLATES]
-#: Hashed word unigrams and bigrams; paragraphs of the corpus that stand for the unknown class, at most.
-BITS, NEGATIVES, EPOCHS, RATE, DECAY = 15, 4_000, 300, 2.0, 1e-4
-#: Least calibrated probability of a family, and least share of a template's words that a paragraph must hold.
-SURE, MATCH = 0.5, 0.7
-#: Punctuation counts as a separator inside the classifier, so "License." and "license" are one word.
-FOLD = LOWER.copy()
+#: Hashed word unigrams and bigrams; stretches of the corpus that stand for the unknown class, at most, and their length in characters.
+BITS, NEGATIVES, STRETCH, EPOCHS, RATE, DECAY = 15, 3_000, 400, 150, 2.0, 1e-4
+#: Variants of each template, of which every fifth is held out for calibration.
+VARIANTS = 40
+#: Least calibrated probability that a paragraph is a notice at all, least share of a template's word pairs
+#: that it must hold, and how many of the likeliest families are compared with their templates.
+SURE, MATCH, COMPARED = 0.5, 0.7, 3
+#: Words by which a notice is denied.
+DENIED = re.compile(r"\b(?:not|never|no longer|neither)\s+(?:being\s+|be\s+)?(?:licensed|released|available|distributed|dedicated|covered)\b", re.I)
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,36 +67,49 @@ def clean(text: str) -> str:
 
 
 class Classifier:
-    """Multinomial logistic regression over hashed word n-grams, with a temperature fitted on held-out variants."""
+    """Multinomial logistic regression over hashed word n-grams, with a temperature fitted on held-out texts.
+
+    Texts of a family are variants of its templates with words left out, some within words of the
+    corpus; of the unknown class, stretches of the corpus and denied templates. Every fifth is held out.
+    """
 
     def __init__(self, negatives: list[str], seed: int = 9) -> None:
         draw = np.random.default_rng(seed)
         texts, labels = list(negatives), [0] * len(negatives)
+
+        def around(words: list[str]) -> list[str]:
+            if not negatives or draw.random() < 0.5:
+                return words
+            own = clean(negatives[draw.integers(len(negatives))]).split()
+            return own[: draw.integers(9)] + words + own[-1 - draw.integers(9) :]
+
         for i, family in enumerate(FAMILIES[1:], 1):
             for template in TEMPLATES[family]:
                 words = clean(template).split()
-                for variant in range(40):
+                for variant in range(VARIANTS):
                     keep = [w for w in words if variant == 0 or draw.random() > 0.12] or words
-                    texts.append(" ".join(keep))
+                    texts.append(" ".join(keep if variant == 0 else around(keep)))
                     labels.append(i)
+                for verb in ("licensed", "released", "available"):
+                    if verb in words or verb.capitalize() in words:
+                        texts.append(" ".join("not " + w.lower() if w.lower() == verb else w for w in around(words)))
+                        labels.append(0)
         x, n = grams(*_buffers(texts))
         y, held = np.array(labels), np.arange(len(texts)) % 5 == 4
         row = np.repeat(np.arange(len(texts)), n)
         value = 1 / np.sqrt(np.maximum(n, 1))[row]
         self.w, self.bias = np.zeros((1 << BITS, len(FAMILIES))), np.zeros(len(FAMILIES))
-        weight = np.where(y == 0, 1.0, 1.0) * ~held
-        total, truth = weight.sum(), np.eye(len(FAMILIES))[y]
+        fitted, truth = ~held / max(1, (~held).sum()), np.eye(len(FAMILIES))[y]
         speed = np.full(1 << BITS, 1e-8)
         for _ in range(EPOCHS):
-            error = (self._softmax(self._margins(x, row, value, len(texts))) - truth) * (weight / total)[:, None]
-            gradient = np.zeros_like(self.w)
-            np.add.at(gradient, x, error[row] * value[:, None])
+            error = (self._softmax(self._margins(x, row, value, len(texts))) - truth) * fitted[:, None]
+            gradient = np.stack([np.bincount(x, weights=error[row, f] * value, minlength=1 << BITS) for f in range(len(FAMILIES))], axis=1)
             speed += (gradient**2).sum(axis=1)
             self.w -= RATE * (gradient / np.sqrt(speed)[:, None] * 0.1 + DECAY * self.w)
             self.bias -= RATE * error.sum(axis=0)
         margins = self._margins(x, row, value, len(texts))[held]
         losses = [(-np.log(self._softmax(margins * s)[np.arange(held.sum()), y[held]] + 1e-12).mean(), s) for s in (0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0)] if held.any() else [(0, 1.0)]
-        self.sharpness = min(losses)[1]
+        self.loss, self.sharpness = min(losses)
         self.w = self.w.astype(np.float32)
 
     def _margins(self, x, row, value, n):
@@ -116,14 +136,20 @@ class Classifier:
         return p
 
 
-def template_match(paragraph: str, family: str) -> float:
-    """Largest share of the word pairs of a template of the family that the paragraph holds."""
-    def pairs(text):
-        words = clean(text).lower().split()
-        return set(zip(words, words[1:], strict=False)) or set(words)
+def _word_pairs(text: str) -> set:
+    words = clean(text).lower().split()
+    return set(zip(words, words[1:], strict=False)) or set(words)
 
-    own = pairs(paragraph)
-    return max(len(own & p) / len(p) for p in map(pairs, TEMPLATES[family]))
+
+#: Of each family's templates: word pairs, and those among them with a number, which tell versions apart.
+TEMPLATE_PAIRS = {f: [(p, {x for x in p if any(w.isdigit() for w in x)}) for p in map(_word_pairs, ts)] for f, ts in TEMPLATES.items()}
+
+
+def template_match(paragraph: str, family: str) -> float:
+    """Largest share of the word pairs of a template of the family that the paragraph holds; every number of the template must be there, and nothing may deny it."""
+    own = _word_pairs(paragraph)
+    best = max(len(own & p) / len(p) if numbers <= own else 0.0 for p, numbers in TEMPLATE_PAIRS[family])
+    return 0.0 if best and DENIED.search(clean(paragraph)) else best
 
 
 def _pair_hashes(words: np.ndarray) -> np.ndarray:
@@ -200,39 +226,59 @@ for _b in [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), 10
 PAIRS = _template_pairs()
 
 
+def paragraphs(part: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of each block of lines between lines without words; comment marks are no words."""
+    words, first, starts, lens = word_hashes(PLAIN[part], offs)
+    if not len(words):
+        return (np.zeros(0, np.int64),) * 3
+    lines = np.concatenate([[0], np.cumsum(part == 10)])
+    new = np.ones(len(words), bool)
+    new[1:] = lines[starts[1:]] - lines[(starts + lens)[:-1]] > 1
+    new[first[:-1][first[:-1] < len(words)]] = True
+    at = np.flatnonzero(new)
+    begin, end = starts[at], (starts + lens)[np.append(at[1:], len(words)) - 1]
+    return np.searchsorted(offs, begin, side="right") - 1, begin, end
+
+
+#: Bytes before a stretch in which a denial is looked for.
+BEFORE = 24
+
+
 def _scan(model: Classifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for first, last in chunks(offsets):
                 part, offs = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-                inner = np.flatnonzero(part == 10)
-                cuts = np.unique(np.concatenate([offs, inner, inner + 1]))
-                owner = np.searchsorted(offs, cuts[:-1], side="right") - 1 if len(cuts) > 1 else np.zeros(0, np.int64)
-                p = model.probabilities(PLAIN[part], cuts) if len(cuts) > 1 else np.zeros((0, len(FAMILIES)))
-                words = np.diff(cuts) > 1
-                paragraphs = np.bincount(owner[words], minlength=last - first) if len(owner) else np.zeros(last - first, np.int64)
-                best = p[:, 1:].argmax(axis=1) + 1 if len(p) else np.zeros(0, np.int64)
+                owner, begin, end = paragraphs(part, offs)
                 found: list[dict[str, tuple[float, float, int, int]]] = [{} for _ in range(last - first)]
 
-                def note(i: int, family: str, probability: float, a: int, b: int) -> None:
-                    match = template_match(part[a:b].tobytes().decode("utf-8", "replace"), family)
-                    if match >= MATCH and (family not in found[i] or match > found[i][family][1]):
-                        found[i][family] = (probability, match, a - int(offs[i]), b - int(offs[i]))
-
-                for i in np.flatnonzero(p[np.arange(len(p)), best] >= SURE) if len(p) else []:
-                    note(owner[i], FAMILIES[best[i]], float(p[i, best[i]]), int(cuts[i]), int(cuts[i + 1]))
+                def note(i: int, p: np.ndarray, a: int, b: int, wanted: str | None = None) -> None:
+                    """Of the likeliest families the first whose template agrees."""
+                    if 1 - p[0] < SURE:
+                        return
+                    text = part[max(int(offs[i]), a - BEFORE) : b].tobytes().decode("utf-8", "replace")
+                    for k in np.argsort(-p[1:], kind="stable")[:COMPARED] + 1:
+                        family = FAMILIES[k]
+                        match = template_match(text, family)
+                        if match >= MATCH and (wanted is None or family == wanted):
+                            if family not in found[i] or match > found[i][family][1]:
+                                found[i][family] = (float(p[k]), match, a - int(offs[i]), b - int(offs[i]))
+                            return
+
+                if len(owner):
+                    p = model.probabilities(PLAIN[part[begin[0] :]], np.append(begin, len(part)) - begin[0])
+                    for j in np.flatnonzero(1 - p[:, 0] >= SURE):
+                        note(int(owner[j]), p[j], int(begin[j]), int(end[j]))
                 more = closest(part, windows(part, offs))
                 for at in range(0, len(more), 10_000):
                     some = more[at : at + 10_000]
                     plain = PLAIN[np.concatenate([part[a:b] for *_, a, b in some])]
                     q = model.probabilities(plain, np.cumsum([0, *(b - a for *_, a, b in some)]))
                     for j, (i, family, a, b) in enumerate(some):
-                        k = int(q[j, 1:].argmax()) + 1
-                        if q[j, k] >= SURE and FAMILIES[k] == family:
-                            note(i, family, float(q[j, k]), a, b)
+                        note(i, q[j], a, b, family)
                 rows = [[{"family": k, "probability": v[0], "match": v[1], "start": v[2], "end": v[3]} for k, v in sorted(x.items())] for x in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(paragraphs), pa.array(rows, NOTICES)], ["doc_id", "n_paragraphs", "notices"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.bincount(owner, minlength=last - first)), pa.array(rows, NOTICES)], ["doc_id", "n_paragraphs", "notices"])
 
     return run
 
@@ -243,20 +289,24 @@ NOTICES = pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float6
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_paragraphs, notices (family, probability, match, start, end in bytes) of every row.
 
-    n_paragraphs counts lines. The classifier is fitted on the driver from variants of the templates and at
-    most NEGATIVES lines of the corpus (by a hash of the line) that stand for the unknown class; every
-    line of every text is then classified, in tasks that hold the fixed-size weights, and so is every
-    stretch within a paragraph (lines between lines without words) or a long line that holds enough
-    word pairs of a template, unless another family matches the same words better. A family is reported
-    where its calibrated probability reaches SURE and a template of it agrees, at its best place.
+    n_paragraphs counts blocks of lines between lines without words. The classifier is fitted on the
+    driver from variants of the templates and at most NEGATIVES stretches of STRETCH characters, each
+    from a place in a text that a hash picks, which stand for the unknown class unless a template
+    matches them. Every paragraph of every text is then classified, in tasks that hold the fixed-size
+    weights, and so is every stretch within a paragraph that holds enough word pairs of a template,
+    unless another family matches the same words better. Of the COMPARED likeliest families, the first
+    is reported of which a template agrees, at its best place; numbers must agree, so versions are
+    told apart, and a notice that is denied ("not licensed under") is none.
 
     Null and empty texts have no paragraphs and no notices; ids, repeated rows and other columns as in
     ``token_count.count_tokens``.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    line = F.substring(F.element_at(F.split("text", "\n"), 1), 1, 400)
-    sample = rows.where(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("h"), line.alias("line"))
-    lines = [r["line"] for r in sample.orderBy("h", "doc_id").limit(NEGATIVES).select("line").collect()]
-    notice = set(" ".join(clean(t) for ts in TEMPLATES.values() for t in ts).lower().split()) - {"the", "of", "and", "to", "a", "in", "is", "by"}
-    lines = [x for x in lines if sum(w in notice for w in clean(x).lower().split()) <= 2]
-    return rows.mapInArrow(_scan(Classifier(lines)), "doc_id long, n_paragraphs long, notices array<struct<family:string,probability:double,match:double,start:long,end:long>>")
+    h, size = F.xxhash64("text", F.lit(9)), F.length("text")
+    n = rows.where(size > 0).count()
+    place = 1 + F.pmod(F.xxhash64("text", F.lit(10)), F.greatest(size - STRETCH, F.lit(1)))
+    share = min(1.0, 2 * NEGATIVES / max(1, n))  # a few more than wanted, so that only those are sorted
+    sample = rows.where((size > 0) & (F.pmod(h, F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select("doc_id", h.alias("h"), F.substring("text", place.cast("int"), F.lit(STRETCH)).alias("part"))
+    parts = [r["part"] for r in sample.orderBy("h", "doc_id").limit(NEGATIVES).select("part").collect()]
+    parts = [x for x in parts if all(template_match(x, f) < MATCH for f in TEMPLATES)]
+    return rows.mapInArrow(_scan(Classifier(parts)), "doc_id long, n_paragraphs long, notices array<struct<family:string,probability:double,match:double,start:long,end:long>>")

@@ -359,6 +359,19 @@ def test_licenses(docs, empty, spark):
     assert found == {i: [f] for i, (f, _) in enumerate(lines)}
 
 
+def test_versions_and_denials_of_licenses(spark):
+    texts = [
+        (["GPL-2.0"], "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version."),
+        (["GPL-3.0"], "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or"),
+        (["BSD-2"], "Licensed under the BSD 2-Clause License."), (["BSD"], "Licensed under the BSD 3-Clause License."), (["Apache-1.1"], "The Apache Software License, Version 1.1"),
+        (["Apache-2.0"], "Licensed under the Apache License, Version 2.0"), (["MIT"], "Licensed under the MIT License."), ([], "This work is not licensed under the MIT License."), ([], "The code was never released under the Apache License 2.0."),
+    ]
+    rows = [(i, t) for i, (_, t) in enumerate(texts)] + [(100 + i, prose(40) + "\n\n" + t + "\n\n" + prose(30)) for i, (_, t) in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_paragraphs"], [x["family"] for x in r["notices"]]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: f for i, (_, f) in got.items()} == {i + k: f for i, (f, _) in enumerate(texts) for k in (0, 100)}
+    assert {n for i, (n, _) in got.items()} == {1, 3}
+
+
 def test_wrapped_and_inner_licenses(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
     bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:\n#\n# 1. Redistributions of source code must retain the above copyright notice"
