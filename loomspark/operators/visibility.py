@@ -106,7 +106,7 @@ def score_to_tidy(scores: DataFrame, keys: list[str], maps: list[str], labels: d
         return F.transform(own, lambda e: F.struct(F.lit(name).alias("dimension"), e["key"].alias("label"), e["value"].alias("value")))
 
     rows = scores.select(*keys, F.explode(F.flatten(F.array(*map(entries, maps)))).alias("e"))
-    out = rows.select(*keys, "e.*").withColumns({"width": F.least(F.lit(100.0), F.col("value")), "place": F.row_number().over(Window.partitionBy(*keys, "e.dimension").orderBy(F.desc("e.value"), "e.label"))})
+    out = rows.select(*keys, "e.*").withColumns({"width": F.least(F.lit(100.0), F.col("value")), "place": F.row_number().over(Window.partitionBy(*keys, "dimension").orderBy(F.desc("value"), "label"))})
     for old, new in (labels or {}).items():
         out = out.withColumn("label", F.when(F.col("label") == old, new).otherwise(F.col("label")))
     return out

@@ -301,7 +301,7 @@ def tidy_scores(spark, sf_dir):
         n = c.groupBy("brand", F.col(by).cast("string").alias("label")).count()
         return n.groupBy("brand").agg(F.map_from_entries(F.collect_list(F.struct("label", "count"))).alias(name))
 
-    return visibility.score_to_tidy(counts("role", "by_role").join(counts("turn", "by_turn"), "brand"), ["brand"], ["by_role", "by_turn"])
+    return visibility.score_to_tidy(counts("role", "by_role").join(counts("turn", "by_turn"), "brand"), ["brand"], ["by_role", "by_turn"]).drop("place")
 
 
 # -- stored forms ----------------------------------------------------------------------------------
