@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
@@ -76,7 +76,7 @@ def pivot(size: np.ndarray, copies: np.ndarray, seed: int) -> np.ndarray:
 def _round(level: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         source, group = key[0].as_py(), key[1].as_py()
-        table = table.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("row", "ascending")])
+        table = table.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("hash", "ascending"), ("number", "ascending")])
         seed = zlib.crc32(f"{source}|{group}|{level}".encode())
         copies = pivot(np.asarray(table["size"]), np.asarray(table["copies"]), seed)
         return table.set_column(table.schema.get_field_index("copies"), "copies", pa.array(copies))
@@ -84,8 +84,13 @@ def _round(level: int):
     return run
 
 
+def text_hash(text: Column) -> Column:
+    """What tells the texts of one id apart in ``mix``."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken: how often the mix takes each document.
+    """doc_id, size, source, source_size, target, hash, number, copies, taken: how often the mix takes each document.
 
     A source's fractional copies, its target over its size, are rounded in groups of bounded size,
     each of which leaves at most one fraction; these meet in a reduction tree, level by level, until
@@ -93,19 +98,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     than one document. Seeds depend on source and group alone, so reruns agree.
 
     The driver holds one row for each source. Null sources are a source of their own, the last;
-    documents without words are never taken; repeated rows are documents of their own; an empty
-    table gives no rows.
+    documents without words are never taken; an empty table gives no rows. Repeated rows (same id,
+    source and text) are documents of their own: they are counted first and then numbered, so that
+    they and rows without an id spread over the groups by id, hash of the text and number.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = durable(rows, "sizes")
-    per = [(r["source"], r["size"], r["n"]) for r in rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()]
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), text_hash(text).alias("hash"))
+    rows = durable(rows.groupBy("doc_id", "source", "size", "hash").agg(F.count("*").alias("n")), "sizes")
+    per = [(r["source"], r["size"], r["n"]) for r in rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).collect()]
     target = capped_targets([(s, n) for s, n, _ in per], weights, share, most)
     spark = docs.sparkSession
     facts = spark.createDataFrame([(s, n, float(target[s]), float(min(most, target[s] / n)) if n else 0.0, -(-c // GROUP)) for s, n, c in per] or [("", 0, 0.0, 0.0, 1)], "source string, source_size long, target double, copies double, groups long")
-    rows = rows.withColumnRenamed("source", "own").join(F.broadcast(facts), F.col("own").eqNullSafe(F.col("source")))
-    # repeated rows get a number, so that every row's draw is its own; only rows with the same id meet
-    again = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("size"))
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("copies")).otherwise(0.0).alias("copies"), F.pmod(F.xxhash64("doc_id", F.lit(11)), F.greatest(F.col("groups"), F.lit(1))).alias("group"), again.alias("row"))
+    rows = rows.withColumnRenamed("source", "own").join(facts, F.col("own").eqNullSafe(F.col("source")))
+    rows = rows.withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    group = F.pmod(F.xxhash64("doc_id", "hash", "number", F.lit(11)), F.greatest(F.col("groups"), F.lit(1)))
+    rows = rows.select("doc_id", "source", "size", "hash", "source_size", "target", F.when(F.col("size") > 0, F.col("copies")).otherwise(0.0).alias("copies"), group.alias("group"), "number")
     schema, level, done = rows.schema, 0, None
     depth = max([-(-c // GROUP) for *_, c in per], default=1)
     while True:
@@ -118,6 +125,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             break
         depth, level = -(-depth // FAN_IN), level + 1
         rows = rows.withColumn("group", F.floor(F.col("group") / FAN_IN))
-    chance = F.pmod(F.xxhash64("doc_id", "source", F.lit(13)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    chance = F.pmod(F.xxhash64("doc_id", "source", "hash", "number", F.lit(13)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     last = rows.withColumn("copies", F.floor("copies") + F.when(chance < F.col("copies") - F.floor("copies"), 1).otherwise(0).cast("double"))
-    return done.union(last).select("doc_id", "size", "source", "source_size", "target", F.col("row").alias("number"), F.col("copies").cast("int").alias("copies"), (F.col("copies").cast("long") * F.col("size")).alias("taken"))
+    return done.union(last).select("doc_id", "size", "source", "source_size", "target", "hash", "number", F.col("copies").cast("int").alias("copies"), (F.col("copies").cast("long") * F.col("size")).alias("taken"))
