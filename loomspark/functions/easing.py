@@ -36,7 +36,7 @@ class _Maths:
 
 
 _COLUMNS = _Maths(F.sin, F.cos, F.sqrt, lambda a, b: F.pow(F.lit(a), b), lambda test, a, b: F.when(test, a).otherwise(b))
-_ARRAYS = _Maths(np.sin, np.cos, np.sqrt, np.power, np.where)
+_ARRAYS = _Maths(np.sin, np.cos, lambda x: np.sqrt(np.maximum(x, 0.0)), np.power, np.where)
 
 
 def _starts(kind: str, t, m: _Maths):
