@@ -128,37 +128,31 @@ def _index(forest: Forest, width: int):
     return run
 
 
-def _probe(forest: Forest, probes: int, sample: np.ndarray, firsts: np.ndarray, k: int, width: int):
-    """Queries to the cells with leaves that they visit and the score that a candidate must reach (kind 0), and their best of the sample (kind 1)."""
-    inner = 2**forest.depth
+def _probe(forest: Forest, probes: int, sample: np.ndarray, k: int, width: int):
+    """Queries to the cells with leaves that they visit, and a score that k vectors of these leaves reach: the k-th best of the sample's among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = forest.leaves(sample), len(forest.planes) * 2**forest.depth
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                q = matrix(part.column(1), width)
-                row, at, score = above(q, np.full(len(q), -np.inf), sample, firsts, k)
-                bound = np.full(len(q), -np.inf)
-                full = np.flatnonzero(np.bincount(row, minlength=len(q)) >= k)
-                bound[full] = score[np.searchsorted(row, full, side="right") - 1]
-                rows, cells, leaves = [], [], []
-                for i, x in enumerate(q):
-                    visited = np.sort(np.array(forest.probe(x, min(probes, len(forest.planes) * inner)), np.int32))
+                rows, cells, leaves, bound = [], [], [], []
+                for i, x in enumerate(matrix(part.column(1), width)):
+                    visited = np.sort(np.array(forest.probe(x, min(probes, total)), np.int32))
+                    seen = np.zeros(total, bool)
+                    seen[visited] = True
+                    near = sample[seen[own].any(axis=1)] @ x
+                    bound.append(np.partition(near, len(near) - k)[len(near) - k] if len(near) >= k else -np.inf)
                     cut = np.flatnonzero(np.concatenate([[True], visited[1:] // CELL != visited[:-1] // CELL]))
                     rows.append(np.full(len(cut), i))
                     cells.append(visited[cut] // CELL)
                     leaves += np.split(visited, cut[1:])
-                rows, none = np.concatenate(rows), pa.nulls
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(leaves, pa.list_(pa.int32())), pa.array(bound[rows]), none(len(rows), pa.int64()), none(len(rows), pa.float64())], VISIT)
-                n = len(row)
-                yield pa.RecordBatch.from_arrays([none(n, pa.int32()), part.column(0).take(pa.array(row)), none(n, part.column(1).type), none(n, pa.list_(pa.int32())), none(n, pa.float64()), pa.array(firsts[at]), pa.array(score)], VISIT)
+                rows = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array(leaves, pa.list_(pa.int32())), pa.array(np.array(bound)[rows])], ["cell", "query", "vector", "leaves", "bound"])
 
     return run
 
 
-VISIT = ["cell", "query", "vector", "leaves", "bound", "first", "score"]
-
-
 def _rank(k: int, width: int):
     def run(points: pa.Table, queries: pa.Table) -> pa.Table:
         found = []
@@ -172,7 +166,12 @@ def _rank(k: int, width: int):
                 i, j, score = above(q[mine], bound[mine], x[own], first[own], k)
                 found.append((mine[i], own[j], score))
         row, at, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        keep = top(score, np.asarray(points["first"])[at], row, k) if found else row
+        if len(row):  # a vector may stand in leaves of several trees
+            named = np.asarray(points["first"])[at]
+            order = np.lexsort((named, row))
+            order = order[np.concatenate([[True], (named[order][1:] != named[order][:-1]) | (row[order][1:] != row[order][:-1])])]
+            row, at, score = row[order], at[order], score[order]
+        keep = top(score, np.asarray(points["first"])[at], row, k)
         return pa.table({"query": queries["query"].take(pa.array(row[keep])), "first": points["first"].take(pa.array(at[keep])), "score": pa.array(score[keep])}, pa.schema([("query", pa.int64()), ("first", pa.int64()), ("score", pa.float64())]))
 
     return run
@@ -203,15 +202,17 @@ def _nearest(forest: Forest, trials: np.ndarray, k: int, width: int):
 
 
 def visits_for(forest: Forest, points: DataFrame, trials: np.ndarray, k: int, recall: float, width: int) -> int:
-    """Leaves to visit so that the trial queries find a share ``recall`` of their true neighbours.
+    """Leaves to visit so that the trial queries find a share ``recall`` of their true neighbours, one for each tree at least; all for a recall of 1.
 
     Their neighbours are found by brute force: one pass over all vectors, of which each task sends
     k for every trial.
     """
+    whole = len(forest.planes) * 2**forest.depth
+    if recall >= 1:
+        return whole
     near = points.mapInArrow(_nearest(forest, trials, k, width), "trial long, first long, score double, leaves array<bigint>")
     by = Window.partitionBy("trial").orderBy(F.desc("score"), "first")
     turns = []
-    whole = len(forest.planes) * 2**forest.depth
     rows = near.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k).select("trial", "leaves").toArrow().to_pydict()
     wanted: dict[int, list[list[int]]] = {}
     for t, leaves in zip(rows["trial"], rows["leaves"], strict=True):
@@ -220,7 +221,7 @@ def visits_for(forest: Forest, points: DataFrame, trials: np.ndarray, k: int, re
         turn = np.empty(whole, np.int64)
         turn[forest.probe(trials[t], whole)] = np.arange(whole)
         turns += [int(turn[leaves].min()) for leaves in lists]
-    return 1 + int(np.sort(turns)[min(len(turns) - 1, int(np.ceil(recall * len(turns))))]) if turns else 1
+    return max(len(forest.planes), 1 + int(np.sort(turns)[min(len(turns) - 1, int(np.ceil(recall * len(turns))))]))
 
 
 def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, trees: int = TREES, leaf: int = LEAF, recall: float = RECALL) -> DataFrame:
@@ -229,9 +230,10 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     1. Planes are fitted on at most SAMPLE vectors; every vector is put in one leaf of every tree.
     2. How many leaves a query visits is what TRIALS sampled vectors need to find a share ``recall`` of
        their true neighbours, so it follows the data and its size.
-    3. Each query takes its leaves through one priority queue over all trees. The k + 1 best vectors of
-       the sample bound what a leaf needs to send. All vectors of the visited leaves are ranked, in
-       groups of bounded size, by sums in double precision over the stored vectors, in order.
+    3. Each query takes its leaves through one priority queue over all trees. The (k + 1)-th best of the
+       sample's vectors in these leaves bounds what each of them needs to send. All vectors of the
+       visited leaves are ranked, in groups of bounded size, by sums in double precision over the stored
+       vectors, in order. Where the leaves hold fewer than k vectors, fewer are found.
 
     Equal vectors are indexed and searched once, with their k + 1 smallest ids, which is all that a
     result of k can hold. Vectors that are null, empty, zero, or hold null or non-finite values take no
@@ -253,8 +255,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     if not facts["n"]:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = facts["width"]
-    drawn = points.orderBy(F.xxhash64("vector", F.lit(1)), "first").limit(SAMPLE).toArrow()
-    sample, firsts = matrix(drawn["vector"].combine_chunks(), width), np.asarray(drawn["first"])
+    sample = points.orderBy(F.xxhash64("vector", F.lit(1)), "first").limit(SAMPLE).select("vector").toArrow()
+    sample = matrix(sample["vector"].combine_chunks(), width)
     depth = int(np.ceil(np.log2(max(1, min(facts["n"] / leaf, len(sample) / 8)))))
     forest = Forest(sample, float(facts["most"]), depth, trees)
     probes = visits_for(forest, points, sample[:TRIALS], k + 1, recall, width)
@@ -262,9 +264,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     index = points.mapInArrow(_index(forest, width), f"cell int, leaf int, first long, vector array<{kind}>")
     queries = durable(rows.where(F.pmod("id", F.lit(every)) == 0).join(points, "vector").select(F.col("id").alias("query_id"), F.col("first").alias("query")), "queries")
     asked = points.join(queries.select(F.col("query").alias("first")).distinct(), "first", "left_semi").select(F.col("first").alias("query"), "vector")
-    visits = asked.repartition(32, "query").mapInArrow(_probe(forest, probes, sample, firsts, k + 1, width), f"cell int, query long, vector array<{kind}>, leaves array<int>, bound double, first long, score double")
+    visits = asked.repartition(32, "query").mapInArrow(_probe(forest, probes, sample, k + 1, width), f"cell int, query long, vector array<{kind}>, leaves array<int>, bound double")
     visits = durable(visits, "visits")
-    drawn_best, visits = visits.where("cell is null").select("query", "first", "score"), visits.where("cell is not null")
     held = points.mapInArrow(_index(forest, width), f"cell int, leaf int, first long, vector array<{kind}>").groupBy("cell").agg(F.ceil(F.count("*") / PART).alias("parts"))
     sizes = durable(held.join(visits.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).alias("turns")), "cell"), "cells")
 
@@ -274,7 +275,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     sides = [index.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("first"), F.col("parts"))).withColumn("turn", every_one("turns")).select("cell", "part", "turn", "leaf", "first", "vector")]
     sides += [visits.join(sizes, "cell").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns"))).withColumn("part", every_one("parts")).select("cell", "part", "turn", "query", "vector", "leaves", "bound")]
     left, right = (x.groupBy("cell", "part", "turn") for x in sides)
-    found = left.cogroup(right).applyInArrow(_rank(k + 1, width), "query long, first long, score double").union(drawn_best)
+    found = left.cogroup(right).applyInArrow(_rank(k + 1, width), "query long, first long, score double")
     best = found.groupBy("query", "first").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "first")
     best = best.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select("query", "first", "score")
