@@ -66,9 +66,6 @@ def to_label(c: str | Column) -> Column:
 MOST_ROWS = 10_000
 
 
-def bounded(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
-    """A short table for broadcasting; one of more rows is an error."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"a table of more than {most} rows where a short one is meant")
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+def short(df: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """A table marked for broadcasting if it has at most ``most`` rows, which is counted; a longer one stays distributed."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import col, trim_all
+from .dictionary import contains_terms  # noqa: F401  (pages against a dictionary of terms)
 
 #: Points of the maturity score and the lengths of text that earn them.
 POINTS = {"blog": 15, "social": 10, "analytics": 10, "schema": 10, "https": 5, "crm": 10, "marketing": 5, "framework": 10}
 LENGTH_POINTS = ((1000, 15), (300, 8))
 GRADES = ((90, "A+"), (80, "A"), (70, "B+"), (60, "B"), (50, "C+"), (40, "C"), (30, "D"))
 BODY_LENGTH = 2000
-#: Most terms of a dictionary that is tested against every text.
-MOST_TERMS = 1_000
 #: A body of fewer characters is thin; what marks structured data, and what calls to act.
 THIN, SCHEMA, CALLS = 500, ("schema.org", "itemtype"), ("cta", "sign up", "get started", "book a demo", "contact us")
 UNFETCHED = "could not fetch website"
@@ -35,6 +32,9 @@ TECHNOLOGIES = {
     "infrastructure": {"Cloudflare": ("cloudflare",), "Vercel": ("vercel",), "Netlify": ("netlify",), "AWS": ("aws",), "GCP": ("google cloud", "gcp")},
     "framework": {"Next.js": ("__next", "_next/"), "React": ("react",), "Vue.js": ("vue",), "Angular": ("angular",), "Svelte": ("svelte",), "Tailwind CSS": ("tailwind",)},
 }
+BLOG, MOBILE = ("blog",), ("viewport",)
+#: All that pages are searched for.
+MARKERS = sorted({*BLOG, *MOBILE, *SCHEMA, *CALLS, *SOCIAL, *(m for group in TECHNOLOGIES.values() for marks in group.values() for m in marks)})
 
 
 def html_title(html: str | Column) -> Column:
@@ -62,10 +62,20 @@ def html_body(html: str | Column) -> Column:
     return F.substring(trim_all(F.regexp_replace(F.regexp_replace(raw, r"<[^>]+>", " "), r"(?U)\s+", " ")), 1, BODY_LENGTH)
 
 
-def page_gaps(html: str | Column, body_length: str | Column) -> Column:
-    """What a page lacks, in a fixed order; a page that was not fetched (null) has that one gap."""
+def markers(html: str | Column) -> Column:
+    """Which of MARKERS a page holds, in lower case; each is looked for once, and what else is asked of a page reads this list."""
     low = F.lower(col(html))
-    lacking = {"no blog detected": ~low.contains("blog"), "no Google Analytics detected": ~_any(low, TECHNOLOGIES["analytics"]["Google Analytics"]), "thin homepage content": col(body_length) < THIN, "no schema markup detected": ~_any(low, SCHEMA)}
+    return F.coalesce(F.array_compact(F.array(*[F.when(low.contains(m), F.lit(m)) for m in MARKERS])), F.array().cast("array<string>"))
+
+
+def _holds(found: Column, wanted: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(found, F.array(*map(F.lit, wanted)))
+
+
+def page_gaps(html: str | Column, body_length: str | Column, found: str | Column | None = None) -> Column:
+    """What a page lacks, in a fixed order; a page that was not fetched (null) has that one gap. ``found``: its markers, where they are known."""
+    found = markers(html) if found is None else col(found)
+    lacking = {"no blog detected": ~_holds(found, BLOG), "no Google Analytics detected": ~_holds(found, TECHNOLOGIES["analytics"]["Google Analytics"]), "thin homepage content": col(body_length) < THIN, "no schema markup detected": ~_holds(found, SCHEMA)}
     gaps = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in lacking.items()]))
     return F.when(col(html).isNull(), F.array(F.lit(UNFETCHED))).otherwise(gaps)
 
@@ -81,44 +91,39 @@ def recommendations(gaps: str | Column) -> Column:
     return F.transform(col(gaps), advice)
 
 
-def tech_groups(html: str | Column) -> Column:
-    """struct of the groups of TECHNOLOGIES, each with the technologies a page shows markers of, in order; all empty for a null page."""
-    low = F.coalesce(F.lower(col(html)), F.lit(""))
-    return F.struct(*[F.array_compact(F.array(*[F.when(_any(low, markers), F.lit(name)) for name, markers in group.items()])).alias(g) for g, group in TECHNOLOGIES.items()])
+def tech_groups(found: str | Column) -> Column:
+    """struct of the groups of TECHNOLOGIES, each with the technologies of which a page's ``markers`` hold one, in order."""
+    return F.struct(*[F.array_compact(F.array(*[F.when(_holds(col(found), marks), F.lit(name)) for name, marks in group.items()])).alias(g) for g, group in TECHNOLOGIES.items()])
 
 
 def tech_stack(html: str | Column) -> Column:
-    """The technologies of all groups, in the order of TECHNOLOGIES."""
-    groups = tech_groups(html)
+    """The technologies of all groups, in the order of TECHNOLOGIES; none for a null page."""
+    groups = F.transform(F.array(markers(html)), tech_groups)[0]  # bound once, for all technologies
     return F.concat(*[groups[g] for g in TECHNOLOGIES])
 
 
 def page_maturity(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """The pages with body_length, gaps, tech, points of each kind, score, grade, breakdown and recommendations.
+    """The pages with markers, body_length, gaps, tech, points of each kind, score, grade, breakdown and recommendations.
 
     A page that was not fetched (null html) still earns the points for blog and schema, as only the gap
     of not being fetched is known of it; that is the rule.
     """
-    h, low = col(html), F.lower(col(html))
-    out = pages.withColumns({"body_length": F.coalesce(F.length(html_body(h)), F.lit(0)), "tech": tech_groups(h), "https": F.coalesce(~col(url).startswith("http") | col(url).startswith("https"), F.lit(False))})
-    out = out.withColumn("gaps", page_gaps(h, "body_length"))
+    h = col(html)
+    out = pages.withColumns({"markers": markers(h), "body_length": F.coalesce(F.length(html_body(h)), F.lit(0)), "https": F.coalesce(~col(url).startswith("http") | col(url).startswith("https"), F.lit(False))})
+    out = out.withColumns({"tech": tech_groups("markers"), "gaps": page_gaps(h, "body_length", "markers")})
     lacks = lambda gap: F.array_contains("gaps", gap)
-    size = F.col("body_length")
-    holds = {"blog": ~lacks("no blog detected"), "social": F.coalesce(_any(low, SOCIAL), F.lit(False)), "schema": ~lacks("no schema markup detected"), "https": F.col("https")}
+    size, found = F.col("body_length"), F.col("markers")
+    holds = {"blog": ~lacks("no blog detected"), "social": _holds(found, SOCIAL), "schema": ~lacks("no schema markup detected"), "https": F.col("https")}
     holds |= {g: F.size(F.col("tech")[g]) > 0 for g in ("analytics", "crm", "marketing", "framework")}
     points = {name: F.when(hit, POINTS[name]).otherwise(0) for name, hit in holds.items()}
     points["length"] = F.when(size > LENGTH_POINTS[0][0], LENGTH_POINTS[0][1]).when(size > LENGTH_POINTS[1][0], LENGTH_POINTS[1][1]).otherwise(0)
-    seen = {"has_blog": holds["blog"], "has_social": holds["social"], "has_analytics": holds["analytics"], "has_schema": holds["schema"], "has_cta": F.coalesce(_any(low, CALLS), F.lit(False)), "mobile": F.coalesce(low.contains("viewport"), F.lit(False))}
+    seen = {"has_blog": holds["blog"], "has_social": holds["social"], "has_analytics": holds["analytics"], "has_schema": holds["schema"], "has_cta": _holds(found, CALLS), "mobile": _holds(found, MOBILE)}
     quality = F.when(size > LENGTH_POINTS[0][0], "rich").when(size > LENGTH_POINTS[1][0], "moderate").otherwise("thin")
     out = out.withColumns({"points": F.struct(*[x.alias(name) for name, x in points.items()]), "breakdown": F.struct(*[x.alias(name) for name, x in seen.items()], quality.alias("content_quality"))})
     out = out.withColumn("score", sum(F.col("points")[name] for name in points))
     return out.withColumns({"grade": grade(F.col("score")), "recommendations": recommendations("gaps")})
 
 
-def _any(low: Column, markers) -> Column:
-    return reduce(Column.__or__, [low.contains(m) for m in markers])
-
-
 def grade(score: Column) -> Column:
     out = F.lit("F")
     for least, name in reversed(GRADES):
@@ -126,21 +131,6 @@ def grade(score: Column) -> Column:
     return out
 
 
-def contains_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """(key, group, term, ord) of the terms whose needle the text holds; the dictionary has MOST_TERMS rows at most, which is checked.
-
-    The dictionary becomes one expression over each text, so there is no join and no shuffle.
-    """
-    rows = terms.select("group", "term", "ord", F.lower("needle").alias("needle")).limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"a dictionary of more than {MOST_TERMS} terms")
-    empty = F.array().cast("array<struct<group:string,term:string,ord:int>>")
-    low = df.select(key, F.lower(col(text)).alias("_t"))
-    entry = lambda r: F.struct(F.lit(r["group"]).alias("group"), F.lit(r["term"]).alias("term"), F.lit(r["ord"]).cast("int").alias("ord"))
-    hits = F.array_compact(F.array(*[F.when(F.col("_t").contains(r["needle"]), entry(r)) for r in rows])) if rows else empty
-    return low.select(key, F.inline(hits))
-
-
 def validate_url(url: str | Column) -> Column:
     """struct(valid, error): http or https, a host, and none of the private or loopback ranges."""
     u = col(url)

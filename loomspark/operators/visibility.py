@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.semantics import bounded, percent, round2
+from ..functions.semantics import percent, round2, short
 from ..functions.text import competitors_in, find_mention
 
 #: Run states, and what a sentiment label counts.
@@ -21,8 +21,8 @@ def extract_mentions(answers: DataFrame, brand: str, competitors: list[str], tex
 
 
 def run_matrix(prompts: DataFrame, models: DataFrame) -> DataFrame:
-    """Every prompt with every model, still to be asked. The models are a short list, which is checked."""
-    return prompts.crossJoin(bounded(models)).withColumn("status", F.lit("pending"))
+    """Every prompt with every model, still to be asked. A short list of models, which is counted, goes to every task; a longer one stays distributed."""
+    return prompts.crossJoin(short(models)).withColumn("status", F.lit("pending"))
 
 
 def attach_run_id(answers: DataFrame, runs: DataFrame) -> DataFrame:
@@ -61,9 +61,16 @@ def brand_kpis(answers: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def kpis_by(answers: DataFrame, column: str, domain: DataFrame, brands: list[str]) -> DataFrame:
-    """KPIs for each value of a fixed domain, zeros where nothing was answered."""
-    grid = answers.select(*brands).distinct().crossJoin(bounded(domain))
-    out = grid.join(brand_kpis(answers, [*brands, column]), [*brands, column], "left")
+    """KPIs for each value of a fixed domain, zeros where nothing was answered.
+
+    The answers are read once: a grouping by brand and value, and of its rows those of the brands, give both
+    the KPIs and the brands that the domain is laid out for.
+    """
+    sets = answers.groupingSets([[F.col(b) for b in brands], [*[F.col(b) for b in brands], F.col(column)]], *[F.col(b) for b in brands], F.col(column))
+    rows = sets.agg((F.grouping(column) == 1).alias("_brand"), *_measures())
+    values = short(domain.select(F.col(column).alias("_value")))
+    laid = rows.where("_brand").drop("_brand", column).select(*brands).crossJoin(values).withColumnRenamed("_value", column)
+    out = laid.join(rows.where("not _brand").drop("_brand"), [*brands, column], "left")
     return out.fillna(0, ["total", "successful", "mentions"]).fillna(0.0, ["visibility_pct"])
 
 
@@ -75,14 +82,19 @@ def scorecard(answers: DataFrame, brand: str = "brand") -> DataFrame:
 
 
 def share_of_voice(answers: DataFrame, brand: str, competitors: list[str], keys: list[str]) -> DataFrame:
-    """Mentions of the brand and of each competitor in successful answers, and their share; listed names always appear."""
-    ok = answers.where(F.col("status") == SUCCESS)
-    said = F.concat(F.when(F.col("mentioned"), F.array(F.lit(brand))).otherwise(F.array().cast("array<string>")), F.col("competitors_mentioned"))
-    counts = ok.select(*keys, F.explode(said).alias("name")).groupBy(*keys, "name").agg(F.count("*").alias("mentions"))
-    names = F.explode(F.array(*[F.lit(n) for n in [brand, *competitors]]))
-    full = answers.select(*keys).distinct().withColumn("name", names).join(counts, [*keys, "name"], "left").fillna(0, ["mentions"])
-    total = full.groupBy(*keys).agg(F.sum("mentions").alias("_all"))
-    return full.join(total, keys).select(*keys, "name", "mentions", percent(F.col("mentions"), F.col("_all")).alias("share_pct"))
+    """Mentions of the brand and of each competitor in successful answers, and their share; listed names always appear.
+
+    One pass over the answers counts every listed name; the few counted rows are then turned into one row a name.
+    """
+    ok = F.col("status") == SUCCESS
+    names = list(dict.fromkeys([brand, *competitors]))
+    said = {n: F.array_contains("competitors_mentioned", n) for n in names}
+    hits = [F.count_if(ok & said[n]) + (F.count_if(ok & F.col("mentioned")) if n == brand else F.lit(0)) for n in names]
+    counts = answers.groupBy(*keys).agg(*[h.cast("long").alias(f"_{i}") for i, h in enumerate(hits)])
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_{i}").alias("mentions")) for i, n in enumerate(names)])
+    total = sum((F.col(f"_{i}") for i in range(len(names))), F.lit(0))
+    out = counts.select(*keys, total.alias("_all"), F.inline(rows))
+    return out.select(*keys, "name", "mentions", percent(F.col("mentions"), F.col("_all")).alias("share_pct"))
 
 
 def sentiment_stats(answers: DataFrame, label: str, keys: list[str]) -> DataFrame:
@@ -107,6 +119,7 @@ def score_to_tidy(scores: DataFrame, keys: list[str], maps: list[str], labels: d
 
     rows = scores.select(*keys, F.explode(F.flatten(F.array(*map(entries, maps)))).alias("e"))
     out = rows.select(*keys, "e.*").withColumns({"width": F.least(F.lit(100.0), F.col("value")), "place": F.row_number().over(Window.partitionBy(*keys, "dimension").orderBy(F.desc("value"), "label"))})
-    for old, new in (labels or {}).items():
-        out = out.withColumn("label", F.when(F.col("label") == old, new).otherwise(F.col("label")))
+    if labels:
+        names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+        out = out.withColumn("label", F.coalesce(names[F.col("label")], F.col("label")))
     return out

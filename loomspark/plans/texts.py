@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..functions import text as X
+from ..operators import dictionary
 from ..registry import query, table
 
 
@@ -54,10 +55,39 @@ def part_slugs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.slug("p_name").alias("slug"))
 
 
-@query(r"""SELECT doc_id, name FROM (SELECT doc_id, regexp_replace(text, '([^\p{L}\p{N}])', '\1\1', 'g') AS t FROM documents), (VALUES ('the'), ('Der'), ('and')) n(name) WHERE regexp_matches(t, '(?i)(^|[^\p{L}\p{N}])' || name || '($|[^\p{L}\p{N}])')""")
+#: Names: the first one to four words of every benchmark passage with what stands between them, part and supplier names, and some of symbols.
+NAMES_SQL = r"""names AS (SELECT DISTINCT regexp_replace(regexp_extract(text, '^[@WHITE]*((?:[^@WHITE]+[@WHITE]+){' || (item_id % 4) || '}[^@WHITE]+)', 1), '[@WHITE]+', ' ', 'g') AS name FROM benchmark
+  UNION SELECT p_name FROM part UNION SELECT s_name FROM supplier UNION VALUES ('.'), ('the'), ('THE'), ('. the'), (', and'), ('or'))"""
+WORD_SQL = r"""'(?i)(^|[^\p{L}\p{N}])' || replace(regexp_replace(name, '([^\p{L}\p{N} ])', '\\\1', 'g'), ' ', '[@WHITE]+') || '($|[^\p{L}\p{N}])'"""
+
+
+def known_names(spark, sf_dir):
+    words = F.concat(F.lit(r"(?U)^\s*((?:\S+\s+){"), (F.col("item_id") % 4).cast("string"), F.lit(r"}\S+)"))
+    first = F.regexp_replace(F.regexp_extract_all("text", words, F.lit(1))[0], r"(?U)\s+", "  ")
+    own = table(spark, sf_dir, "benchmark").select(first.alias("name")).union(table(spark, sf_dir, "part").select("p_name")).union(table(spark, sf_dir, "supplier").select("s_name"))
+    return own.union(spark.createDataFrame([(x,) for x in (".", "the", "THE", ". the", ", and", "or", " ", None)], "name string"))
+
+
+@query(rf"WITH {NAMES_SQL} SELECT doc_id, name FROM documents, (SELECT name, {WORD_SQL} AS pattern, list_reduce(string_split(lower(name), ' '), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS long_word FROM names) n WHERE CASE WHEN contains(lower(text), long_word) THEN regexp_matches(text, pattern) ELSE false END")
 def names_in_documents(spark, sf_dir):
-    names = spark.createDataFrame([("the",), ("Der",), ("and",), (" ",), (None,)], "name string")
-    return X.mentions_of(table(spark, sf_dir, "documents"), "doc_id", "text", names)
+    found = dictionary.mentions_of(table(spark, sf_dir, "documents"), "doc_id", "text", known_names(spark, sf_dir))
+    return found.select("doc_id", F.regexp_replace("name", "  ", " ").alias("name"))
+
+
+@query(rf"WITH {NAMES_SQL} SELECT conv_id, count(*) AS names FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1), (SELECT name, {WORD_SQL} AS pattern, list_reduce(string_split(lower(name), ' '), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS long_word FROM names) n WHERE CASE WHEN contains(lower(text), long_word) THEN regexp_matches(text, pattern) ELSE false END GROUP BY 1")
+def names_in_conversations(spark, sf_dir):
+    """As a large dictionary would be met: by each name's rarest word."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
+    texts = turns.select("conv_id", F.array_join(F.transform("turns", lambda t: t["text"]), "\n").alias("text"))
+    return dictionary.mentions_of(texts, "conv_id", "text", known_names(spark, sf_dir), most=0).groupBy("conv_id").agg(F.count("*").alias("names"))
+
+
+@query("SELECT DISTINCT page_id, \"group\", term FROM pages JOIN (SELECT DISTINCT l_shipmode AS \"group\", lower(w) AS term, w AS needle FROM (SELECT l_shipmode, unnest(string_split(l_comment, ' ')) AS w FROM (SELECT 'item' AS l_shipmode, text AS l_comment FROM benchmark))) ON contains(lower(html), lower(needle))")
+def words_in_pages(spark, sf_dir):
+    """All words of the benchmark passages, thousands, as parts of the pages."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ", -1)).alias("needle")).distinct()
+    terms = words.select(F.lit("item").alias("group"), F.lower("needle").alias("term"), "needle", F.lit(0).alias("ord"))
+    return dictionary.contains_terms(table(spark, sf_dir, "pages"), "page_id", "html", terms).select("page_id", "group", "term").distinct()
 
 
 @query("SELECT conv_id, turn, (k - 1)::INT AS ord, x[k] AS item FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(text, ', '), lambda s: regexp_replace(s, '^[@WHITE]+|[@WHITE]+$', '', 'g')), lambda s: s <> '') AS x FROM conversations), range(1, 1000) r(k) WHERE k <= len(x)")

@@ -293,7 +293,7 @@ def order_grid(spark, sf_dir):
     return g.select("o_custkey", "o_orderkey", F.col("row").alias("at_row"), F.col("column").alias("at_column"))
 
 
-@query("SELECT conv_id % 3 AS brand, 'by_role' AS dimension, role AS label, count(*)::DOUBLE AS value, least(100, count(*))::DOUBLE AS width FROM conversations GROUP BY 1, 3 UNION ALL SELECT conv_id % 3, 'by_turn', turn::VARCHAR, count(*)::DOUBLE, least(100, count(*))::DOUBLE FROM conversations GROUP BY 1, 3")
+@query("WITH r AS (SELECT conv_id % 3 AS brand, 'by_role' AS dimension, role AS label, count(*)::DOUBLE AS value FROM conversations GROUP BY 1, 3 UNION ALL SELECT conv_id % 3, 'by_turn', turn::VARCHAR, count(*)::DOUBLE FROM conversations GROUP BY 1, 3) SELECT brand, dimension, CASE WHEN label = 'user' THEN 'assistant' WHEN label = 'assistant' THEN 'reply' ELSE label END AS label, value, least(100, value) AS width, row_number() OVER (PARTITION BY brand, dimension ORDER BY value DESC, label) AS place FROM r")
 def tidy_scores(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("brand", F.col("conv_id") % 3)
 
@@ -301,7 +301,7 @@ def tidy_scores(spark, sf_dir):
         n = c.groupBy("brand", F.col(by).cast("string").alias("label")).count()
         return n.groupBy("brand").agg(F.map_from_entries(F.collect_list(F.struct("label", "count"))).alias(name))
 
-    return visibility.score_to_tidy(counts("role", "by_role").join(counts("turn", "by_turn"), "brand"), ["brand"], ["by_role", "by_turn"]).drop("place")
+    return visibility.score_to_tidy(counts("role", "by_role").join(counts("turn", "by_turn"), "brand"), ["brand"], ["by_role", "by_turn"], {"user": "assistant", "assistant": "reply"})
 
 
 # -- stored forms ----------------------------------------------------------------------------------

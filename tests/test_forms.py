@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import easing
 from loomspark.functions import text as X
-from loomspark.functions.semantics import bounded
+from loomspark.functions.semantics import short
 from loomspark.operators import catalog, cost, edits, forms, intel, layout, leads, schema, validate
 from loomspark.sources import documents
 
@@ -136,9 +136,7 @@ def test_client_pages_and_sessions(spark, tmp_path):
     assert {r["s"] for r in spark.read.json(str(tmp_path / "b")).collect()} == {f"s{i}" for i in range(5, 15)}
 
 
-def test_short_tables_are_checked(spark):
-    assert bounded(spark.range(5)).count() == 5
-    with pytest.raises(ValueError, match="more than 3"):
-        bounded(spark.range(5), 3)
-    with pytest.raises(ValueError, match="dictionary"):
-        intel.contains_terms(spark.createDataFrame([(1, "x")], "k int, t string"), "k", "t", spark.range(1_001).selectExpr("'g' AS group", "'t' AS term", "1 AS ord", "'n' AS needle"))
+def test_only_short_tables_are_broadcast(spark):
+    for most, hint in ((5, True), (3, False)):
+        table = short(spark.range(5), most)
+        assert table.count() == 5 and ("broadcast" in table._jdf.queryExecution().logical().toString().lower()) == hint

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import semantics as S
 from loomspark.functions import text as X
-from loomspark.operators import catalog, cost, dedup, flow, graph, intel, timeline, visibility
+from loomspark.operators import catalog, cost, dedup, dictionary, flow, graph, intel, timeline, visibility
 
 
 def one(spark, column, **values):
@@ -295,4 +295,4 @@ def test_resolved_inputs(spark):
 def test_names_from_a_table_are_found_as_whole_words(spark):
     docs = spark.createDataFrame([(1, "Müller AG und c++ (x)"), (2, "Mülleranlage"), (3, "a.b  c"), (4, None)], "doc_id long, text string")
     names = spark.createDataFrame([("müller",), ("C++",), ("a.b c",), ("",), (None,), ("AG und",)], "name string")
-    assert {tuple(r) for r in X.mentions_of(docs, "doc_id", "text", names).collect()} == {(1, "müller"), (1, "C++"), (1, "AG und"), (3, "a.b c")}
+    assert {tuple(r) for r in dictionary.mentions_of(docs, "doc_id", "text", names).collect()} == {(1, "müller"), (1, "C++"), (1, "AG und"), (3, "a.b c")}

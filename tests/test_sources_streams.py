@@ -82,4 +82,6 @@ def test_placement_and_tidy_rows(spark):
     assert [(r.row, r.column) for r in graph.grid(items, ["k"], ["i"]).orderBy("i").collect()] == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
     scores = spark.createDataFrame([(1, {"a": 120.0}, None), (2, {}, {"b": 3.0})], "id int, x map<string,double>, y map<string,double>")
     got = sorted(tuple(r) for r in visibility.score_to_tidy(scores, ["id"], ["x", "y"]).collect())
-    assert got == [(1, "x", "a", 120.0, 100.0), (2, "y", "b", 3.0, 3.0)]
+    assert got == [(1, "x", "a", 120.0, 100.0, 1), (2, "y", "b", 3.0, 3.0, 1)]
+    swapped = visibility.score_to_tidy(spark.createDataFrame([(1, {"a": 2.0, "b": 1.0})], "id int, x map<string,double>"), ["id"], ["x"], {"a": "b", "b": "c"})
+    assert {(r["label"], r["value"]) for r in swapped.collect()} == {("b", 2.0), ("c", 1.0)}
