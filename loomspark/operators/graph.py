@@ -58,7 +58,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     group; of larger ones, each round over the cluster resolves the nodes whose sources are resolved.
     """
     nodes, edges = nodes.select(W, "node_id").distinct(), edges.select(W, "source", "target").distinct()
-    size = nodes.select(W).union(edges.select(W)).groupBy(W).agg((F.count("*") <= SMALL).alias("small"))
+    size = sized(nodes, edges)
     nodes, edges = (settled(x.join(size, W)) for x in (nodes, edges))
     kind = nodes.schema
     out = f"{W} {kind[W].dataType.simpleString()}, node_id {kind['node_id'].dataType.simpleString()}, level int"
@@ -93,19 +93,85 @@ def topo_order(nodes: DataFrame, edges: DataFrame, subset: DataFrame) -> DataFra
     return found.select(W, "node_id", F.row_number().over(Window.partitionBy(W).orderBy(F.col("level").asc_nulls_last(), "node_id")).alias("place"))
 
 
+#: Hops of a closure that one job takes, in workflows too large for one task.
+HOPS = 4
+
+
+def sized(*tables: DataFrame) -> DataFrame:
+    """(workflow_id, small): whether a workflow's rows in all tables are SMALL at most."""
+    rows = tables[0].select(W)
+    for t in tables[1:]:
+        rows = rows.union(t.select(W))
+    return rows.groupBy(W).agg((F.count("*") <= SMALL).alias("small"))
+
+
+def _led_to(seeds: list, edges: list) -> list:
+    """The seeds and all that they lead to, in one workflow."""
+    after = defaultdict(list)
+    for source, target in edges:
+        after[source].append(target)
+    found, todo = dict.fromkeys(seeds), list(seeds)
+    while todo:
+        for target in after.get(todo.pop(), ()):
+            if target not in found:
+                found[target] = None
+                todo.append(target)
+    return list(found)
+
+
 def downstream(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The seeds and all that they lead to."""
-    edges = settled(edges.select(W, F.col("source").alias("node_id"), "target").distinct())
-    found = settled(seeds.select(W, "node_id").distinct())
+    """The seeds and all that they lead to. Workflows of SMALL rows at most are solved whole, one in a group; larger ones over the cluster, HOPS hops a job."""
+    edges, seeds = edges.select(W, F.col("source").alias("node_id"), "target").distinct(), seeds.select(W, "node_id").distinct()
+    size = settled(sized(edges, seeds))
+    edges, seeds = (settled(x.join(size, W)) for x in (edges, seeds))
+    kind = seeds.schema
+
+    def solve(s: pa.Table, e: pa.Table) -> pa.Table:
+        found = _led_to(s["node_id"].to_pylist(), list(zip(e["node_id"].to_pylist(), e["target"].to_pylist(), strict=True)))
+        key = s[W][0].as_py() if found else None
+        return pa.table({W: pa.array([key] * len(found), s.schema.field(W).type), "node_id": pa.array(found, s.schema.field("node_id").type)})
+
+    small = [x.where("small").drop("small").groupBy(W) for x in (seeds, edges)]
+    done = small[0].cogroup(small[1]).applyInArrow(solve, f"{W} {kind[W].dataType.simpleString()}, node_id {kind['node_id'].dataType.simpleString()}")
+    if size.where("not small").isEmpty():
+        return done
+    edges, found = (x.where("not small").drop("small") for x in (edges, seeds))
     front = found
     while True:
-        after = front.join(edges, [W, "node_id"]).select(W, F.col("target").alias("node_id")).distinct()
-        front = settled(after.join(found, [W, "node_id"], "left_anti"))
+        near = front
+        for _ in range(HOPS):
+            front = front.join(edges, [W, "node_id"]).select(W, F.col("target").alias("node_id")).distinct()
+            near = near.union(front)
+        front = settled(near.distinct().join(found, [W, "node_id"], "left_anti"))
         if front.isEmpty():
-            return found
+            return done.union(found)
         found = settled(found.union(front))
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(workflow_id, node_id, part): the least node of each node's connected component, whatever the edges' direction.
+
+    Each round hooks a component's label to the least label beside it and then lets every label point to what its
+    own label points to until nothing moves, so a chain takes a round and the logarithm of its length in jobs.
+    """
+    ends = edges.select(W, F.col("source").alias("a"), F.col("target").alias("b"))
+    links = settled(ends.union(ends.select(W, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settled(links.select(W, F.col("a").alias("node_id"), F.col("a").alias("part")).distinct())
+    while True:
+        of = lambda end: labels.select(W, F.col("node_id").alias(end), F.col("part").alias(f"of_{end}"))  # noqa: E731, B023
+        hooks = links.join(of("a"), [W, "a"]).join(of("b"), [W, "b"]).where("of_b < of_a").groupBy(W, F.col("of_a").alias("part")).agg(F.min("of_b").alias("to"))
+        hooks = settled(hooks)
+        if hooks.isEmpty():
+            return labels
+        while True:
+            further = hooks.select(W, F.col("part").alias("to"), F.col("to").alias("further"))
+            jumped = settled(hooks.join(further, [W, "to"], "left").select(W, "part", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+            hooks = jumped.select(W, "part", "to")
+            if jumped.where("moved").isEmpty():
+                break
+        labels = settled(labels.join(hooks, [W, "part"], "left").select(W, "node_id", F.coalesce("to", "part").alias("part")))
+
+
 def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges both of whose ends exist."""
     ids = nodes.select(W, "node_id").distinct()

@@ -114,10 +114,18 @@ def graph_skipped(spark, sf_dir):
     return flow.skipped_nodes(marked, edges, nodes.where("node_id % 10 = 0"))
 
 
-@query(FLOW_SQL + """, f AS (SELECT workflow_id, target, target_handle AS kind, value, [ord] AS o FROM e WHERE NOT closed AND from_type IN ('prompt', 'imageInput') AND value <> '' AND from_type = 'imageInput' AND target_handle = 'image'
-  UNION ALL SELECT workflow_id, target, 'text', value, [ord] FROM e WHERE from_type = 'prompt' AND value <> '' UNION ALL SELECT workflow_id, target, 'text', value, [ord] FROM e WHERE from_type = 'imageInput' AND value <> '' AND target_handle = 'text'
-), r AS (SELECT * FROM f UNION ALL SELECT e.workflow_id, e.target, r.kind, r.value, [e.ord] || r.o FROM r JOIN e ON e.workflow_id = r.workflow_id AND e.source = r.target WHERE NOT e.closed AND (e.from_type = 'router' AND e.source_handle = r.kind OR e.from_type = 'switch' AND e.input_type = r.kind))
-SELECT workflow_id, target AS node_id, array_to_string(coalesce(list(value ORDER BY o) FILTER (kind = 'image'), []), ',') AS images, arg_max(value, o) FILTER (kind = 'text') AS text FROM r GROUP BY 1, 2""")
+#: From each node, the ways through routers and switches; of the ways to one of them the least by edge order opens it. Values then come along these alone.
+INPUTS_SQL = FLOW_SQL + """, q AS (SELECT *, CASE WHEN from_type = 'router' THEN source_handle ELSE input_type END AS carried FROM e WHERE NOT closed AND from_type IN ('router', 'switch')),
+f AS (SELECT workflow_id, target, 'image' AS kind, value, ord FROM e WHERE NOT closed AND from_type = 'imageInput' AND value <> '' AND target_handle = 'image' UNION ALL SELECT workflow_id, target, 'text', value, ord FROM e WHERE NOT closed AND value <> '' AND (from_type = 'prompt' OR from_type = 'imageInput' AND target_handle = 'text')),
+w AS (SELECT workflow_id, target AS t, source AS r, target AS opener, [ord] AS o FROM q UNION ALL SELECT w.workflow_id, w.t, q.source, q.target, w.o || [q.ord] FROM w JOIN q ON q.workflow_id = w.workflow_id AND q.target = w.r),
+m AS (SELECT workflow_id, t, r, arg_min(opener, o) AS opener FROM w GROUP BY 1, 2, 3),
+y AS (SELECT q.workflow_id, q.target AS t, q.source AS r, q.carried AS kind, [q.ord] AS o FROM q JOIN m ON m.workflow_id = q.workflow_id AND m.t = q.target AND m.r = q.source AND m.opener = q.target
+  UNION ALL SELECT y.workflow_id, y.t, q.source, y.kind, y.o || [q.ord] FROM y JOIN q ON q.workflow_id = y.workflow_id AND q.target = y.r AND q.carried = y.kind JOIN m ON m.workflow_id = y.workflow_id AND m.t = y.t AND m.r = q.source AND m.opener = y.r),
+r AS (SELECT workflow_id, target, kind, value, [ord] AS o FROM f UNION ALL SELECT y.workflow_id, y.t, y.kind, f.value, y.o || [f.ord] FROM y JOIN f ON f.workflow_id = y.workflow_id AND f.target = y.r AND f.kind = y.kind)
+"""
+
+
+@query(INPUTS_SQL + "SELECT workflow_id, target AS node_id, array_to_string(coalesce(list(value ORDER BY o) FILTER (kind = 'image'), []), ',') AS images, arg_max(value, o) FILTER (kind = 'text') AS text FROM r GROUP BY 1, 2")
 def graph_inputs(spark, sf_dir):
     nodes, edges, closed = flow_graph(spark, sf_dir)
     return flow.resolve_inputs(nodes, edges, closed).select("workflow_id", "node_id", F.array_join("images", ",").alias("images"), "text")
