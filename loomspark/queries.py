@@ -360,10 +360,20 @@ def stream_sessions(spark, sf_dir):
     return jobs.drain(s, "sessions").select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
-@query("SELECT user_id, place, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC) AS place FROM (SELECT user_id, event_type, max(ts) AS t FROM events GROUP BY 1, 2)) WHERE place <= 8")
+RECENT_SQL = "SELECT user_id, place, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_type) AS place FROM (SELECT user_id, event_type, max(ts) AS t FROM events GROUP BY 1, 2)) WHERE place <= "
+
+
+@query(RECENT_SQL + "8")
 def stream_recent_types(spark, sf_dir):
-    r = jobs.drain(jobs.stream_recents(event_stream(spark, sf_dir), ["user_id"], "event_type", "ts"), "recents", "update", ["user_id", "event_type"])
-    return dedup.newest_n(r, ["user_id"], "event_type", ["ts"], 8).select("user_id", "place", "event_type")
+    r = jobs.stream_recents(event_stream(spark, sf_dir), ["user_id"], "event_type", "ts")
+    return jobs.drain(r, "recents", "update", ["user_id", "place"]).select("user_id", "place", "event_type")
+
+
+@query(RECENT_SQL + "2")
+def stream_newest_types(spark, sf_dir):
+    """With items that fall off the list."""
+    r = jobs.stream_recents(event_stream(spark, sf_dir), ["user_id"], "event_type", "ts", 2)
+    return jobs.drain(r, "recents", "update", ["user_id", "place"]).select("user_id", "place", "event_type")
 
 
 @query("SELECT user_id, round(coalesce(sum(value) FILTER (r IS NULL OR ts > r OR ts = r AND event_id > i), 0), 2) AS total FROM events LEFT JOIN (SELECT user_id, max(ts) AS r, arg_max(event_id, ts) AS i FROM events WHERE event_type = 'error' GROUP BY 1) USING (user_id) GROUP BY 1")
@@ -376,3 +386,17 @@ def stream_cost_since_reset(spark, sf_dir):
 def stream_task_status(spark, sf_dir):
     e = event_stream(spark, sf_dir).withColumn("status", F.when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type")))
     return jobs.drain(jobs.latest_status(e, "user_id", "status", "ts"), "status", "update", ["user_id"])
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1 HAVING max(ts) >= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR - INTERVAL 8 HOUR")
+def stream_fresh_events(spark, sf_dir):
+    """Users' newest events, eight hours long at most by a clock one hour behind the newest event."""
+    e = event_stream(spark, sf_dir).withColumn("event", F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    fresh = jobs.drain(jobs.stream_fresh_values(e.select("user_id", "event", "ts"), ["user_id"], "event", "ts", "8 hours", "1 hour"), "fresh", "update", ["user_id"])
+    return fresh.where("not expired").select("user_id", F.col("event").cast("long").alias("event_id"))
+
+
+@query("WITH h AS (SELECT event_id, list_filter(['large', 'errors', 'first'], lambda r: CASE r WHEN 'large' THEN abs(value) > 300 WHEN 'errors' THEN event_type = 'error' ELSE contains(props, '1') END) AS o FROM events) SELECT event_id, unnest(CASE WHEN len(o) = 0 THEN ['default'] ELSE o END) AS output FROM h")
+def stream_routed_events(spark, sf_dir):
+    rules = {"large": F.abs("value") > 300, "errors": F.col("event_type") == "error", "first": F.col("props").contains("1")}
+    return jobs.route_to(event_stream(spark, sf_dir), rules, graph.shared_folder(spark, "routed")).select("event_id", "output")

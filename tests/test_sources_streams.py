@@ -57,12 +57,52 @@ def test_running_cost_over_batches(spark, tmp_path):
     assert {r.k: r.total for r in got.collect()} == {"a": 3.0, "b": 5.0}
 
 
+def again(spark, tmp_path, batch, new):
+    """More rows, as the stream's next batch."""
+    spark.createDataFrame(new, ROWS).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/b={batch}"))
+
+
+def test_running_cost_goes_on(spark, tmp_path):
+    s = streamed(spark, tmp_path, [rows((1, "a", 0, 5, ""), (2, "b", 0, 1, "")), rows((3, "a", 1, 7, ""), (4, "c", 2, None or 0, ""))]).withColumn("reset", F.col("status") == "reset")
+    run = lambda: {r.k: r.total for r in J.stream_running_cost(s, "k", ["ts", "id"], "amount", "reset", folder=str(tmp_path / "kept")).collect()}
+    assert run() == {"a": 12.0, "b": 1.0, "c": 0.0}
+    assert run() == {"a": 12.0, "b": 1.0, "c": 0.0}  # nothing new has come
+    again(spark, tmp_path, 9, rows((5, "b", 9, 3, ""), (6, "a", 9, 1, "reset"), (7, "a", 10, 2, "")))
+    assert run() == {"a": 2.0, "b": 4.0, "c": 0.0}
+
+
 def test_status_recents_and_dedup_over_batches(spark, tmp_path):
     s = streamed(spark, tmp_path, [rows((1, "a", 0, 1, "running"), (2, "b", 0, 1, "running")), rows((3, "a", 1, 1, "failed"), (4, "b", 1, 1, "queued")), rows((5, "a", 2, 1, "running"))])
-    assert {r.k: r.status for r in J.drain(J.latest_status(s, "k", "status", "ts"), "t", "update", ["k"]).collect()} == {"a": "failed", "b": "queued"}
-    recent = J.drain(J.stream_recents(s, ["k"], "status", "ts"), "t", "update", ["k", "status"])
-    assert {(r.k, r.status): r.ts.hour for r in recent.collect()} == {("a", "running"): 2, ("a", "failed"): 1, ("b", "running"): 0, ("b", "queued"): 1}
+    status = lambda folder=None: {r.k: r.status for r in J.drain(J.latest_status(s, "k", "status", "ts"), "t", "update", ["k"], folder=folder).collect()}
+    recent = lambda n, folder=None: {(r.k, r.place): (r.status, r.ts.hour) for r in J.drain(J.stream_recents(s, ["k"], "status", "ts", n), "t", "update", ["k", "place"], folder=folder).collect()}
+    assert status(str(tmp_path / "s")) == {"a": "failed", "b": "queued"}
+    assert recent(8, str(tmp_path / "r")) == {("a", 1): ("running", 2), ("a", 2): ("failed", 1), ("b", 1): ("queued", 1), ("b", 2): ("running", 0)}
+    assert recent(1) == {("a", 1): ("running", 2), ("b", 1): ("queued", 1)}
     assert J.drain(J.stream_dedup(s, F.col("status"), "ts", "10 days"), "t").count() == 3
+    again(spark, tmp_path, 9, rows((6, "a", 3, 1, "failed"), (7, "b", 4, 1, "succeeded"), (8, "c", 4, 1, "expired")))
+    assert status(str(tmp_path / "s")) == {"a": "failed", "b": "succeeded", "c": "expired"}
+    assert recent(8, str(tmp_path / "r"))["a", 1] == ("failed", 3) and recent(8, str(tmp_path / "r"))["a", 2] == ("running", 2)
+    batch = J.latest_status(spark.read.schema(ROWS).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")), "k", "status", "ts")
+    assert {r.k: r.status for r in batch.collect()} == status(str(tmp_path / "s"))
+
+
+def test_values_expire_by_the_streams_clock(spark, tmp_path):
+    s = streamed(spark, tmp_path, [rows((1, "a", 0, 1, "x"), (2, "b", 0, 1, "y")), rows((3, "a", 5, 1, "z")), rows((4, "c", 9, 1, "w")), rows((5, "d", 12, 1, "v"))])
+    run = lambda: {r.k: (r.status, r.expired) for r in J.drain(J.stream_fresh_values(s, ["k"], "status", "ts", "5 hours", "1 hour"), "t", "update", ["k"], folder=str(tmp_path / "f")).collect()}
+    assert run() == {"a": (None, True), "b": (None, True), "c": ("w", False), "d": ("v", False)}
+    again(spark, tmp_path, 9, rows((6, "b", 13, 1, "back")))
+    assert run() == {"a": (None, True), "b": ("back", False), "c": ("w", False), "d": ("v", False)}
+
+
+def test_routes_replace_a_batch_that_runs_again(spark, tmp_path):
+    s = streamed(spark, tmp_path, [rows((1, "a", 0, 1, "x"), (2, "b", 0, 7, None)), rows((3, "a", 1, 9, "x"), (4, "a", 1, 0, "q"))])
+    run = lambda: sorted((r.id, r.output) for r in J.route_to(s, {"x": F.col("status") == "x", "big": F.col("amount") > 5}, str(tmp_path / "f")).collect())
+    want = [(1, "x"), (2, "big"), (3, "big"), (3, "x"), (4, "default")]
+    assert run() == want == run()
+    last = max((tmp_path / "f/state/commits").glob("[0-9]*"), key=lambda p: int(p.name))  # as if the last batch was lost before it was marked as done
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert run() == want
 
 
 def test_route(spark, tmp_path):
