@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timeline import PART, carried, in_parts
+
 
 #: Prices of an image by model and resolution; the first model has one price.
 PRICES = {
@@ -77,11 +79,21 @@ def any_other_provider(nodes: DataFrame, key: str, provider: str, known: list[st
     return nodes.groupBy(key).agg(F.bool_or(F.coalesce(~F.col(provider).isin(*known), F.lit(False))).alias("any_other"))
 
 
-def running_cost(charges: DataFrame, key: str, ord_: list[str], amount: str, reset: str | None = None) -> DataFrame:
-    """Cost so far within each key; a reset row starts again from nothing."""
-    w = Window.partitionBy(key).orderBy(*ord_).rowsBetween(Window.unboundedPreceding, 0)
-    if reset is None:
-        return charges.withColumn("incurred", F.sum(amount).over(w))
-    marked = charges.withColumn("_epoch", F.sum(F.col(reset).cast("int")).over(w))
-    inner = Window.partitionBy(key, "_epoch").orderBy(*ord_).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("incurred", F.sum(F.when(F.col(reset), 0.0).otherwise(F.col(amount))).over(inner)).drop("_epoch")
+def running_cost(charges: DataFrame, key: str, ord_: list[str], amount: str, reset: str | None = None, long: bool = False) -> DataFrame:
+    """Cost so far within each key; a reset row starts again from nothing.
+
+    ``long``: for few keys with many rows, which are summed in parts (``timeline.in_parts``); a part adds what those
+    since the last reset before it come to, until its own first reset.
+    """
+    rows, groups = (in_parts(charges, [key], ord_), [key, PART]) if long else (charges, [key])
+    w = Window.partitionBy(*groups).orderBy(*ord_).rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.withColumns({"_reset": F.coalesce(F.col(reset), F.lit(False)) if reset else F.lit(False)})
+    marked = marked.withColumn("_epoch", F.sum(F.col("_reset").cast("int")).over(w))
+    inner = Window.partitionBy(*groups, "_epoch").orderBy(*ord_).rowsBetween(Window.unboundedPreceding, 0)
+    done = marked.withColumn("incurred", F.sum(F.when(F.col("_reset"), 0.0).otherwise(F.col(amount))).over(inner))
+    if long:
+        facts = {"_resets": F.max("_epoch"), "_tail": F.max_by(F.coalesce("incurred", F.lit(0.0)), F.struct(*ord_))}
+        since = lambda w: F.aggregate(F.collect_list(F.struct("_resets", "_tail")).over(w), F.lit(0.0), lambda a, x: F.when(x["_resets"] > 0, x["_tail"]).otherwise(a + x["_tail"]))
+        done = carried(done, [key], facts, {"_since": since})
+        done = done.withColumn("incurred", F.when((F.col("_epoch") == 0) & (F.coalesce("_since", F.lit(0.0)) != 0), F.coalesce("incurred", F.lit(0.0)) + F.col("_since")).otherwise(F.col("incurred"))).drop("_since", PART)
+    return done.drop("_reset", "_epoch")

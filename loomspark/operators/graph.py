@@ -189,6 +189,11 @@ def split_edges(edges: DataFrame, selected: DataFrame) -> DataFrame:
     return out.withColumn("side", side).where("side is not null").drop("_source", "_target")
 
 
+def overlap(nodes: DataFrame, selected: DataFrame) -> DataFrame:
+    """The nodes that a selection names, each once, however often it names them; names without a node are ignored."""
+    return nodes.join(selected.select(W, "node_id"), [W, "node_id"], "left_semi")
+
+
 def type_counts(nodes: DataFrame, selected: DataFrame) -> DataFrame:
     """Nodes outside a selection, by type."""
     return nodes.join(selected.select(W, "node_id"), [W, "node_id"], "left_anti").groupBy(W, "type").agg(F.count("*").alias("n"))

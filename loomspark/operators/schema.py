@@ -76,10 +76,16 @@ def coerce_param(value: str | Column, kind: str | Column) -> Column:
     return F.when(v.isNull(), None).when((kind == "integer") & whole_text.isNotNull(), whole_text).when((kind == "number") & number.isNotNull(), number_text).when(kind == "boolean", F.when(v == "true", "true").otherwise("false")).otherwise(text)
 
 
+#: Most links of a chain of references; a ring of them ends there.
+LINKS = 16
+
+
 def _referred(part: Column, schema: Column, field: str) -> Column:
-    """A field of the schema that a $ref names."""
-    name = F.regexp_extract(_json(part, "$['$ref']"), r"^#/components/schemas/(.+)$", 1)
-    return F.when(name != "", _json(schema, F.concat(F.lit("$.components.schemas['"), name, F.lit(f"'].{field}"))))
+    """A field of the schema that a $ref names, through further ones."""
+    name = lambda p: F.nullif(F.regexp_extract(F.coalesce(_json(p, "$['$ref']"), F.lit("")), r"^#/components/schemas/(.+)$", 1), F.lit(""))
+    named = lambda n: _json(schema, F.concat(F.lit("$.components.schemas['"), n, F.lit("']")))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(LINKS)), part, lambda p, _: F.when(name(p).isNotNull(), named(name(p))).otherwise(p))
+    return F.when(name(part).isNotNull(), _json(end, f"$.{field}"))
 
 
 def resolved(prop: Column, schema: Column, field: str = "type") -> Column:
@@ -119,7 +125,7 @@ def schema_fields(schemas: DataFrame, key: str, schema: str = "schema") -> DataF
     out = rows.select(
         key, "pos", "name", fed.alias("input"), F.when(kind.isin("integer", "number", "boolean", "array"), kind).otherwise("string").alias("type"), F.coalesce(kind == "array", F.lit(False)).alias("is_array"),
         F.coalesce(F.array_contains("_required", n), F.lit(False)).alias("required"), label.alias("label"), F.coalesce(F.nullif(_json(p, "$.description"), F.lit("")), resolved(p, F.col("_s"), "description")).alias("description"),
-        F.coalesce(_json(p, "$.default"), resolved(p, F.col("_s"), "default")).alias("default"), F.try_to_number(_json(p, "$.minimum"), F.lit("S999999999.999999")).cast("double").alias("minimum"), F.try_to_number(_json(p, "$.maximum"), F.lit("S999999999.999999")).cast("double").alias("maximum"), of_enum.alias("enum"),
+        F.coalesce(_json(p, "$.default"), resolved(p, F.col("_s"), "default")).alias("default"), _json(p, "$.minimum").try_cast("double").alias("minimum"), _json(p, "$.maximum").try_cast("double").alias("maximum"), of_enum.alias("enum"),
     )
     return out.where(F.col("input").isNotNull() | ~F.col("name").isin(*HIDDEN))
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +102,46 @@ def share_of_voice(answers: DataFrame, brand: str, competitors: list[str], keys:
     return out.select(*keys, "name", "mentions", percent(F.col("mentions"), F.col("_all")).alias("share_pct"))
 
 
+def _judgement(raw: str | None) -> tuple[str, str | None]:
+    """(sentiment, rationale) of a judge's answer: JSON, perhaps fenced; anything else is neutral."""
+    try:
+        said = json.loads(re.sub(r"^```(?:json)?\s*|\s*```$", "", raw.strip()).strip())
+        label = str(said.get("sentiment") or "neutral").lower()
+        return (label, said.get("rationale")) if label in SENTIMENT else ("neutral", None)
+    except (AttributeError, TypeError, ValueError):
+        return "neutral", "parse error" if raw else "no judge response"
+
+
+def judge_sentiment(answers: DataFrame, snippet: str, judge: Callable[[list[str]], list[str | None]], size: int = 64) -> DataFrame:
+    """The answers with ``sentiment`` and ``rationale`` of their snippets; both null where there is no snippet.
+
+    ``judge`` runs in the tasks: it takes up to ``size`` snippets and gives as many texts, JSON with sentiment and
+    rationale. A batch that fails, or gives too few, is asked again one by one; a snippet without a usable answer is neutral.
+    """
+
+    def asked(texts: list[str]) -> list[str | None]:
+        try:
+            said = judge(texts)
+            if len(said) == len(texts):
+                return list(said)
+        except Exception:  # a judge may fail in any way; what matters is which snippets it fails on
+            if len(texts) == 1:
+                return [None]
+        return [None] if len(texts) == 1 else [x for t in texts for x in asked([t])]
+
+    @F.pandas_udf("sentiment string, rationale string")
+    def verdicts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            some, out = part[part.notna()], pd.DataFrame({"sentiment": None, "rationale": None}, index=part.index, dtype=object)
+            for i in range(0, len(some), size):
+                texts = some.iloc[i : i + size]
+                out.loc[texts.index] = [_judgement(x) for x in asked(texts.tolist())]
+            yield out
+
+    judged = answers.withColumn("_verdict", verdicts(snippet))
+    return judged.withColumns({c: F.when(F.col(snippet).isNotNull(), F.col(f"_verdict.{c}")) for c in ("sentiment", "rationale")}).drop("_verdict")
+
+
 def sentiment_stats(answers: DataFrame, label: str, keys: list[str]) -> DataFrame:
     value = F.element_at(F.create_map(*[F.lit(x) for p in SENTIMENT.items() for x in p]), F.col(label))
     return answers.where(F.col(label).isin(*SENTIMENT)).groupBy(*keys).agg(round2(F.avg(value)).alias("sentiment_avg"), *[F.count_if(F.col(label) == k).alias(k) for k in SENTIMENT])

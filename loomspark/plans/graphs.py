@@ -213,3 +213,10 @@ def template_overlay(spark, sf_dir):
     nodes = derived_graph(spark, sf_dir)[0].select("workflow_id", "node_id", F.col("workflow_id").alias("template"), F.lit("full").alias("level"), F.lit("old").alias("prompt"), F.lit(None).cast("string").alias("image"))
     content = nodes.where("node_id % 3 = 0").select("template", "level", "node_id", F.concat(F.lit("new "), "node_id").alias("prompt"), F.when(F.col("node_id") % 6 == 0, "img").alias("image"))
     return edits.overlay(nodes, content).select("workflow_id", "node_id", "prompt", "image")
+
+
+@query(GRAPH_SQL + " SELECT p.workflow_id, p.node_id, p.type FROM p WHERE EXISTS (SELECT 1 FROM e WHERE e.workflow_id = p.workflow_id AND e.target = p.node_id AND e.source % 3 = 1)")
+def graph_overlap(spark, sf_dir):
+    """The nodes that edges from every third node lead to."""
+    nodes, edges = derived_graph(spark, sf_dir)
+    return graph.overlap(nodes, edges.where("source % 3 = 1").select("workflow_id", F.col("target").alias("node_id")))

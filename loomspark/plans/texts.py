@@ -24,11 +24,10 @@ def prompt_lines(spark, sf_dir):
     return c.select("conv_id", "turn", F.size("x").cast("long").alias("n"), F.array_join("x", "\x1f").alias("lines"))
 
 
-@query("SELECT doc_id, 2 AS n, text AS first, source AS last FROM documents WHERE NOT contains(text, '<')")
+@query("""SELECT doc_id, len(v)::INT AS n, v[1] AS first, v[2] AS last FROM (SELECT doc_id, regexp_extract_all('a <var="one">' || text || '</var> b <var="two">' || source || '</var>', '(?s)<var="([^"]+)">(.*?)</var>', 2) AS v FROM documents)""")
 def variable_tags(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.col("text").contains("<"))
     v = X.var_tags(F.concat(F.lit('a <var="one">'), "text", F.lit('</var> b <var="two">'), "source", F.lit("</var>")))
-    return d.select("doc_id", F.size(v).alias("n"), F.try_element_at(v, F.lit(1))["value"].alias("first"), F.try_element_at(v, F.lit(2))["value"].alias("last"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(v).alias("n"), F.try_element_at(v, F.lit(1))["value"].alias("first"), F.try_element_at(v, F.lit(2))["value"].alias("last"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE (props::JSON ->> '$.k')::BIGINT END AS k FROM events")

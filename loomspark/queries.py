@@ -9,7 +9,7 @@ from .functions import easing
 from .functions import semantics as S
 from .functions import text as X
 from .operators import catalog, cost, dedup, graph, timeline, visibility
-from .plans import catalogs, forms, graphs, leads, media, texts  # noqa: F401  (they register their queries)
+from .plans import catalogs, forms, graphs, leads, media, stored, texts  # noqa: F401  (they register their queries)
 from .registry import oracle_sql, queries, query, table  # noqa: F401
 from .sources import documents
 from .streaming import jobs
@@ -259,6 +259,27 @@ def resample_daily(spark, sf_dir):
     return timeline.resample_asof(e, targets, ["user_id"], "t", "value", "event_id").select("user_id", F.col("t").alias("at"), "value")
 
 
+@query("WITH s AS (SELECT 0 AS series, epoch(ts)::DOUBLE AS t, value, event_id FROM events), g AS (SELECT DISTINCT (floor(t / 600) * 600)::DOUBLE AS at FROM s) SELECT g.at, s.value FROM g ASOF JOIN (SELECT t, arg_max(value, event_id) AS value FROM s GROUP BY t) s ON s.t <= g.at")
+def resample_all_events(spark, sf_dir):
+    """All events as one series, scanned in parts."""
+    e = table(spark, sf_dir, "events").select(F.lit(0).alias("series"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "value", "event_id")
+    targets = e.select("series", (F.floor(F.col("t") / 600) * 600.0).alias("t")).distinct()
+    return timeline.resample_asof(e, targets, ["series"], "t", "value", "event_id", long=True).select(F.col("t").alias("at"), "value")
+
+
+@query("SELECT b AS bucket, max(abs(value)) AS peak FROM (SELECT value, (row_number() OVER (ORDER BY ts, event_id) - 1) // greatest(1, count(*) OVER () // 256) AS b FROM events) WHERE b < 256 GROUP BY 1")
+def peaks_of_all_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("series", F.lit(0))
+    return timeline.peaks(e, ["series"], ["ts", "event_id"], "value", long=True).select("bucket", "peak")
+
+
+@query("WITH e AS (SELECT *, sum((o_orderkey % 97 = 0)::INT) OVER (ORDER BY o_orderdate, o_orderkey) AS epoch FROM orders) SELECT o_orderkey, round(sum(CASE WHEN o_orderkey % 97 = 0 THEN 0 ELSE o_totalprice END) OVER (PARTITION BY epoch ORDER BY o_orderdate, o_orderkey), 2) AS incurred FROM e")
+def running_cost_of_all(spark, sf_dir):
+    """All orders as one account."""
+    o = table(spark, sf_dir, "orders").withColumns({"reset": F.col("o_orderkey") % 97 == 0, "account": F.lit(0)})
+    return cost.running_cost(o, "account", ["o_orderdate", "o_orderkey"], "o_totalprice", "reset", long=True).select("o_orderkey", F.round("incurred", 2).alias("incurred"))
+
+
 @query("SELECT user_id, b AS bucket, max(abs(value)) AS peak FROM (SELECT user_id, value, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // greatest(1, count(*) OVER (PARTITION BY user_id) // 16) AS b FROM events) WHERE b < 16 GROUP BY 1, 2")
 def value_peaks(spark, sf_dir):
     return timeline.peaks(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 16)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import col, or_else
+from .heads import read_heads
 
 DOCUMENT = """version double, name string,
   nodes array<struct<id: string, type: string, position: struct<x: double, y: double>, data: string>>,
@@ -38,18 +39,13 @@ def read_workflows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 def list_documents(spark: SparkSession, root: str, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(name, directory, modified) of one document for each folder, newest first.
 
-    The first JSON file of a folder whose head names a version and nodes counts. Hidden and vendor
-    folders, and those deeper than ``max_depth``, are left out.
+    The first JSON file of a folder whose head names a version and nodes counts; HEAD_BYTES of each are
+    read. Hidden and vendor folders, and those deeper than ``max_depth``, are left out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root)
-    files = files.select("path", F.col("modificationTime").alias("modified"), F.substring("content", 1, HEAD_BYTES).cast("string").alias("head"))
-    place = root.split(":", 1)[-1].strip("/")
-    below = F.regexp_extract("path", rf"^(?:[a-z]+:)?/*\Q{place}\E/?(.*)$", 1)
-    folders = F.filter(F.split(below, "/"), lambda x: x != "")
-    files = files.withColumns({"_up": F.slice(folders, 1, F.size(folders) - 1), "directory": F.regexp_replace("path", "/[^/]*$", "")})
-    skipped = F.exists("_up", lambda d: d.startswith(".") | d.isin(*SKIPPED))
-    files = files.where((F.size("_up") <= max_depth) & ~skipped & F.col("head").contains('"version"') & F.col("head").contains('"nodes"'))
-    first = files.withColumn("_n", F.row_number().over(Window.partitionBy("directory").orderBy("path"))).where("_n = 1")
+    files = read_heads(spark, root, suffix=".json", depth=max_depth, skipped=",".join(SKIPPED), bytes=HEAD_BYTES)
+    files = files.select("path", "modified", F.make_valid_utf8(F.col("head").cast("string")).alias("head"), F.regexp_replace("path", "/[^/]*$", "").alias("directory"))
+    files = files.where(F.col("head").contains('"version"') & F.col("head").contains('"nodes"'))
+    first = files.groupBy("directory").agg(F.min_by(F.struct("head", "modified"), "path").alias("f")).select("directory", "f.*")
     name = or_else(F.regexp_extract("head", r'"name"\s*:\s*"([^"]*)"', 1), F.regexp_extract("directory", "([^/]*)$", 1))
     return first.select(name.alias("name"), "directory", "modified").orderBy(F.desc("modified"))
 
