@@ -35,31 +35,109 @@ def closed_outputs(switches: DataFrame, rules: DataFrame) -> DataFrame:
     return off.union(unmatched).union(default).distinct()
 
 
+def _rings(nodes: list, after: dict) -> list[list]:
+    """The strongly connected components of a graph, sources first (Tarjan, without recursion)."""
+    number, low, on, path, out = {}, {}, set(), [], []
+    for start in nodes:
+        work = [(start, iter(after.get(start, ())))] if start not in number else []
+        if work:
+            number[start] = low[start] = len(number)
+            path.append(start)
+            on.add(start)
+        while work:
+            node, rest = work[-1]
+            for to in rest:
+                if to not in number:
+                    number[to] = low[to] = len(number)
+                    path.append(to)
+                    on.add(to)
+                    work.append((to, iter(after.get(to, ()))))
+                    break
+                if to in on:
+                    low[node] = min(low[node], number[to])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    ring = [path.pop()]
+                    while ring[-1] != node:
+                        ring.append(path.pop())
+                    on.difference_update(ring)
+                    out.append(ring)
+    return out[::-1]
+
+
+def _blocked(edges: list[tuple]) -> list:
+    """The blocked nodes of one workflow, from (source, target, target handle, closed)."""
+    into, after = {}, {}
+    for source, target, handle, closed in edges:
+        into.setdefault(target, []).append((source, handle, closed))
+        after.setdefault(source, []).append(target)
+    found = dict.fromkeys(t for _, t, _, closed in edges if closed)
+    todo = list(found)
+    while todo:
+        for to in after.get(todo.pop(), ()):
+            if to not in found:
+                found[to] = None
+                todo.append(to)
+    done: set = set()
+
+    def dead(node) -> bool:
+        own = [(h, closed or source in done) for source, h, closed in into[node] if h is not None]
+        shut = {h for h, off in own if off}
+        return bool(shut) and not any(h in shut for h, off in own if not off)
+
+    for ring in _rings(list(found), {n: [t for t in after.get(n, ()) if t in found] for n in found}):
+        while new := {n for n in ring if n not in done and dead(n)}:
+            done |= new
+            if len(ring) == 1:
+                break
+    return sorted(done, key=str)
+
+
 def blocked_nodes(edges: DataFrame, closed: DataFrame) -> DataFrame:
     """(workflow_id, node_id) behind closed outputs, unless a live input gives a type that is blocked.
 
-    Nodes are looked at in the order of their levels among those that can be blocked. A node is blocked
-    if some handle gets something from a closed output or a blocked node, and none of these handles gets
-    anything live. Nodes on a cycle come last, together, judged by what is blocked before them. Edges
-    without a target handle neither block nor rescue.
+    Nodes are judged after all that leads to them. A node is blocked if some handle gets something from a closed
+    output or a blocked node, and none of these handles gets anything live. The nodes of a cycle are
+    judged together, by what is blocked before them, and again until no more of them is; what lies behind a
+    cycle comes after it. Edges without a target handle neither block nor rescue.
+
+    Workflows of SMALL edges at most are solved whole, one in a group. Larger ones are solved over the cluster by levels,
+    and the nodes on or behind their cycles together at the end, in rounds.
     """
     marked = edges.join(closed.withColumn("closed", F.lit(True)), [W, "source", "source_handle"], "left").select(W, "source", "target", "target_handle", F.coalesce("closed", F.lit(False)).alias("closed"))
     marked = settled(marked)
-    seeds = marked.where("closed").select(W, F.col("target").alias("node_id"))
-    maybe = downstream(marked, seeds)
+    marked = settled(marked.join(sized(marked), W))
+    kinds = dict(marked.dtypes)
+
+    def solve(rows: pa.Table) -> pa.Table:
+        found = _blocked(list(zip(*(rows[c].to_pylist() for c in ("source", "target", "target_handle", "closed")), strict=True)))
+        return pa.table({W: pa.array([rows[W][0].as_py()] * len(found), rows.schema.field(W).type), "node_id": pa.array(found, rows.schema.field("target").type)})
+
+    small = marked.where("small").drop("small").groupBy(W).applyInArrow(solve, f"{W} {kinds[W]}, node_id {kinds['target']}")
+    marked = marked.where("not small").drop("small")
+    return small if marked.isEmpty() else small.union(_blocked_by_levels(marked))
+
+
+def _blocked_by_levels(marked: DataFrame) -> DataFrame:
+    maybe = downstream(marked, marked.where("closed").select(W, F.col("target").alias("node_id")))
     inner = marked.join(maybe.withColumnRenamed("node_id", "source"), [W, "source"], "left_semi").join(maybe.withColumnRenamed("node_id", "target"), [W, "target"], "left_semi")
     placed = settled(maybe.join(levels(maybe, inner), [W, "node_id"], "left"))
     into = settled(marked.where("target_handle is not null").join(placed.select(W, F.col("node_id").alias("target"), F.coalesce("level", F.lit(-1)).alias("level")), [W, "target"]))
-    last = placed.agg(F.max("level").alias("level"), F.bool_or(F.col("level").isNull()).alias("cycles")).first()
-    turns = [*range(0 if last["level"] is None else last["level"] + 1), *([-1] if last["cycles"] else [])]
-    done = placed.select(W, "node_id").where("false")
-    for level in turns:
-        rows = into.where(F.col("level") == level).join(done.select(W, F.col("node_id").alias("source"), F.lit(True).alias("blocked")), [W, "source"], "left")
+    last = placed.agg(F.max("level").alias("level")).first()["level"]
+    done, level = placed.select(W, "node_id").where("false"), 0
+    while True:
+        cyclic = level > (-1 if last is None else last)
+        rows = into.where(F.col("level") == (-1 if cyclic else level)).join(done.select(W, F.col("node_id").alias("source"), F.lit(True).alias("blocked")), [W, "source"], "left")
         dead = F.col("closed") | F.coalesce("blocked", F.lit(False))
         by = rows.groupBy(W, F.col("target").alias("node_id"), "target_handle").agg(F.bool_or(dead).alias("dead"), F.bool_or(~dead).alias("live"))
         new = by.groupBy(W, "node_id").agg(F.bool_or("dead").alias("dead"), F.bool_or(F.col("dead") & F.col("live")).alias("rescued")).where("dead and not rescued").select(W, "node_id")
-        done = settled(done.union(new))
-    return done
+        new = settled(new.join(done, [W, "node_id"], "left_anti"))
+        if cyclic and new.isEmpty():
+            return done
+        done, level = settled(done.union(new)), level + 1
 
 
 def is_skippable(kind: str | Column, optional: str | Column, value: str | Column) -> Column:

@@ -54,6 +54,15 @@ def warp_speeds(spark, sf_dir):
     return easing.warp_stats(c, ["c_custkey"], "d_in", "d_out", "linear").select("c_custkey", F.round("avg_speed", 3).alias("avg_speed"))
 
 
+@query("""WITH p AS (SELECT c_custkey, 2.0 + c_custkey % 5 AS d_in, 1.0 + c_custkey % 7 AS d_out, unnest(range(100)) AS k FROM customer), s AS (SELECT c_custkey, (d_in / 100) / ((sqrt((k + 1) / 100.0) - sqrt(k / 100.0)) * d_out + 1e-10) / (d_in / d_out) AS speed FROM p)
+SELECT c_custkey, round(min(speed), 2) AS min_speed, round(max(speed), 1) AS max_speed, round(avg(speed), 3) AS avg_speed FROM s GROUP BY 1""")
+def warp_speeds_of_a_curve(spark, sf_dir):
+    """The inverse of a square is a root: slow pieces first and fast ones last."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", (2.0 + F.col("c_custkey") % 5).alias("d_in"), (1.0 + F.col("c_custkey") % 7).alias("d_out"))
+    found = easing.warp_stats(c, ["c_custkey"], "d_in", "d_out", "easeInQuad")
+    return found.select("c_custkey", F.round("min_speed", 2).alias("min_speed"), F.round("max_speed", 1).alias("max_speed"), F.round("avg_speed", 3).alias("avg_speed"))
+
+
 @query("WITH s AS (SELECT c_custkey, 2.0 + c_custkey % 5 AS d_in, 1 + c_custkey % 3 AS d_out, (1 + c_custkey % 3) * 4 AS n FROM customer), k AS (SELECT *, unnest(range(n)) AS slot FROM s) SELECT c_custkey, slot, round(slot * 0.25, 6)::DOUBLE AS at, round(greatest(0, least(power(slot / (n - 1.0), 2) * d_in, d_in - 0.001)), 6)::DOUBLE AS source_time FROM k")
 def slot_schedule(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", (2.0 + F.col("c_custkey") % 5).alias("d_in"), (1 + F.col("c_custkey") % 3).alias("d_out"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import intel, schema, visibility
 from ..operators.graph import shared_folder
 from ..registry import query, table
-from ..sources import documents
+from ..sources import buckets, documents
 
 
 def written(df, spark, name, by):
@@ -87,3 +87,15 @@ def parameter_bounds(spark, sf_dir):
     )
     p = table(spark, sf_dir, "part").withColumn("s", F.col("p_size") - 25)
     return schema.schema_params(p.select("p_partkey", own.alias("schema")), "p_partkey").select("p_partkey", "name", "type", "minimum", "maximum", "enum")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 5 THEN 'P' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 100 = 7 THEN 0.0 ELSE o_totalprice END::DOUBLE AS price, CASE WHEN o_orderkey % 100 = 7 THEN 'now' ELSE '' END AS updated_at FROM orders WHERE o_orderkey % 50 <> 3")
+def changed_in_buckets(spark, sf_dir):
+    """Orders as a table in buckets: some get another status, some a price, some go."""
+    path, o = shared_folder(spark, "orders"), table(spark, sf_dir, "orders")
+    rows = o.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("double").alias("price"), F.lit("").alias("updated_at"), F.lit(0).alias("v"))
+    buckets.write_table(rows, path, ["o_orderkey"])
+    buckets.upsert_rows(spark, path, rows.where("o_orderkey % 11 = 5").withColumns({"status": F.lit("P"), "v": F.lit(1)}), ["o_orderkey"], "v")
+    buckets.patch_rows(spark, path, rows.where("o_orderkey % 100 = 7").select("o_orderkey", F.lit(0.0).alias("price")), "o_orderkey", ["price"], F.lit("now"))
+    buckets.delete_rows(spark, path, rows.where("o_orderkey % 50 = 3"), ["o_orderkey"])
+    return buckets.read_table(spark, path).select("o_orderkey", "status", "price", "updated_at")

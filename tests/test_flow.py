@@ -125,3 +125,47 @@ def test_closures(spark, monkeypatch, small):
                 if v == w:
                     label[s] = label[t] = min(label[s], label[t])
         assert {n: parts[w, n] for n in label} == label
+
+
+def blocked_by_hand(edges, closed):
+    """Components by reachability; the nodes of one together, until no more are blocked."""
+    maybe = {t for s, h, t, _ in edges if (s, h) in closed}
+    while more := {t for s, _, t, _ in edges if s in maybe} - maybe:
+        maybe |= more
+    reach = {n: {t for s, _, t, _ in edges if s == n and t in maybe} for n in maybe}
+    for _ in maybe:
+        for n in maybe:
+            reach[n] |= {t for m in reach[n] for t in reach[m]}
+    left, done = set(maybe), set()
+    while left:
+        first = next(n for n in sorted(left) if all(n in reach[m] and m in reach[n] or n not in reach[m] for m in left))
+        ring = {m for m in left if m == first or first in reach[m] and m in reach[first]}
+        while True:
+            new = set()
+            for n in ring - done:
+                own = [(th, (s, h) in closed or s in done) for s, h, t, th in edges if t == n and th]
+                shut = {th for th, off in own if off}
+                if shut and not any(th in shut for th, off in own if not off):
+                    new.add(n)
+            if not new:
+                break
+            done |= new
+        left -= ring
+    return done
+
+
+@pytest.mark.parametrize("small", [20_000, 3])
+def test_blocked_with_cycles(spark, monkeypatch, small):
+    """Large workflows, by levels, are the same where they have no cycle."""
+    monkeypatch.setattr(graph, "SMALL", small)
+    draw, rows, off, want = random.Random(9), [], [], set()
+    for w in range(50):
+        pairs = [(draw.randrange(12), draw.randrange(12)) for _ in range(draw.choice([10, 20]))]
+        edges = [(s, f"s{draw.randrange(2)}", t, draw.choice(["image", "text", None])) for s, t in pairs if small > 3 or s < t]
+        closed = {(draw.randrange(6), f"s{draw.randrange(2)}") for _ in range(3)}
+        rows += [(w, *e) for e in edges]
+        off += [(w, *c) for c in closed]
+        want |= {(w, n) for n in blocked_by_hand(edges, closed)}
+    e = spark.createDataFrame(rows, "workflow_id long, source long, source_handle string, target long, target_handle string")
+    got = flow.blocked_nodes(e, spark.createDataFrame(off, "workflow_id long, source long, source_handle string"))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 20

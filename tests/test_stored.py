@@ -6,8 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.operators import cost, timeline, visibility
-from loomspark.sources import documents, heads
+from loomspark.operators import cost, dedup, timeline, visibility
+from loomspark.sources import buckets, documents, heads
 
 
 def test_heads_read_little(spark, tmp_path):
@@ -69,3 +69,31 @@ def test_long_series_equal_short_ones(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_changes_leave_other_buckets_alone(spark, tmp_path):
+    """Equal to a full rewrite; files of untouched buckets stay the same files, and emptied buckets stay empty."""
+    rows = spark.createDataFrame([(i, f"v{i}", None, 0) for i in range(400)], "k long, x string, updated_at string, v int")
+    path, keys = str(tmp_path / "t"), ["k"]
+    files = lambda: {str(p) for p in (tmp_path / "t").rglob("*.parquet")}
+    buckets.write_table(rows, path, keys, 16)
+    before, full = files(), rows
+    some = spark.createDataFrame([(3, "new", None, 1), (900, "added", None, 1)], "k long, x string, updated_at string, v int")
+    buckets.upsert_rows(spark, path, some, keys, "v", 16)
+    assert len(before & files()) >= 14
+    full = dedup.upsert(full, some, keys, "v").select(*rows.columns)
+    fix = spark.createDataFrame([(5, "fixed"), (6, None)], "k long, x string")
+    buckets.patch_rows(spark, path, fix, "k", ["x"], F.lit("now"), 16)
+    full = dedup.patch(full.drop("updated_at"), fix, "k", ["x"], F.lit("now")).select(*rows.columns)
+    seen = lambda df: sorted(map(tuple, df.collect()))
+    key = lambda r: (r[0], r[1], r[2] or "", r[3])
+    assert sorted(map(key, buckets.read_table(spark, path).collect())) == sorted(map(key, full.collect()))
+    gone = rows.where(F.pmod(F.xxhash64("k"), F.lit(16)) == 2).select("k")
+    buckets.delete_rows(spark, path, gone, keys, 16)
+    left = buckets.read_table(spark, path)
+    assert seen(left.select("k")) == seen(full.select("k").join(gone, "k", "left_anti")) and seen(left.join(gone, "k", "left_semi")) == []
+    kept = files()
+    buckets.delete_rows(spark, path, gone.where("false"), keys, 16)
+    assert files() == kept
+    buckets.upsert_rows(spark, path, rows.join(gone, "k"), keys, "v", 16)
+    assert seen(buckets.read_table(spark, path).select("k")) == seen(full.select("k"))
