@@ -18,8 +18,12 @@ SMALL = 20_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the cluster's checkpoint folder; a temporary one only where that is unset (tests on one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder's path below the cluster's checkpoint folder; a temporary one where that is unset on a single machine, and an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

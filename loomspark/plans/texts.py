@@ -89,8 +89,11 @@ def words_in_pages(spark, sf_dir):
     return dictionary.contains_terms(table(spark, sf_dir, "pages"), "page_id", "html", terms).select("page_id", "group", "term").distinct()
 
 
-@query("SELECT conv_id, turn, (k - 1)::INT AS ord, x[k] AS item FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(text, ', '), lambda s: regexp_replace(s, '^[@WHITE]+|[@WHITE]+$', '', 'g')), lambda s: s <> '') AS x FROM conversations), range(1, 1000) r(k) WHERE k <= len(x)")
+@query("SELECT conv_id, turn, (k - 1)::INT AS ord, x[k] AS item FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(text, ', '), lambda s: regexp_replace(s, '^[@WHITE]+|[@WHITE]+$', '', 'g')), lambda s: s <> '') AS x FROM conversations), (SELECT unnest(range(1, 1 + (SELECT max(length(text)) FROM conversations)::BIGINT)) AS k) r WHERE k <= len(x)")
 def split_in_sql(spark, sf_dir):
-    X.register_split(spark)
+    X.register_split(spark, "split_turns")
     table(spark, sf_dir, "conversations").createOrReplaceTempView("turns_to_split")
-    return spark.sql("SELECT conv_id, turn, s.ord, s.item FROM turns_to_split, LATERAL split_text(text, 'delimiter', ', ') s")
+    out = spark.sql("SELECT conv_id, turn, s.ord, s.item FROM turns_to_split, LATERAL split_turns(text, 'delimiter', ', ') s")
+    spark.catalog.dropTempView("turns_to_split")  # the plan holds what it needs; the session stays as it was
+    spark.sql("DROP TEMPORARY FUNCTION split_turns")
+    return out
