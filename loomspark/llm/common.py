@@ -17,10 +17,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the cluster's shared checkpoint folder and read it again.
 
     Cuts the lineage, so a lost executor costs a re-read instead of a recomputation. The folder is
-    ``spark.checkpoint.dir``; only where that is unset (tests) a temporary local one is taken.
+    ``spark.checkpoint.dir``; where that is unset, a temporary local one is taken on a single machine (tests),
+    and a cluster is refused.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -20,6 +20,8 @@ TREES, LEAF = 16, 256
 RECALL, TRIALS = 0.96, 128
 #: Leaves that one task ranks together, and the most vectors and queries of theirs in one group; more are dealt out in parts.
 CELL, PART, ASKED = 32, 16_384, 4_096
+#: Queries whose leaves one task looks up.
+PROBES = 256
 
 
 class Forest:
@@ -264,7 +266,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     index = points.mapInArrow(_index(forest, width), f"cell int, leaf int, first long, vector array<{kind}>")
     queries = durable(rows.where(F.pmod("id", F.lit(every)) == 0).join(points, "vector").select(F.col("id").alias("query_id"), F.col("first").alias("query")), "queries")
     asked = points.join(queries.select(F.col("query").alias("first")).distinct(), "first", "left_semi").select(F.col("first").alias("query"), "vector")
-    visits = asked.repartition(32, "query").mapInArrow(_probe(forest, probes, sample, k + 1, width), f"cell int, query long, vector array<{kind}>, leaves array<int>, bound double")
+    tasks = 1 + queries.count() // PROBES  # few bytes a query, but long work: dealt by their number
+    visits = asked.repartition(tasks, "query").mapInArrow(_probe(forest, probes, sample, k + 1, width), f"cell int, query long, vector array<{kind}>, leaves array<int>, bound double")
     visits = durable(visits, "visits")
     held = points.mapInArrow(_index(forest, width), f"cell int, leaf int, first long, vector array<{kind}>").groupBy("cell").agg(F.ceil(F.count("*") / PART).alias("parts"))
     sizes = durable(held.join(visits.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).alias("turns")), "cell"), "cells")
