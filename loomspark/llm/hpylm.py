@@ -219,7 +219,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Training takes texts whose crc32 of the id as text, modulo 7, is not 2 (a null id: none of them,
     held_out false). Null and empty texts are one end token. Rows with the same id and text share a
-    result each. Without training tokens, every word has probability 1 / (V + 1) with V = 0.
+    result each. Without training tokens, every word has probability 1 / (V + 1) with V = 0. Other columns are
+    ignored; an empty table gives no rows.
     """
     crc = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -151,7 +151,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Labels count only where crc32 of the id as text, modulo 4, is not 2. A null text is empty; a null
     id is never labelled and not held out; rows with the same id share its label; several labels of an
-    id are averaged. Without any label, or with one kind only, all scores are that label (or 0.5).
+    id are averaged. Without any label, or with one kind only, all scores are that label (or 0.5). Other columns are ignored; an empty table of documents gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     x = durable(rows.mapInArrow(_features, "doc_id long, x array<double>"), "statistics")
