@@ -369,6 +369,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def decode(media: DataFrame) -> DataFrame:
     """Reads ``encode``'s streams back: doc_id, n_bytes, media, pcm (the whole payload)
     and feature (level, zero crossings and peak of the samples).
+
+    Null ids stay null, repeated rows repeat, an empty table gives no rows; a damaged stream is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     than one document. Seeds depend on source and group alone, so reruns agree.
 
     The driver holds one row for each source. Null sources are a source of their own, the last;
-    documents without words are never taken; an empty table gives no rows. Repeated rows (same id,
+    documents without words are never taken; other columns are ignored; an empty table gives no rows. Repeated rows (same id,
     source and text) are documents of their own: they are counted first and then numbered, so that
     they and rows without an id spread over the groups by id, hash of the text and number.
     """

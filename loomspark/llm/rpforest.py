@@ -241,7 +241,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     result of k can hold. Vectors that are null, empty, zero, or hold null or non-finite values take no
     part, nor do null ids; of rows with one id, the smallest vector counts. A shorter vector has zeros
     behind its end. Fewer than k other vectors give as many rows; an empty table none. Ties go to the
-    smaller id.
+    smaller id. Other columns are ignored.
     """
     v = F.col("vector")
     kind = "float" if isinstance(getattr(vectors.schema[vector_col].dataType, "elementType", None), FloatType) else "double"

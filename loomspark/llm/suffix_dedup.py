@@ -396,7 +396,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     4. Windows that repeat go back to all texts that hold the piece, and their bytes are removed.
 
     A null or empty text has nothing to remove; texts shorter than ``length`` stay whole. Repeated rows
-    are texts of their own, so both repeat each other. Null ids and other columns make no difference.
+    are texts of their own, so both repeat each other. Null ids and other columns make no difference;
+    an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rest = F.struct(*[F.col(c) for c in carry] or [F.lit(0).alias("none")])
