@@ -43,10 +43,16 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def candidates(low: np.ndarray, high: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Numbers of the centroids that can be nearest to some vector within a box: no farther from it than some centroid is from its farthest corner."""
-    outside = np.maximum(np.maximum(low - centroids, centroids - high), 0)
+    """Numbers of the centroids that can be nearest to some vector within a box.
+
+    The centroid that is nearest to its own farthest corner is held against each other one: how much farther
+    than it that one is anywhere in the box, a sum of one bound a component, is negative only where it can win.
+    """
     farthest = np.maximum(np.abs(centroids - low), np.abs(centroids - high))
-    return np.flatnonzero((outside * outside).sum(1) <= (farthest * farthest).sum(1).min())
+    one = int((farthest * farthest).sum(1).argmin())
+    way, squares = centroids - centroids[one], (centroids * centroids).sum(1)
+    behind = 2 * np.maximum(low * way, high * way).sum(1) + squares[one] - squares  # the most by which ``one`` is farther
+    return np.flatnonzero(behind >= 0)
 
 
 def nearest(vectors: np.ndarray, low: np.ndarray, high: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
