@@ -5,11 +5,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.llm import centroids, conversation_repair, exact_dedup
+from loomspark.llm import centroids, conversation_repair, exact_dedup, queries
 from loomspark.llm.conversation_repair import Lattice, cheapest, faults_of
 
 # -- exact deduplication ---------------------------------------------------------------------------
@@ -202,3 +203,23 @@ def test_clusters(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == clusters_by_hand(rows, 6, 3, 5)
     assert centroids.cluster(table.where("vec_id < 3"), k=6, rounds=2, dims=5).count() == 3
     assert centroids.cluster(table.where("vec_id < 0"), dims=5).collect() == []
+
+
+# -- the queries -----------------------------------------------------------------------------------
+
+OWN = {
+    "op11_centroid_clusters": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    "op12_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    "op13_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+}
+
+
+@pytest.mark.parametrize("name", list(OWN))
+def test_queries_match_their_sql(spark, sf_dir, name):
+    got = queries.queries()[name](spark, sf_dir)
+    assert got.dtypes == [tuple(x.split()) for x in OWN[name].split(", ")]
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS FROM '{sf_dir}/{t}.parquet'")
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
