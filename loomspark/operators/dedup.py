@@ -9,7 +9,11 @@ from ..functions.semantics import col, slug, squeeze, trim_all
 
 
 def keep_first(df: DataFrame, key: Column, ord_: list[str | Column], blank_ok: bool = True) -> DataFrame:
-    """The first row of each key by ``ord_``; rows with a blank key are dropped unless ``blank_ok``."""
+    """The first row of each key by ``ord_``; rows with a blank key are dropped unless ``blank_ok``.
+
+    As only the first row is asked for, Spark keeps one row a key and task before the shuffle (WindowGroupLimit), so
+    a key that many rows share costs no task more than others.
+    """
     out = df.withColumn("_k", key)
     if not blank_ok:
         out = out.where(F.coalesce(F.col("_k"), F.lit("")) != "")
