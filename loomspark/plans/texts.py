@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..functions import text as X
-from ..operators import dictionary
+from ..operators import dictionary, intel
 from ..registry import query, table
 
 
@@ -97,3 +97,28 @@ def split_in_sql(spark, sf_dir):
     spark.catalog.dropTempView("turns_to_split")  # the plan holds what it needs; the session stays as it was
     spark.sql("DROP TEMPORARY FUNCTION split_turns")
     return out
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)abort|timeout') THEN 'timeout' WHEN regexp_matches(text, '(?i)429|rate.?limit') THEN 'rate_limited' ELSE 'error' END AS status, coalesce(regexp_matches(text, '(?i)429|5[0-9][0-9]|timeout|ETIMEDOUT|ECONNRESET|ENOTFOUND|abort'), false) AS retriable FROM documents")
+def text_error_statuses(spark, sf_dir):
+    """Whole documents as messages of errors."""
+    status = X.classify_error("text")
+    return table(spark, sf_dir, "documents").select("doc_id", status["status"].alias("status"), status["retriable"].alias("retriable"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN x = 0 THEN '$0.00' WHEN x < 0.01 THEN '<$0.01' ELSE '$' || format('{:.2f}', floor(x * 100 + 0.5) / 100) END AS cost FROM (SELECT *, l_discount::DOUBLE * l_quantity::DOUBLE * l_extendedprice::DOUBLE / 1e6 AS x FROM lineitem)")
+def line_cost_texts(spark, sf_dir):
+    cost = F.col("l_discount").cast("double") * F.col("l_quantity").cast("double") * F.col("l_extendedprice").cast("double") / 1e6
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", S.format_cost(cost).alias("cost"))
+
+
+@query(r"""SELECT page_id, k, host IS NOT NULL AND lower(scheme) IN ('http', 'https') AND NOT regexp_matches(host, '^(localhost$|127\.|10\.|192\.168\.|169\.254\.|0\.|172\.(1[6-9]|2[0-9]|3[01])\.)') AS valid
+FROM (SELECT page_id, k, regexp_extract(u, '^([A-Za-z]+)://', 1) AS scheme, nullif(regexp_extract(u, '^[A-Za-z]+://([^/:?#]+)', 1), '') AS host FROM (SELECT page_id, k, CASE k WHEN 0 THEN url WHEN 1 THEN 'ftp' || substr(url, strpos(url, ':')) WHEN 2 THEN regexp_replace(url, '//[^/]*', '//' || (page_id % 256) || '.' || (page_id * 7 % 256) || '.1.2') ELSE regexp_replace(url, '//[^/]*', '//172.' || (page_id % 40) || '.0.1:80') END AS u FROM pages, (VALUES (0), (1), (2), (3)) v(k)))""")
+def checked_page_urls(spark, sf_dir):
+    """The pages' own addresses, by another scheme, and with hosts of numbers."""
+    i, url = F.col("page_id"), F.col("url")
+    scheme = F.concat(F.lit("ftp"), F.regexp_replace(url, "^[^:]*", ""))
+    numbers = F.regexp_replace(url, F.lit("//[^/]*"), F.concat(F.lit("//"), (i % 256).cast("string"), F.lit("."), (i * 7 % 256).cast("string"), F.lit(".1.2")))
+    private = F.regexp_replace(url, F.lit("//[^/]*"), F.concat(F.lit("//172."), (i % 40).cast("string"), F.lit(".0.1:80")))
+    p = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.array(url, scheme, numbers, private)).alias("k", "u"))
+    return p.select("page_id", "k", intel.validate_url("u")["valid"].alias("valid"))
