@@ -57,7 +57,8 @@ def part_slugs(spark, sf_dir):
 #: Names: the first one to four words of every benchmark passage with what stands between them, part and supplier names, and some of symbols.
 NAMES_SQL = r"""names AS (SELECT DISTINCT regexp_replace(regexp_extract(text, '^[@WHITE]*((?:[^@WHITE]+[@WHITE]+){' || (item_id % 4) || '}[^@WHITE]+)', 1), '[@WHITE]+', ' ', 'g') AS name FROM benchmark
   UNION SELECT p_name FROM part UNION SELECT s_name FROM supplier UNION VALUES ('.'), ('the'), ('THE'), ('. the'), (', and'), ('or'))"""
-WORD_SQL = r"""'(?i)(^|[^\p{L}\p{N}])' || replace(regexp_replace(name, '([^\p{L}\p{N} ])', '\\\1', 'g'), ' ', '[@WHITE]+') || '($|[^\p{L}\p{N}])'"""
+#: A text as its words and single other characters, set apart by one character: whole words lie between two, and so do names that begin or end with another character.
+APART_SQL = r"""chr(31) || regexp_replace(regexp_replace(lower(%s), '[@WHITE]+', ' ', 'g'), '([^\p{L}\p{N}])', chr(31) || '\1' || chr(31), 'g') || chr(31)"""
 
 
 def known_names(spark, sf_dir):
@@ -67,13 +68,13 @@ def known_names(spark, sf_dir):
     return own.union(spark.createDataFrame([(x,) for x in (".", "the", "THE", ". the", ", and", "or", " ", None)], "name string"))
 
 
-@query(rf"WITH {NAMES_SQL} SELECT doc_id, name FROM documents, (SELECT name, {WORD_SQL} AS pattern, list_reduce(string_split(lower(name), ' '), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS long_word FROM names) n WHERE CASE WHEN contains(lower(text), long_word) THEN regexp_matches(text, pattern) ELSE false END")
+@query(f"WITH {NAMES_SQL} SELECT doc_id, name FROM (SELECT doc_id, {APART_SQL % 'text'} AS t FROM documents) d, (SELECT name, {APART_SQL % 'name'} AS n FROM names) m WHERE contains(t, n)")
 def names_in_documents(spark, sf_dir):
     found = dictionary.mentions_of(table(spark, sf_dir, "documents"), "doc_id", "text", known_names(spark, sf_dir))
     return found.select("doc_id", F.regexp_replace("name", "  ", " ").alias("name"))
 
 
-@query(rf"WITH {NAMES_SQL} SELECT conv_id, count(*) AS names FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1), (SELECT name, {WORD_SQL} AS pattern, list_reduce(string_split(lower(name), ' '), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END) AS long_word FROM names) n WHERE CASE WHEN contains(lower(text), long_word) THEN regexp_matches(text, pattern) ELSE false END GROUP BY 1")
+@query(f"WITH {NAMES_SQL} SELECT conv_id, count(*) AS names FROM (SELECT conv_id, {APART_SQL % 'text'} AS t FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1)) d, (SELECT name, {APART_SQL % 'name'} AS n FROM names) m WHERE contains(t, n) GROUP BY 1")
 def names_in_conversations(spark, sf_dir):
     """As a large dictionary would be met: by each name's rarest word."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
