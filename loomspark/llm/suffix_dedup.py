@@ -17,6 +17,8 @@ LENGTH, GRAM = 400, 32
 #: Grams are counted in this many cells; the anchors avoid cells that many texts share. This steers
 #: only how the work is dealt out: any fixed preference gives the same result.
 CELL_BITS, CELL_BYTES, CELL_IN_CHUNK, CELL_HOT = 22, 2_000_000, 5, 64
+#: Bytes of text that one step of a task holds with its hashes.
+STEP_BYTES = 500_000
 #: Nearly all anchors are below this, a twentieth of the hash range.
 RARE = np.uint64(2**63 // 20)
 #: Bytes of one suffix array, and most different pieces with one anchor in it.
@@ -231,7 +233,7 @@ def _pieces(hot: np.ndarray, length: int):
         avoid = np.unpackbits(packed)
         for batch in batches:
             data, offsets = text_buffers(batch.column(2))
-            for first, last in chunks(offsets):
+            for first, last in chunks(offsets, STEP_BYTES):
                 owner, anchor, a, b, start, run, again, right, left = anchored(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], avoid, length)
                 if len(owner):
                     rows = pa.array(owner + first)
@@ -253,7 +255,7 @@ def _cut(length: int):
             fields = {name: item.field(name) for name in ("block", "side", "anchor", "a", "b", "run", "n", "start")}
             size = np.asarray(fields["run"]).astype(np.int64) + length - 1
             at, upto = offsets[text] + np.asarray(fields["start"]), np.concatenate([[0], np.cumsum(size)])
-            for first, last in chunks(upto):
+            for first, last in chunks(upto, STEP_BYTES):
                 bytes_ = binary_array(data[ragged(at[first:last], size[first:last])], upto[first : last + 1] - upto[first], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(fields[x].slice(first, last - first) for x in ("block", "side", "anchor", "a", "b", "run", "n")), bytes_], ["block", "side", "anchor", "a", "b", "run", "n", "bytes"])
 
@@ -372,7 +374,7 @@ def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
-            for first, last in chunks(offsets):
+            for first, last in chunks(offsets, STEP_BYTES):
                 yield cut(batch.slice(first, last - first), data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
 
     return run
