@@ -68,14 +68,15 @@ def brand_kpis(answers: DataFrame, keys: list[str]) -> DataFrame:
 def kpis_by(answers: DataFrame, column: str, domain: DataFrame, brands: list[str]) -> DataFrame:
     """KPIs for each value of a fixed domain, zeros where nothing was answered.
 
-    The answers are read once: a grouping by brand and value, and of its rows those of the brands, give both
-    the KPIs and the brands that the domain is laid out for.
+    The answers are read once: what they come to, for the domain's values alone, is listed by brand and laid out again.
     """
-    sets = answers.groupingSets([[F.col(b) for b in brands], [*[F.col(b) for b in brands], F.col(column)]], *[F.col(b) for b in brands], F.col(column))
-    rows = sets.agg((F.grouping(column) == 1).alias("_brand"), *_measures())
     values = short(domain.select(F.col(column).alias("_value")))
-    laid = rows.where("_brand").drop("_brand", column).select(*brands).crossJoin(values).withColumnRenamed("_value", column)
-    out = laid.join(rows.where("not _brand").drop("_brand"), [*brands, column], "left")
+    rows = brand_kpis(answers, [*brands, column]).join(values.withColumn("_known", F.lit(True)), F.col(column) == F.col("_value"), "left")
+    names = [c for c in rows.columns if c not in (*brands, column, "_value", "_known")]
+    each = rows.groupBy(*brands).agg(F.collect_list(F.when(F.col("_known"), F.struct(column, *names))).alias("_rows"))
+    own = F.try_element_at(F.filter("_rows", lambda r: r[column] == F.col("_value")), F.lit(1))
+    laid = each.crossJoin(values).withColumn("_own", own)
+    out = laid.select(*brands, F.col("_value").alias(column), *[F.col("_own")[n].alias(n) for n in names])
     return out.fillna(0, ["total", "successful", "mentions"]).fillna(0.0, ["visibility_pct"])
 
 
