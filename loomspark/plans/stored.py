@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intel, schema, visibility
 from ..operators.graph import shared_folder
-from ..registry import query, table
+from ..registry import dealt, query, table
 from ..sources import buckets, documents
 
 
@@ -85,7 +85,7 @@ def parameter_bounds(spark, sf_dir):
         F.when(F.col("p_size") % 2 == 0, "integer").otherwise("string"), F.lit('", "enum": ["'), "p_brand", F.lit('","b"]}, "Input": {"properties": {"seed": {"type": "integer", "minimum": '), exact("s"), F.lit(', "maximum": 2147483647}, "rate": {"type": "number", "minimum": '), exact("p_size"),
         F.lit('e-05, "maximum": '), exact("p_retailprice"), F.lit('e9}, "kind": {"allOf": [{"$ref": "#/components/schemas/A"}]}, "loop": {"$ref": "#/components/schemas/R"}}}}}}'),
     )
-    p = table(spark, sf_dir, "part").withColumn("s", F.col("p_size") - 25)
+    p = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice"), "p_partkey").withColumn("s", F.col("p_size") - 25)
     return schema.schema_params(p.select("p_partkey", own.alias("schema")), "p_partkey").select("p_partkey", "name", "type", "minimum", "maximum", "enum")
 
 

@@ -35,3 +35,8 @@ def oracle_sql() -> dict[str, str]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(df: DataFrame, by: str) -> DataFrame:
+    """The rows over all shuffle partitions, for what works long on short rows: one file may be one task, and small partitions would be joined again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)

@@ -140,3 +140,30 @@ def test_only_short_tables_are_broadcast(spark):
     for most, hint in ((5, True), (3, False)):
         table = short(spark.range(5), most)
         assert table.count() == 5 and ("broadcast" in table._jdf.queryExecution().logical().toString().lower()) == hint
+
+
+def test_definitions_are_looked_up_once(spark):
+    """A schema's definitions are read in one step, not once a link, field and use; results by links, variants and names with quotes."""
+    links = {f"L{i}": {"$ref": f"#/components/schemas/L{i + 1}"} for i in range(14)} | {"L14": {"type": "integer", "enum": [1.50, 2], "format": "uri", "default": "null"}}
+    other = {f"X{i}": {"type": "object", "description": "x" * 200} for i in range(200)}
+    props = {
+        "a": {"allOf": [{"$ref": "#/components/schemas/L0"}]}, "b": {"$ref": "#/components/schemas/L13"}, "c": {"anyOf": [{"type": "null"}, {"$ref": "#/components/schemas/none"}, {"type": "number"}], "default": None}, "d": {"$ref": "#/components/schemas/it's"},
+        "e": {"oneOf": ["x", [1], {"description": "of a variant"}], "description": ""}, "f": {"$ref": "elsewhere"},
+    }
+    text = json.dumps({"components": {"schemas": other | links | {"it's": {"type": "boolean"}, "Input": {"required": ["b"], "properties": props}}}})
+    docs = spark.range(40).withColumn("schema", F.lit(text))
+    rows = schema.schema_params(docs, "id")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") < 80 and plan.count("from_json") < 10
+    got = {(r["id"], r["name"]): (r["type"], r["required"], r["description"], r["default"], r["enum"]) for r in rows.collect()}
+    one = {"a": ("integer", False, None, None, "[1.5,2]"), "b": ("integer", True, None, "null", "[1.5,2]"), "c": ("number", False, None, None, None), "d": ("boolean", False, None, None, None), "e": ("string", False, "", None, None), "f": ("string", False, None, None, None)}
+    assert got == {(i, n): v for i in range(40) for n, v in one.items()}
+
+
+def test_names_are_read_once(spark):
+    """The mapping of 12 inputs by 60 patterns parses a schema once."""
+    text = json.dumps({"components": {"schemas": {"Input": {"properties": {f"x{i}": {"type": "string", "description": "y" * 2000} for i in range(300)} | {"My_Seed": {}, "Prompt_Text": {}}}}}})
+    docs = spark.range(40).select("id", F.concat(F.lit(text), F.repeat(F.lit(" "), F.col("id").cast("int"))).alias("schema"))
+    m = docs.select("id", schema.param_mapping("schema").alias("m"))
+    assert m._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert all(r["m"] == {"prompt": "Prompt_Text", "seed": "My_Seed"} for r in m.collect())
