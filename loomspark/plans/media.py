@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import easing
 from ..operators import layout, schema, timeline
-from ..registry import query, table
+from ..registry import dealt, query, table
 
 HALF = {"Quad": "{0}*{0}", "Cubic": "{0}*{0}*{0}", "Quart": "{0}*{0}*{0}*{0}", "Quint": "{0}*{0}*{0}*{0}*{0}", "Sine": "1-cos({0}*pi()/2)", "Expo": "CASE WHEN {0}=0 THEN 0 ELSE power(2,10*{0}-10) END", "Circ": "1-sqrt(greatest(0,1-{0}*{0}))"}
 
@@ -124,13 +124,13 @@ def schemas(spark, sf_dir):
     k = F.col("p_partkey")
     props = F.concat_ws(",", F.lit('"Prompt_Text":{"type":"string"}'), F.when(k % 2 == 0, '"image_url":{"type":"string","description":"Source"}').otherwise('"input_images":{"type":"array","items":{"type":"string"},"description":"An image url"}'), F.when(k % 3 == 0, '"num_inference_steps":{"anyOf":[{"type":"null"},{"type":"integer"}],"default":20}'), F.when(k % 5 == 0, '"mode":{"$ref":"#/components/schemas/Mode"}'), F.lit('"seed":{"type":"integer","minimum":1},"webhook":{"type":"string"}'))
     text = F.concat(F.lit('{"components":{"schemas":{"Mode":{"type":"string","enum":["a","b"]},"Input":{"required":["seed"],"properties":{'), props, F.lit("}}}}}"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.alias("schema"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", text.alias("schema"))
 
 
 @query("SELECT p_partkey, 'Prompt_Text' AS prompt, CASE WHEN p_partkey % 2 = 0 THEN 'image_url' ELSE 'input_images' END AS image, CASE WHEN p_partkey % 3 = 0 THEN 'num_inference_steps' END AS steps, 'seed' AS seed, 3 + (p_partkey % 3 = 0)::INT AS n FROM part")
 def parameter_names(spark, sf_dir):
-    m = schema.param_mapping("schema")
-    return schemas(spark, sf_dir).select("p_partkey", m["prompt"].alias("prompt"), m["image"].alias("image"), m["steps"].alias("steps"), m["seed"].alias("seed"), F.size(m).alias("n"))
+    m = F.col("m")
+    return schemas(spark, sf_dir).select("p_partkey", schema.param_mapping("schema").alias("m")).select("p_partkey", m["prompt"].alias("prompt"), m["image"].alias("image"), m["steps"].alias("steps"), m["seed"].alias("seed"), F.size(m).alias("n"))
 
 
 @query("SELECT p_partkey, 'Prompt_Text:string,' || CASE WHEN p_partkey % 2 = 0 THEN 'image_url:string' ELSE 'input_images:array' END || ',seed:integer,webhook:string' AS types FROM part")
