@@ -343,7 +343,7 @@ def score_read_back(spark, sf_dir):
     return back.select("brand_id", "brand_name", F.explode("by_role").alias("role", "n"))
 
 
-@query("SELECT l_orderkey, count(DISTINCT l_linenumber) AS n, arg_max(l_partkey, l_shipdate) FILTER (l_linenumber = 1) AS first_part FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, count(DISTINCT l_linenumber) AS n, arg_max(l_partkey, (l_shipdate, l_partkey)) FILTER (l_linenumber = 1) AS first_part FROM lineitem GROUP BY 1")
 def order_part_map(spark, sf_dir):
     m = documents.images_for_board(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
     return m.select("l_orderkey", F.size("images").alias("n"), F.try_element_at("images", F.lit(1).cast(m.schema["images"].dataType.keyType)).alias("first_part"))

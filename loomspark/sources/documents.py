@@ -66,8 +66,8 @@ def scan_boards(df: DataFrame, columns: list[str], data: str, order: list[Column
 
 
 def images_for_board(df: DataFrame, parent: str, key: str, blob: str, order: str) -> DataFrame:
-    """Each parent's map from key to blob; of equal keys the last by ``order`` stays. The blobs of one parent make one row, so they must fit it; give references where they are large (``externalize``)."""
-    last = df.where(F.col(key).isNotNull()).groupBy(parent, key).agg(F.max_by(blob, order).alias(blob))
+    """Each parent's map from key to blob; of equal keys the last by ``order`` stays, of equally late ones the largest blob. The blobs of one parent make one row, so they must fit it; give references where they are large (``externalize``)."""
+    last = df.where(F.col(key).isNotNull()).groupBy(parent, key).agg(F.max_by(blob, F.struct(order, blob)).alias(blob))
     return last.groupBy(parent).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, blob)))).alias("images"))
 
 

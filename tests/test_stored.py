@@ -97,3 +97,28 @@ def test_changes_leave_other_buckets_alone(spark, tmp_path):
     assert files() == kept
     buckets.upsert_rows(spark, path, rows.join(gone, "k"), keys, "v", 16)
     assert seen(buckets.read_table(spark, path).select("k")) == seen(full.select("k"))
+
+
+def test_equally_late_blobs(spark):
+    """Of rows of one key and one time the largest blob stays, whatever their order; rows without a time come first."""
+    rows = [(1, 1, b, t) for b, t in ((5, 2), (9, 2), (7, 2), (99, 1), (100, None))] + [(2, 1, 3, None), (2, 1, 4, None), (2, None, 5, 1)]
+    for own in (rows, rows[::-1]):
+        df = spark.createDataFrame(own, "p int, k int, blob int, t int").coalesce(1)
+        got = {r["p"]: r["images"] for r in documents.images_for_board(df, "p", "k", "blob", "t").collect()}
+        assert got == {1: {1: 9}, 2: {1: 4}}
+
+
+def test_stored_documents_stay_small(spark, tmp_path):
+    """A brand's parts of far keys are other documents."""
+    from loomspark.plans import stored
+
+    parts = spark.range(0, 1_000_000, 1_000).select(F.col("id").alias("p_partkey"), F.lit("B").alias("p_brand"), F.concat(F.lit("t"), F.col("id") % 7).alias("p_name"), (F.col("id") / 1000 % 50).cast("int").alias("p_size"))
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    seen, read = [], documents.read_workflows
+    try:
+        documents.read_workflows = lambda s, path: seen.append(path) or read(s, path)
+        got = stored.stored_workflows(spark, str(tmp_path)).collect()
+    finally:
+        documents.read_workflows = read
+    assert sum(r["nodes"] for r in got) == 1_000 and sum(r["sources"] for r in got) == 480
+    assert read(spark, seen[0])[0].groupBy("workflow_id").count().agg(F.max("count")).first()[0] == 100
