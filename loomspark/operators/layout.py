@@ -21,21 +21,27 @@ def _off(a: Column, b: Column | float) -> Column:
     return F.greatest(a / b, b / a) - 1
 
 
+def _score(w: Column, h: Column, rows: Column, cols: Column) -> Column:
+    r, c = rows.cast("double"), cols.cast("double")
+    cell = (w / c) / (h / r)
+    best = reduce(lambda a, b: F.least(a, b), [_off(cell, F.lit(x)) for x in RATIOS])
+    parts = {"cell": F.exp(best * -3), "shape": F.exp(_off(w / h, c / r) * -2), "cells": F.least(r * c / 6, F.lit(1.0)), "symmetry": 1 - F.abs(r - c) / F.greatest(r, c)}
+    return sum(parts[k] * w for k, w in WEIGHTS.items())
+
+
 def layout_scores(sizes: DataFrame, key: str, width: str, height: str) -> DataFrame:
     """(key, rows, cols, score) of all grids of up to MOST rows and columns, but for a single cell."""
     n = F.sequence(F.lit(1), F.lit(MOST))
     grids = sizes.select(key, F.col(width).cast("double").alias("_w"), F.col(height).cast("double").alias("_h"), F.explode(n).alias("rows")).withColumn("cols", F.explode(n)).where("rows > 1 or cols > 1")
-    r, c = F.col("rows").cast("double"), F.col("cols").cast("double")
-    cell = (F.col("_w") / c) / (F.col("_h") / r)
-    best = reduce(lambda a, b: F.least(a, b), [_off(cell, F.lit(x)) for x in RATIOS])
-    parts = {"cell": F.exp(best * -3), "shape": F.exp(_off(F.col("_w") / F.col("_h"), c / r) * -2), "cells": F.least(r * c / 6, F.lit(1.0)), "symmetry": 1 - F.abs(r - c) / F.greatest(r, c)}
-    return grids.select(key, "rows", "cols", sum(parts[k] * w for k, w in WEIGHTS.items()).alias("score"))
+    return grids.select(key, "rows", "cols", _score(F.col("_w"), F.col("_h"), F.col("rows"), F.col("cols")).alias("score"))
 
 
 def rank_layouts(sizes: DataFrame, key: str, width: str, height: str, k: int = 8) -> DataFrame:
-    """The k best layouts of each image; among equals fewer rows, then fewer columns first."""
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "rows", "cols")
-    return layout_scores(sizes, key, width, height).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    """The k best layouts of each image, a row of ``sizes``; among equals fewer rows, then fewer columns first. All grids of an image are ranked in its row, without a sort over images."""
+    grids = F.array(*[F.struct(F.lit(r).alias("rows"), F.lit(c).alias("cols")) for r in range(1, MOST + 1) for c in range(1, MOST + 1) if r > 1 or c > 1])
+    w, h = F.col(width).cast("double"), F.col(height).cast("double")
+    ranked = F.array_sort(F.transform(grids, lambda g: F.struct((-_score(w, h, g["rows"], g["cols"])).alias("less"), g["rows"].alias("rows"), g["cols"].alias("cols"))))
+    return sizes.select(key, F.posexplode(F.slice(ranked, 1, k)).alias("_n", "_g")).select(key, F.col("_g.rows").alias("rows"), F.col("_g.cols").alias("cols"), (-F.col("_g.less")).alias("score"), (F.col("_n") + 1).alias("place"))
 
 
 def grid_cells(sizes: DataFrame, key: str, width: str, height: str, rows: int, cols: int) -> DataFrame:

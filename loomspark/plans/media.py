@@ -91,7 +91,7 @@ def layout_score_stats(spark, sf_dir):
 
 @query()
 def best_layouts(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", (400.0 + 37 * F.col("p_size")).alias("w"), (300.0 + F.col("p_partkey") % 500).alias("h"))
+    p = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", (400.0 + 37 * F.col("p_size")).alias("w"), (300.0 + F.col("p_partkey") % 500).alias("h"))
     return layout.rank_layouts(p, "p_partkey", "w", "h").select("p_partkey", "place", "rows", "cols", F.round("score", 6).alias("score"))
 
 

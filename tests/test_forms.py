@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import easing
@@ -167,3 +168,18 @@ def test_names_are_read_once(spark):
     m = docs.select("id", schema.param_mapping("schema").alias("m"))
     assert m._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
     assert all(r["m"] == {"prompt": "Prompt_Text", "seed": "My_Seed"} for r in m.collect())
+
+
+def test_best_of_a_row_without_a_sort(spark):
+    """Layouts and searches are ranked in their row: as by a window, and nothing is dealt out or sorted over rows."""
+    sizes = spark.range(300).select("id", (300.0 + F.col("id") * 7 % 501).alias("w"), (200.0 + F.col("id") * 13 % 401).alias("h"))
+    best = layout.rank_layouts(sizes, "id", "w", "h", 5)
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "rows", "cols")
+    ranked = layout.layout_scores(sizes, "id", "w", "h").withColumn("place", F.row_number().over(w)).where("place <= 5").select(*best.columns)
+    assert sorted(map(tuple, best.collect())) == sorted(map(tuple, ranked.collect()))
+    c = spark.createDataFrame([(1, "A", "a.test", "B2B SaaS"), (2, "B", None, "Ecommerce"), (3, None, "c.test", None)], "id int, company_name string, domain string, industry string")
+    top = leads.company_queries(c, most=6)
+    assert sorted(map(str, top.collect())) == sorted(map(str, intel.top_queries(leads.company_queries(c), "id", "weight", "ord").drop("place").collect()))
+    for df in (best, top):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort [" not in plan
