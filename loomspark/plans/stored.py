@@ -10,10 +10,10 @@ from ..registry import dealt, query, table
 from ..sources import buckets, documents
 
 
-def written(df, spark, name, by):
-    """A folder of JSON files, one subfolder for each value of a column."""
+def written(df, spark, name, *by):
+    """A folder of JSON files, one subfolder for each value of the columns."""
     folder = shared_folder(spark, name)
-    df.repartition(by).write.partitionBy(by).json(folder)
+    df.repartition(*by).write.partitionBy(*by).json(folder)
     return folder
 
 
@@ -27,11 +27,11 @@ def listed_workflows(spark, sf_dir):
 
 @query("SELECT p_name AS type, count(*) AS nodes, sum(p_size)::DOUBLE AS x, (SELECT count(*) FROM part b WHERE b.p_name = a.p_name AND b.p_size > 25) AS sources FROM part a GROUP BY p_name")
 def stored_workflows(spark, sf_dir):
-    """Nodes by type, of documents with a node a part and an edge from each large part to itself."""
+    """Nodes by type, of documents with a node a part and an edge from each large part to itself: as a document is one row, one for each brand and 100,000 keys."""
     node = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("type"), F.struct(F.col("p_size").cast("double").alias("x"), F.lit(0.0).alias("y")).alias("position"), F.struct(F.lit("a").alias("prompt")).alias("data"))
     edge = F.when(F.col("p_size") > 25, F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").cast("string").alias("source"), F.col("p_partkey").cast("string").alias("target")))
-    docs = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.lit(1).alias("version"), F.collect_list(node).alias("nodes"), F.collect_list(edge).alias("edges"))
-    nodes, edges = documents.read_workflows(spark, written(docs, spark, "stored", "p_brand"))
+    docs = table(spark, sf_dir, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 100_000).alias("block")).agg(F.lit(1).alias("version"), F.collect_list(node).alias("nodes"), F.collect_list(edge).alias("edges"))
+    nodes, edges = documents.read_workflows(spark, written(docs, spark, "stored", "p_brand", "block"))
     from_type = edges.join(nodes.select("workflow_id", F.col("node_id").alias("source"), "type"), ["workflow_id", "source"]).groupBy("type").agg(F.count("*").alias("sources"))
     return nodes.groupBy("type").agg(F.count("*").alias("nodes"), F.sum("x").alias("x")).join(from_type, "type", "left").fillna(0, ["sources"])
 
@@ -39,8 +39,8 @@ def stored_workflows(spark, sf_dir):
 @query("SELECT c_custkey::VARCHAR AS id, c_name AS \"Name\", CASE WHEN c_acctbal > 0 THEN c_mktsegment END AS \"Segment\" FROM customer")
 def exported_clients(spark, sf_dir):
     record = F.struct(F.col("c_custkey").cast("string").alias("id"), F.struct(F.col("c_name").alias("Name"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("Segment"), F.col("c_acctbal").alias("Other")).alias("fields"))
-    pages = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list(record).alias("records"))
-    return documents.read_clients(spark, written(pages, spark, "clients", "c_nationkey"), ["Name", "Segment"]).select("id", "Name", "Segment")
+    pages = table(spark, sf_dir, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 100_000).alias("block")).agg(F.collect_list(record).alias("records"))
+    return documents.read_clients(spark, written(pages, spark, "clients", "c_nationkey", "block"), ["Name", "Segment"]).select("id", "Name", "Segment")
 
 
 @query(r"SELECT conv_id, turn FROM conversations WHERE role = 'assistant' AND length(text) >= 60 AND regexp_matches(text, '(?i)(^|[^\p{L}\p{N}])the($|[^\p{L}\p{N}])')")
