@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import deque
+from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,43 +36,43 @@ def tokens(text: str | None) -> list[str]:
 class Automaton:
     """Aho-Corasick over tokens: all names that a text holds, in one pass over it.
 
-    One dictionary holds the steps of all states, keyed by state and token number. A name that starts or ends with a letter
+    One dictionary holds the steps of all states, keyed by state and token number; what each name and state has besides is in arrays. A name that starts or ends with a letter
     or digit is bounded by its tokens; beside another character no letter or digit may stand, as for whole names.
     """
 
     def __init__(self, names: list[str]) -> None:
         self.ids: dict[str, int] = {}
-        parts = [tokens(n.strip(WHITE)) for n in names]
-        for own in parts:
-            for t in own:
+        for n in names:
+            for t in tokens(n.strip(WHITE)):
                 self.ids.setdefault(t, len(self.ids))
         self.width = max(1, len(self.ids))
         self.step: dict[int, int] = {}
-        self.ends: dict[int, list[tuple[int, int, bool, bool]]] = {}
-        parent, by = [0], [0]
-        for number, own in enumerate(parts):
-            state = 0
+        self.last: dict[int, int] = {}  # a state's last name, from which `same` leads to the others
+        self.same, self.size, self.opens, self.closes = array("i"), array("i"), bytearray(), bytearray()
+        parent, by, depth = array("i", [0]), array("i", [0]), array("i", [0])
+        for number, name in enumerate(names):
+            state, own = 0, tokens(name.strip(WHITE))
             for t in own:
                 key = state * self.width + self.ids[t]
                 if key not in self.step:
                     self.step[key] = len(parent)
                     parent.append(state)
                     by.append(self.ids[t])
+                    depth.append(depth[state] + 1)
                 state = self.step[key]
+            self.same.append(self.last.get(state, -1))
+            self.size.append(len(own))
+            self.opens.append(bool(own) and not own[0][0].isalnum())
+            self.closes.append(bool(own) and not own[-1][0].isalnum())
             if own:
-                self.ends.setdefault(state, []).append((number, len(own), not own[0][0].isalnum(), not own[-1][0].isalnum()))
-        after: dict[int, list[int]] = {}
-        for state in range(1, len(parent)):
-            after.setdefault(parent[state], []).append(state)
-        self.fail, self.shorter = [0] * len(parent), [0] * len(parent)
-        queue = deque(after.get(0, ()))
-        while queue:  # by depth, so that a shorter state's links are known
-            state = queue.popleft()
-            queue.extend(after.get(state, ()))
+                self.last[state] = number
+        self.fail, self.shorter = (array("i", bytes(4 * len(parent))) for _ in range(2))
+        for state in np.argsort(np.frombuffer(depth, np.int32), kind="stable")[1:]:  # by depth, so that a shorter state's links are known
+            state = int(state)
             if parent[state]:
                 self.fail[state] = self._next(self.fail[parent[state]], by[state])
             back = self.fail[state]
-            self.shorter[state] = back if back in self.ends else self.shorter[back]
+            self.shorter[state] = back if back in self.last else self.shorter[back]
 
     def _next(self, state: int, token: int) -> int:
         while (to := self.step.get(state * self.width + token)) is None and state:
@@ -84,12 +85,14 @@ class Automaton:
         for at, t in enumerate(own):
             token = self.ids.get(t)
             state = 0 if token is None else self._next(state, token)
-            end = state if state in self.ends else self.shorter[state]
+            end = state if state in self.last else self.shorter[state]
             while end:
-                for number, size, opens, closes in self.ends[end]:
-                    before, behind = at - size, at + 1
-                    if not (opens and before >= 0 and own[before][0].isalnum()) and not (closes and behind < len(own) and own[behind][0].isalnum()):
+                number = self.last[end]
+                while number >= 0:
+                    before, behind = at - self.size[number], at + 1
+                    if not (self.opens[number] and before >= 0 and own[before][0].isalnum()) and not (self.closes[number] and behind < len(own) and own[behind][0].isalnum()):
                         found.add(number)
+                    number = self.same[number]
                 end = self.shorter[end]
         return found
 
@@ -168,7 +171,9 @@ def mentions_of(df: DataFrame, key: str, text: str, names: DataFrame, most: int
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(words)
             for b in batches:
-                yield answer(b, [[words[i] for i in automaton.find(t)] for t in b.column("text").to_pylist()])
+                for first in range(0, b.num_rows, 64):  # few texts at a time: a batch holds thousands
+                    part = b.slice(first, 64)
+                    yield answer(part, [[words[i] for i in automaton.find(t)] for t in part.column("text").to_pylist()])
 
         out = texts.mapInArrow(read, f"key {kind}, name string")
     else:
@@ -185,10 +190,30 @@ def mentions_of(df: DataFrame, key: str, text: str, names: DataFrame, most: int
     return out.distinct().withColumnRenamed("key", key)
 
 
-def contains_terms(df: DataFrame, key: str, text: str, terms: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+def _parts_in(needles: list[str]) -> Callable[[str], list[int]]:
+    """A function that tells the numbers of the needles in a text: those whose chosen three characters it holds, and all shorter ones, are looked for."""
+    shared: dict[str, int] = defaultdict(int)
+    for n in needles:
+        for u in trigrams(n):
+            shared[u] += 1
+    by: dict[str, list[int]] = defaultdict(list)
+    short = []
+    for i, n in enumerate(needles):
+        units = trigrams(n)
+        (by[min(units, key=lambda u: (shared[u], u))] if units else short).append(i)
+
+    def find(text: str) -> list[int]:
+        met = [i for u in by.keys() & trigrams(text) for i in by[u]]
+        return [i for i in [*short, *met] if needles[i] in text]
+
+    return find
+
+
+def contains_terms(df: DataFrame, key: str, text: str, terms: DataFrame, most: int = MOST_TERMS, characters: int = MOST_NAMES) -> DataFrame:
     """(key, group, term, ord) of the terms whose needle the text holds, in any case, for a table of terms (group, term, needle, ord) of any size.
 
-    Up to ``most`` terms become one expression over each text, without a join or a shuffle. More
+    Up to ``most`` terms become one expression over each text, without a join or a shuffle. Up to ``characters``
+    characters of terms go to every task, and only the numbers of those found in a text are shuffled, once. More
     meet the texts by the rarest three characters of their needle (all of a shorter one); what meets is
     verified by ``contains``. Null needles are in no text; an empty one is in all. With many terms, rows without a key or that share one
     count as one text each key: a term is listed once.
@@ -201,6 +226,21 @@ def contains_terms(df: DataFrame, key: str, text: str, terms: DataFrame, most: i
         none = F.array().cast("array<struct<group:string,term:string,ord:int>>")
         hits = F.array_compact(F.array(*[F.when(F.col("_t").contains(r["needle"]), entry(r)) for r in first])) if first else none
         return low.select(key, F.inline(hits))
+    texts = low.select(F.col(key).alias("key"), F.col("_t").alias("text")).where("key is not null and text is not null")
+    if (rows.agg(F.sum(sum(F.coalesce(F.length(c), F.lit(0)) for c in ("needle", "group", "term")))).first()[0] or 0) <= characters:
+        known = [r["needle"] for r in rows.select("needle").distinct().collect()]
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find = _parts_in(known)
+            for b in batches:
+                for first in range(0, b.num_rows, 64):
+                    part = b.slice(first, 64)
+                    yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([find(t) for t in part.column("text").to_pylist()], pa.list_(pa.int32()))], ["key", "found"])
+
+        hits = texts.mapInArrow(read, f"key {texts.schema['key'].dataType.simpleString()}, found array<int>").where(F.size("found") > 0)
+        each = hits.groupBy("key").agg(F.collect_list("found").alias("all")).select("key", F.explode(F.array_distinct(F.flatten("all"))).alias("number"))
+        numbered = df.sparkSession.createDataFrame(list(enumerate(known)), "number int, needle string").join(rows, "needle")
+        return each.join(F.broadcast(numbered), "number").select(F.col("key").alias(key), "group", "term", "ord")
     needles = settled(rows.select("needle").distinct())
     sizes = tuple(sorted(r[0] for r in needles.select(F.least(F.length("needle"), F.lit(3))).distinct().collect()))  # four at most
     texts = low.select(F.col(key).alias("key"), F.col("_t").alias("text")).where("key is not null and text is not null")

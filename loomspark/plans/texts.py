@@ -85,9 +85,9 @@ def names_in_conversations(spark, sf_dir):
 @query("SELECT DISTINCT page_id, \"group\", term FROM pages JOIN (SELECT DISTINCT l_shipmode AS \"group\", lower(w) AS term, w AS needle FROM (SELECT l_shipmode, unnest(string_split(l_comment, ' ')) AS w FROM (SELECT 'item' AS l_shipmode, text AS l_comment FROM benchmark))) ON contains(lower(html), lower(needle))")
 def words_in_pages(spark, sf_dir):
     """All words of the benchmark passages, thousands, as parts of the pages."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ", -1)).alias("needle")).distinct()
-    terms = words.select(F.lit("item").alias("group"), F.lower("needle").alias("term"), "needle", F.lit(0).alias("ord"))
-    return dictionary.contains_terms(table(spark, sf_dir, "pages"), "page_id", "html", terms).select("page_id", "group", "term").distinct()
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ", -1)).alias("term")).distinct()
+    terms = words.select(F.lit("item").alias("group"), "term", F.col("term").alias("needle"), F.lit(0).alias("ord"))
+    return dictionary.contains_terms(table(spark, sf_dir, "pages"), "page_id", "html", terms).select("page_id", "group", "term")  # once each, as the terms differ
 
 
 @query("SELECT conv_id, turn, (k - 1)::INT AS ord, x[k] AS item FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(text, ', '), lambda s: regexp_replace(s, '^[@WHITE]+|[@WHITE]+$', '', 'g')), lambda s: s <> '') AS x FROM conversations), (SELECT unnest(range(1, 1 + (SELECT max(length(text)) FROM conversations)::BIGINT)) AS k) r WHERE k <= len(x)")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,3 +66,35 @@ def test_terms_by_both_ways(spark, most):
     got = sorted(tuple(r) for r in dictionary.contains_terms(docs, "id", "text", terms, most=most).collect())
     want = sorted((i, "g", f"t{k % 40}", k) for i, t in enumerate(texts) for k, n in enumerate([*needles, needles[0]]) if n.lower() in t.lower())
     assert got == want
+
+
+@pytest.mark.parametrize("characters", [0, 10**6])
+def test_many_terms_by_both_ways(spark, characters):
+    """Terms carried to every task, or terms that meet the texts by their rarest characters; a key twice lists a term once."""
+    draw = random.Random(4)
+    needles = [*dict.fromkeys(drawn(draw, 50, 2)), "", "+", "C+", "nothing like it", "É"]
+    texts = [*enumerate([*drawn(draw, 100, 20), "", "ÉÉ"]), (10_000, None), (None, "a b"), (3, "ÉÉ a b"), (3, "ab")]
+    docs = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    terms = spark.createDataFrame([("g", f"t{i % 40}", i, n) for i, n in enumerate([*needles, needles[0], None])], "group string, term string, ord int, needle string")
+    got = [tuple(r) for r in dictionary.contains_terms(docs, "id", "text", terms, most=0, characters=characters).collect()]
+    want = {(i, "g", f"t{k % 40}", k) for i, t in texts if t is not None and i is not None for k, n in enumerate([*needles, needles[0]]) if n.lower() in t.lower()}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_carried_dictionary_meets_no_shuffle_of_units(spark):
+    """What is shuffled for a text is the numbers of its terms, in one row, and nothing of the text."""
+    docs = spark.range(10).select("id", F.lit("some words").alias("text"))
+    terms = spark.range(2_000).select(F.lit("g").alias("group"), F.concat(F.lit("t"), "id").alias("term"), F.concat(F.lit("w"), "id").alias("needle"), F.lit(0).alias("ord"))
+    plan = dictionary.contains_terms(docs, "id", "text", terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "broadcast" in plan and "Contains" not in plan
+
+
+def test_an_automaton_is_small(spark):
+    """It takes a third less than lists and tuples for each name and state."""
+    names = [f"Supplier#{i:09d}" for i in range(20_000)]
+    tracemalloc.start()
+    automaton = dictionary.Automaton(names)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert automaton.find("supplier#000000077, supplier#20000") == {77}
+    assert peak / len(names) < 600
