@@ -187,9 +187,9 @@ class Slots(dict):
 
 
 class Encoder:
-    """A vocabulary with a bounded memory of pieces already merged, kept for a worker's life."""
+    """A vocabulary with a bounded memory of pieces already merged, which goes with its task: idle workers hold the vocabulary only."""
 
-    MOST = 500_000
+    MOST = 200_000
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
@@ -255,5 +255,9 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
+def loaded(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 def encoder(path: str) -> Encoder:
-    return Encoder(Vocabulary(path))
+    return Encoder(loaded(path))

@@ -439,3 +439,28 @@ def test_text_buffers_take_slices_and_nulls():
 
     data, offsets = text_buffers(pa.array(["ab", None, "c", ""]).slice(1))
     assert data.tobytes() == b"c" and offsets.tolist() == [0, 0, 1, 1]
+
+
+def test_repeats_and_bpe_hold_little_memory():
+    """Counting cells takes steps of bounded size, and the pieces that an encoder has merged go with its task."""
+    import gc
+    import tracemalloc
+
+    from loomspark.llm import bpe
+
+    text = " ".join(prose(4_000) for _ in range(40)).encode()[:1_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array([text.decode()] * 2)], ["text"])
+    tracemalloc.start()
+    cells = list(suffix_dedup._cells(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+    data = np.frombuffer(text * 2, np.uint8)
+    want = collections.Counter((suffix_dedup.grams(data) >> np.uint64(64 - suffix_dedup.CELL_BITS)).tolist())
+    got = dict(zip(cells[0]["cell"].to_pylist(), cells[0]["n"].to_pylist(), strict=True))
+    assert len(cells) == 1 and got == {c: n for c, n in want.items() if n >= suffix_dedup.CELL_IN_CHUNK}
+    docs = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words of a text"])], ["doc_id", "text"])
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert next(bpe_codec._encoded(path)(iter([docs]))).num_rows == 1
+    gc.collect()
+    assert not [x for x in gc.get_objects() if isinstance(x, bpe.Encoder)]
