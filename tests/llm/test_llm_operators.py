@@ -129,6 +129,15 @@ def test_asked_for_keeps_every_id_asked_for(spark, monkeypatch):
         assert held.count() == 4_000 if bits == 64 else held.count() < 410
 
 
+def test_asked_for_broadcasts_few_rows(spark, monkeypatch):
+    rows = spark.range(400_000).selectExpr("id AS doc_id", "'' AS text")
+    seen, broadcast = [], ngram_join.F.broadcast
+    monkeypatch.setattr(ngram_join.F, "broadcast", lambda df: seen.append(df) or broadcast(df))
+    held = ngram_join._asked_for(rows, rows.where("doc_id % 2 = 0").select("doc_id"))
+    assert sum(df.count() for df in seen) <= 1 << 13
+    assert held.where("doc_id % 2 = 0").count() == 200_000 and held.count() < 206_000
+
+
 def test_ngram_join_of_sizes_at_the_bound(spark):
     """Each text is the start of the next, so that their sizes alone decide which of them link."""
     words = [f"w{i}" for i in range(200)]
@@ -158,6 +167,37 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 100 for i in range(100, 141)}, 7: 7, **{x: 7 for x in range(20, 60)}}
 
 
+def test_components_of_short_tables_take_two_writes(spark, monkeypatch):
+    written, durable = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df, name: written.append(name) or durable(df, name))
+    found = components.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long"))
+    assert {(r["node"], r["component"]) for r in found.collect()} == {(i, 0) for i in range(41)} and len(written) == 2
+
+
+def test_components_in_parts_and_steps(spark, monkeypatch):
+    steps, alternated = [], components._alternated
+    monkeypatch.setattr(components, "_alternated", lambda edges, n: steps.append(n) or alternated(edges, n))
+    dense = [(int(a), int(a) // 300 * 300 + int(b)) for a, b in DRAW.integers(0, 300, (4_000, 2)) + DRAW.integers(0, 3, (4_000, 1)) * [[300, 0]]]
+    path = [(int(a), int(a) + 1) for a in DRAW.permutation(400)]
+    for most, pairs_, stepped in ((2_000_000, dense, False), (1_000, dense, False), (100, path, True), (150, dense, True)):
+        monkeypatch.setattr(components, "EDGES", most)
+        steps.clear()
+        near = collections.defaultdict(set)
+        for a, b in pairs_:
+            near[a].add(b)
+            near[b].add(a)
+        want = {}
+        for node in sorted(near):
+            todo = [] if node in want else [node]
+            while todo:
+                if (x := todo.pop()) not in want:
+                    want[x] = node
+                    todo += near[x]
+        found = components.components(spark.createDataFrame([*pairs_, (5_000, 5_000)], "src long, dst long").repartition(5)).collect()
+        assert {r["node"]: r["component"] for r in found} == {k: v for k, v in want.items() if len(near[k] - {k}) > 0} and len(found) == len({r["node"] for r in found})
+        assert bool(steps) == stepped
+
+
 def test_quality(spark, docs, empty):
     good = [(i, prose(int(DRAW.integers(20, 200)))) for i in range(400)]
     bad = [(400 + i, " ".join(w + "###" for w in prose(int(DRAW.integers(20, 200))).split())) for i in range(200)]
